@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import packing, url_filter, winnowing
+from . import near_dup, packing, substring_dedup, url_filter, winnowing
 from .shared import tables
 
 
@@ -12,6 +12,14 @@ def op1_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return url_filter.judge(tables(spark, sf_dir, "pages"))
 
 
+def op3_near_dup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_dup.near_duplicates(tables(spark, sf_dir, "documents"), words=2, percent=80)
+
+
+def op4_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return substring_dedup.deduplicate(tables(spark, sf_dir, "documents")).drop("tag", "kept_text")
+
+
 def op5_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(tables(spark, sf_dir, "documents"))
 

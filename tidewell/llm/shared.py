@@ -12,9 +12,11 @@ rows for every later pass.
 
 from __future__ import annotations
 
+import os
 import tempfile
 import uuid
 from collections.abc import Iterator
+from pathlib import Path
 
 import numpy as np
 import pyarrow as pa
@@ -34,9 +36,18 @@ def ascii_lower(column):
 
 def keyed_text(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """The two columns that matter, under names of our own; other columns can't clash."""
+    reachable(docs.sparkSession)
     return docs.select(F.col(f"`{id_col}`").cast("long").alias("doc_id"), F.col(f"`{text_col}`").cast("string").alias("text"))
 
 
+def reachable(spark: SparkSession) -> None:
+    """Let Python workers on this machine import the package from where the driver has it (clusters get it by --py-files)."""
+    environment = spark.sparkContext.environment
+    here = str(Path(__file__).resolve().parents[2])
+    if here not in environment.get("PYTHONPATH", "").split(os.pathsep):
+        environment["PYTHONPATH"] = os.pathsep.join(filter(None, [here, environment.get("PYTHONPATH", "")]))
+
+
 class Scratch:
     """Parquet tables in the shared checkpoint folder; ``drop`` removes those no longer needed."""
 
