@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import near_dup, packing, substring_dedup, url_filter, winnowing
+from . import decontamination, near_dup, packing, substring_dedup, url_filter, winnowing
 from .shared import tables
 
 
@@ -28,6 +28,11 @@ def op8_winnowing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return winnowing.fingerprints(tables(spark, sf_dir, "documents"))
 
 
+def op9_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    documents, benchmark = tables(spark, sf_dir, "documents", "benchmark")
+    return decontamination.leaks(documents, benchmark)
+
+
 def queries() -> dict:
     found = {name: f for name, f in globals().items() if name.startswith("op") and callable(f)}
     return dict(sorted(found.items(), key=lambda x: int(x[0][2:].split("_")[0])))
