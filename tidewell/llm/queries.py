@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import decontamination, near_dup, packing, substring_dedup, url_filter, winnowing
+from . import decontamination, near_dup, packing, quality, substring_dedup, toxicity, url_filter, winnowing
 from .shared import tables
 
 
@@ -24,6 +24,10 @@ def op5_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(tables(spark, sf_dir, "documents"))
 
 
+def op6_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality.scored(*tables(spark, sf_dir, "documents", "labels"))
+
+
 def op8_winnowing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return winnowing.fingerprints(tables(spark, sf_dir, "documents"))
 
@@ -33,6 +37,10 @@ def op9_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontamination.leaks(documents, benchmark)
 
 
+def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return toxicity.scored(*tables(spark, sf_dir, "documents", "labels"))
+
+
 def queries() -> dict:
     found = {name: f for name, f in globals().items() if name.startswith("op") and callable(f)}
     return dict(sorted(found.items(), key=lambda x: int(x[0][2:].split("_")[0])))
