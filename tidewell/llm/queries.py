@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import decontamination, near_dup, packing, quality, substring_dedup, toxicity, url_filter, winnowing
+from . import decontamination, language_id, near_dup, packing, quality, substring_dedup, token_counts, toxicity, url_filter, winnowing
 from .shared import tables
 
 
@@ -12,6 +12,10 @@ def op1_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return url_filter.judge(tables(spark, sf_dir, "pages"))
 
 
+def op2_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return language_id.identify(*tables(spark, sf_dir, "pages", "documents"))
+
+
 def op3_near_dup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_dup.near_duplicates(tables(spark, sf_dir, "documents"), words=2, percent=80)
 
@@ -28,6 +32,10 @@ def op6_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.scored(*tables(spark, sf_dir, "documents", "labels"))
 
 
+def op7_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return token_counts.counted(tables(spark, sf_dir, "documents"))
+
+
 def op8_winnowing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return winnowing.fingerprints(tables(spark, sf_dir, "documents"))
 

@@ -1,7 +1,8 @@
 """Toxicity: gradient-boosted trees over dense features, with isotonic calibration.
 
 1. The lexicon is learned: words and word beginnings of four and five characters, with their document frequencies in
-   toxic and in other labelled texts; those far more frequent in toxic ones stay, at most ``LEXICON`` of them.
+   toxic and in other labelled texts (of texts that begin alike, one); those far more frequent in toxic ones stay, at
+   most ``LEXICON`` of them.
 2. Dense features per text: densities and counts of lexicon words, densest stretch, nearness to the second person,
    capitals, punctuation, obfuscated words (digits or marks inside a word) and lexicon words found only after
    undoing the obfuscation.
@@ -27,7 +28,7 @@ from . import shared
 from .labelled import bounded, held_out, learnable
 from .quality import CLASSES
 
-SAMPLE, LEXICON, THRESHOLD = 16000, 4000, 0.3
+SAMPLE, LEXICON, THRESHOLD, EVIDENCE = 16000, 4000, 0.3, 10.0
 TREES, DEPTH, RATE, CELLS, LEAST_LEAF, RIDGE = 60, 3, 0.2, 64, 5, 1.0
 #: Second-person words of the four languages (fixed values).
 SECOND_PERSON = "you your yours yourself u ur tú tu tus te ti usted ustedes vosotros vous votre vos toi du dich dir dein deine ihr euch euer".split()
@@ -101,9 +102,9 @@ def term_counts(rows: DataFrame) -> DataFrame:
 
 
 def lexicon_from(counts: list[tuple[str, int, int]], n_toxic: int, n_other: int) -> frozenset[str]:
-    """Terms in enough toxic texts whose smoothed odds there are 30 times those elsewhere."""
-    least = max(2, round(0.002 * n_toxic))
-    return frozenset(t for t, a, b in counts if a >= least and (a + 0.5) / (n_toxic + 1) >= 30 * (b + 0.1) / (n_other + 1))
+    """Terms whose smoothed odds in toxic texts are 30 times those elsewhere, with evidence (log-likelihood) beyond chance."""
+    share = n_toxic / max(1, n_toxic + n_other)
+    return frozenset(t for t, a, b in counts if a and (a + 0.5) / (n_toxic + 1) >= 30 * (b + 0.1) / (n_other + 1) and a * np.log(a / (a + b) / share) >= EVIDENCE)
 
 
 class Boosted:
@@ -205,7 +206,7 @@ def train(docs: DataFrame, labels: DataFrame) -> Model:
     toxic, other = n[0][1] + n[1][1], n[0][0] + n[1][0]
     if not toxic or not other:
         return Model(frozenset(), None, None, 1.0 if toxic else 0.0)
-    counts = term_counts(rows).where("toxic0 + toxic1 >= 2").where("(toxic0 + toxic1) > 8 * (other0 + other1) * " + repr(toxic / (toxic + other)))
+    counts = term_counts(rows.withColumn("_start", F.substring("text", 1, 80)).dropDuplicates(["_start", "y"])).where("toxic0 + toxic1 >= 2").where("(toxic0 + toxic1) > 8 * (other0 + other1) * " + repr(toxic / (toxic + other)))
     listed = [(r["term"], r["toxic0"], r["other0"], r["toxic1"], r["other1"]) for r in counts.orderBy(F.desc(F.col("toxic0") + F.col("toxic1")), "term").limit(LEXICON).collect()]
     whole = lexicon_from([(t, a + c, b + d) for t, a, b, c, d in listed], toxic, other)
     apart = [lexicon_from([(t, c, d) for t, _, _, c, d in listed], n[1][1], n[1][0]), lexicon_from([(t, a, b) for t, a, b, _, _ in listed], n[0][1], n[0][0])]  # for half 0: from half 1
