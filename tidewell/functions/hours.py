@@ -36,4 +36,4 @@ def is_open(hours: Column, minute: Column | int) -> Column:
 
 
 def clock(minutes: Column) -> Column:
-    return F.format_string("%02d:%02d", F.floor(minutes / 60).cast("int"), (minutes % 60).cast("int"))
+    return F.when(minutes.isNotNull(), F.format_string("%02d:%02d", F.floor(minutes / 60).cast("int"), (minutes % 60).cast("int")))

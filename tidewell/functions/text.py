@@ -51,7 +51,7 @@ def clean_cell(c: Column) -> Column:
 
 def split_list(c: Column, separator: str) -> Column:
     """Trimmed, non-empty parts."""
-    return F.filter(F.transform(F.split(F.coalesce(c, F.lit("")), separator), F.trim), lambda x: x != "")
+    return F.filter(F.transform(F.split(F.coalesce(c, F.lit("")), separator), lambda x: F.trim(x)), lambda x: x != "")
 
 
 def is_synthetic(poi_id: Column) -> Column:

@@ -46,7 +46,8 @@ def against(current: DataFrame, baseline: DataFrame) -> DataFrame:
 
 def wilson(k: Column, n: Column, z: float = 1.96) -> tuple[Column, Column]:
     """Interval of a share; (0, 0) without trials."""
-    p, m = k / F.nullif(n, F.lit(0)), n.cast("double")
+    m = F.nullif(n.cast("double"), F.lit(0.0))
+    p = k / m
     centre, spread, scale = p + z * z / (2 * m), z * F.sqrt(p * (1 - p) / m + z * z / (4 * m * m)), 1 + z * z / m
     return F.coalesce((centre - spread) / scale, F.lit(0.0)), F.coalesce((centre + spread) / scale, F.lit(0.0))
 
