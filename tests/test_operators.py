@@ -121,21 +121,20 @@ def test_upsert_repeated_key(spark):
     assert got == {"a": (1, 0), "b": (2, 1)}
 
 
-def client():
-    calls = {}
-
-    def ask(address):
-        calls[address] = calls.get(address, 0) + 1
-        if address == "busy" and calls[address] < 3:
-            raise ingest.Throttled
-        if address == "broken":
-            raise OSError
-        return None if address == "nowhere" else (0.9, 10.0, 106.0, "Street") if address != "far" else (0.5, 11.0, 106.0, "Region")
+def test_verify(spark):
+    def client():
+        calls = {}
 
-    return ask
+        def ask(address):
+            calls[address] = calls.get(address, 0) + 1
+            if address == "busy" and calls[address] < 3:
+                raise ingest.Throttled
+            if address == "broken":
+                raise OSError
+            return None if address == "nowhere" else (0.9, 10.0, 106.0, "Street") if address != "far" else (0.5, 11.0, 106.0, "Region")
 
+        return ask
 
-def test_verify(spark):
     rows = spark.createDataFrame([(a, a, 10.0, 106.0) for a in ("busy", "broken", "nowhere", "far", "fine", "")], "poi_id string, address string, lat double, lon double")
     got = {r["poi_id"]: (r["status"], r["reasons"]) for r in ingest.verify(rows, client, sleep=lambda _: None).collect()}
     assert got["fine"] == got["busy"] == ("verified", "")
