@@ -159,3 +159,26 @@ def test_settings(tmp_path):
     env.write_text("TIDEWELL_TYPO_FIX=0\n")
     assert not Settings.load({}, str(env)).rewrite.typo_fix
     assert Settings.load({"TIDEWELL_TYPO_FIX": "1"}, str(env)).rewrite.typo_fix
+
+
+def test_reports(spark, tmp_path):
+    import logging
+
+    from tidewell.sources import reports
+
+    text = reports.with_row("| a | b |\n|---|---|\n| x | 1 |\nend", "x", ["2"])
+    assert text.split("\n")[2] == "| x | 2 |" and "| y | 3 |" in reports.with_row(text, "y", ["3"])
+    record = logging.LogRecord("n", logging.INFO, "f", 1, "said %s", ("này",), None)
+    record.fields = {"k": 1}
+    assert json.loads(reports.JsonLines().format(record))["message"] == "said này"
+    where = reports.report(spark.range(2), str(tmp_path), "Full run", 0.0)
+    assert where.endswith("full_run_19700101_000000") and spark.read.json(where).count() == 2
+    assert reports.contract_gaps(["id", "name"]) == ["address", "category", "location", "score"]
+
+
+def test_failed_reload_is_a_warning(spark, tmp_path):
+    def fail(_):
+        raise OSError
+
+    said = ingest.ingest(ingest.Snapshots(spark, str(tmp_path / "s")), records(spark, GOOD), after=fail)
+    assert said["accepted"] == 1 and said["version"] == 1 and "OSError" in said["warning"]

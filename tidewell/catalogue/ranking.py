@@ -4,9 +4,11 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from ..operators import evaluate, pool
+from ..functions import geo
+from ..operators import evaluate
 from ..plans import constraints, query_plan, rerank, signals
-from ..settings import WEIGHTS, Settings
+from ..settings import WEIGHTS
+from ..sources import reports
 from .corpus import _STATS
 from .shared import POI, closes_sql, haversine_sql, opens_sql, places, table, words_sql
 
@@ -120,6 +122,31 @@ def search_filters(spark, d):
     return rerank.search(p, v, q, limit=5, box=(102.0, 10.0, 108.0, 19.0), near=(14.0, 106.0, 600000.0), now=NOW).select("query_id", F.col("place").cast("long").alias("place"), "poi_id", "score")
 
 
+def ablation_ladder(spark, d):
+    """Reciprocal rank and recall of each step, with the first three by words as gold."""
+    p, v, q = _score_pool(spark, d)
+    steps = rerank.ladder(p, v, q, now=NOW)
+    gold = steps["bm25"].where("rank <= 3").select("query_id", "id")
+    out = None
+    for name, ranked in steps.items():
+        r = evaluate.per_query(ranked.withColumn("is_synthetic", F.col("id").startswith("G")), gold).select(F.lit(name).alias("step"), "query_id", F.round("rr", 6).alias("rr"), F.round("r5", 6).alias("r5"))
+        out = r if out is None else out.unionByName(r)
+    return out
+
+
+def api_response(spark, d):
+    p, v, q = _score_pool(spark, d)
+    rows = rerank.search(p, v, q, limit=5, now=NOW)
+    return reports.responses(constraints.annotate(rows, NOW), (14.0, 106.0), explain=True)
+
+
+def radial_layout(spark, d):
+    p = places(spark, d).where("lat <> 0")
+    km = geo.haversine_km(F.lit(14.0), F.lit(106.0), F.col("lat"), F.col("lon"))
+    x, y = geo.radial(km, F.lit(1000.0), geo.bearing(F.lit(14.0), F.lit(106.0), F.col("lat"), F.col("lon")))
+    return p.select("poi_id", F.round(x, 6).alias("x"), F.round(y, 6).alias("y"))
+
+
 def _sorted(by, order):
     def run(spark, d):
         plan = query_plan.literal(query="x", sort_by=by, sort_order=order)
@@ -192,7 +219,7 @@ def status_counts(spark, d):
 
 
 QUERIES = {f"sig_{n}": _signal(n) for n in SIGNALS}
-QUERIES |= {n: globals()[n] for n in "pool_union pool_minmax hybrid_search hybrid_explained no_dense_rerank search_filters constraint_parse constraint_scores constraint_relaxed ir_metrics ir_by_group ir_vs_baseline wilson_ci satisfaction_accuracy status_counts".split()}
+QUERIES |= {n: globals()[n] for n in "pool_union pool_minmax hybrid_search hybrid_explained no_dense_rerank search_filters constraint_parse constraint_scores constraint_relaxed ir_metrics ir_by_group ir_vs_baseline wilson_ci satisfaction_accuracy status_counts ablation_ladder api_response radial_layout".split()}
 QUERIES |= {f"sort_{by}_{o}": _sorted(by, o) for by in ("price", "rating") for o in ("asc", "desc")}
 
 _QT = f"{_STATS.replace('doc_id', 'poi_id').replace('from documents', 'from poi').replace('(text)', '(description)')}, qt as (select query_id, term, count(*) times from (select query_id, unnest({words_sql('query')}) term from q) group by 1,2), tf as (select poi_id, len(w) dl, term, count(*) tf from (select poi_id, w, unnest(w) term from t) group by 1,2,3), bs as (select qt.query_id, tf.poi_id, round(sum(times*idf*tf*2.5/(tf+1.5*(1-0.75+0.75*dl/(select avg(len(w)) from t)))),6) score from qt join st using(term) join tf using(term) group by 1,2), ba as (select q.query_id, t.poi_id, coalesce(bs.score,0) score from q cross join t left join bs on bs.query_id=q.query_id and bs.poi_id=t.poi_id), br as (select *, row_number() over (partition by query_id order by score desc, poi_id) r from ba)"
@@ -238,6 +265,7 @@ SQL |= {
     "ir_metrics": f"with {_EVAL} select query_id, round(hit1,6) hit1, round(rr,6) rr, round(r3,6) r3, round(r5,6) r5, synth3, synth_above from m",
     "ir_by_group": f"with {_EVAL}, k as (select *, case query_id%3 when 0 then 'Easy' when 1 then 'Medium' else 'Hard' end difficulty, 'c'||(query_id%5) category from m) select 'all' kind, 'all' as name, {_METR} from k union all select 'difficulty', difficulty, {_METR} from k group by difficulty union all select 'category', category, {_METR} from k group by category",
     "ir_vs_baseline": f"with {_EVAL} select query_id, case when query_id%4<>0 then 'same' when hit1>0 then 'saved' else 'regressed' end verdict from m",
+    "radial_layout": POI + f", r as (select poi_id, pow({haversine_sql('14.0e0', '106.0e0', 'lat', 'lon')}/1000.0e0,0.6e0) r, atan2(lat-14.0e0,(lon-106.0e0)*cos(radians(14.0e0))) a from poi where lat<>0) select poi_id, round(r*cos(a),6) x, round(r*sin(a),6) y from r",
     "wilson_ci": "with x as (select quality, sum(toxic)::double k, count(*)::double n from labels group by 1), y as (select *, k/n p from x) select quality, round((p+1.96e0*1.96e0/(2*n)-1.96e0*sqrt(p*(1-p)/n+1.96e0*1.96e0/(4*n*n)))/(1+1.96e0*1.96e0/n),9) lo, round((p+1.96e0*1.96e0/(2*n)+1.96e0*sqrt(p*(1-p)/n+1.96e0*1.96e0/(4*n*n)))/(1+1.96e0*1.96e0/n),9) hi from y",
     "satisfaction_accuracy": "select event_id%50 query_id, round(avg(case when ((value%1)>=0.5)=((event_id%2)>=0.5) then 1.0e0 else 0.0e0 end),9) accuracy, bool_and(((value%1)>=0.5)=((event_id%2)>=0.5)) exact from events group by 1",
     "status_counts": "select user_id, count(*) filter (event_type='error') errors, round((count(*) filter (event_type='error'))/count(*),3) ratio from events group by 1",

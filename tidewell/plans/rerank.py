@@ -89,3 +89,10 @@ def search(corpus: DataFrame, vectors: DataFrame, plans: DataFrame, limit: int |
         rows = rows.where(geo.haversine_km(F.lit(near[0]), F.lit(near[1]), F.col("lat"), F.col("lon")) * 1000 <= near[2])
     w = Window.partitionBy("query_id").orderBy("rank")
     return rows.withColumn("place", F.row_number().over(w)).where(F.col("place") <= most).withColumn("score", displayed(profile))
+
+
+def ladder(corpus: DataFrame, vectors: DataFrame, plans: DataFrame, k: int = 10, conf: Settings = Settings(), now: int = 720) -> dict[str, DataFrame]:
+    """Rankings (query_id, id, rank) of the steps of an ablation: words only, with rules, with distance, with vectors."""
+    words = lexical.bm25_topk(corpus, plans.select("query_id", "query"), "poi_id", "description", k, conf.bm25).select("query_id", "id", "rank")
+    top = lambda rows: rows.where(F.col("rank") <= k).select("query_id", F.col("poi_id").alias("id"), "rank")
+    return {"bm25": words, "rules": top(lexical_only(corpus, plans, "default", conf, now)), "distance": top(lexical_only(corpus, plans, "with_distance", conf, now)), "dense": top(hybrid(corpus, vectors, plans, "with_dense", conf, now))}

@@ -151,8 +151,11 @@ class Snapshots:
         return now + 1
 
 
-def ingest(snapshots: Snapshots, batch: DataFrame, json_col: str = "record", conf: Settings = Settings(), client=None) -> dict:
-    """Validate, verify and merge one batch; valid records go in even if others are rejected."""
+def ingest(snapshots: Snapshots, batch: DataFrame, json_col: str = "record", conf: Settings = Settings(), client=None, after: Callable[[int], object] | None = None) -> dict:
+    """Validate, verify and merge one batch; valid records go in even if others are rejected.
+
+    ``after(version)`` runs once the batch is published (say, a reload); if it fails, the batch stands and the answer has a warning.
+    """
     n = batch.count()
     guard(n, conf)
     valid, rejected = validate(batch, json_col)
@@ -162,8 +165,13 @@ def ingest(snapshots: Snapshots, batch: DataFrame, json_col: str = "record", con
     if ok:
         old = snapshots.read(version) if version else valid.limit(0).withColumn("row_order", F.lit(0))
         version = snapshots.publish(upsert(old, valid.dropDuplicates(["poi_id"])), version)
-    unverified = valid.where("status = 'unverified'").count()
-    return {"received": n, "accepted": ok, "rejected": rejected.count(), "version": version, "unverified_ratio": round(unverified / max(ok, 1), 3)}
+    unverified, warning = valid.where("status = 'unverified'").count(), {}
+    if ok and after:
+        try:
+            after(version)
+        except Exception as e:
+            warning = {"warning": f"not reloaded: {type(e).__name__}"}
+    return warning | {"received": n, "accepted": ok, "rejected": rejected.count(), "version": version, "unverified_ratio": round(unverified / max(ok, 1), 3)}
 
 
 def backfill(rows: DataFrame, statuses: DataFrame) -> DataFrame:
