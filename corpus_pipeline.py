@@ -11,10 +11,8 @@ COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
 
 
 def keep_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents of accepted quality; of rows that share an id, each is judged by the best of them."""
-    verdict = quality.scored(docs, shared.tables(spark, sf_dir, "labels"))
-    good = verdict.where("predicted = 1").select("doc_id").distinct()
-    return docs.join(good, docs.doc_id.eqNullSafe(good.doc_id), "left_semi").select(*COLUMNS)
+    """Documents of accepted quality; each row is judged by its own text."""
+    return quality.accepted(docs.select(*COLUMNS), shared.tables(spark, sf_dir, "labels"))
 
 
 def keep_one_of_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

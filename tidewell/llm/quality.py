@@ -232,3 +232,17 @@ def scored(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
 
     out = rows.mapInArrow(run, "doc_id long, score double")
     return out.select("doc_id", held_out(F.col("doc_id")).alias("held_out"), "score", (F.col("score") >= THRESHOLD).cast("int").alias("predicted"))
+
+
+def accepted(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """The rows of ``docs`` that score THRESHOLD or more, whole and in place: texts are read twice rather than shuffled."""
+    scratch = shared.Scratch(docs.sparkSession)
+    score = train(scratch.keep(measured(shared.keyed_text(docs, id_col, text_col)), "features"), labels)
+    scratch.drop("features")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in shared.byte_slices(batches, text_col):
+            x = np.array([features(t) for t in shared.raw_texts(b.column(text_col))], np.float32).astype(np.float64)
+            yield b.filter(pa.array(score(x) >= THRESHOLD))
+
+    return docs.mapInArrow(run, docs.schema)
