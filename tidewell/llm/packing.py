@@ -110,7 +110,16 @@ def cut(docs: DataFrame, vocabulary: str = VOCABULARY, capacity: int = CAPACITY,
 
 
 def fullest(counts: list[int], room: int) -> dict[int, int]:
-    """length -> copies of the fullest combination of available lengths that fits ``room``; longer lengths are tried first."""
+    """length -> copies of the fullest combination of available lengths that fits ``room``.
+
+    Of combinations that fill it, one or two pieces come before more, so that short pieces last; otherwise longer lengths are tried first.
+    """
+    if room < len(counts) and counts[room]:
+        return {room: 1}
+    for length in range(min(room, len(counts) - 1), room // 2 - (room % 2 == 0), -1):
+        rest = room - length
+        if rest and counts[length] and counts[rest] > (rest == length):
+            return {length: 2} if rest == length else {length: 1, rest: 1}
     reach, steps, goal = 1, [], (1 << (room + 1)) - 1
     for length in range(min(room, len(counts) - 1), 0, -1):
         left, many = min(counts[length], room // length), 1
