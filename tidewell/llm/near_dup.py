@@ -10,7 +10,7 @@ gives each document its connected component.
    coordinate, in a quarter of the cases two (1 / 0.8 on average), and sends a document to the child named by its
    minwise token there.  Which coordinates a node picks depends on its path alone, so a level needs only node
    counts.  Nodes of at most ``SMALL`` documents are leaves and are compared exhaustively on 128 one-bit tokens;
-   larger ones branch on, up to ``DEPTH`` levels.  What is still together then agrees in that many tokens and becomes
+   larger ones branch on, for as many levels as part unrelated documents of a corpus of this size.  What is still together then agrees in that many tokens and becomes
    a candidate as a whole, as a star around its smallest id.  The number of trees follows from the wanted recall.
 3. Candidates form clusters; each cluster's texts meet in one task, where all its links are decided on full sets.
    A cluster over ``BLOCK_SHINGLES`` is dealt into blocks instead: all blocks are compared with a pivot (the member
@@ -34,9 +34,11 @@ from pyspark.sql import functions as F
 from . import shared
 from .components import connected
 
-COORDINATES, SMALL, DEPTH = 128, 16, 6
+COORDINATES, SMALL = 128, 16
 #: Wanted chance that a pair exactly at the threshold meets in some leaf, if leaves are EXPECTED_DEPTH deep.
-RECALL, EXPECTED_DEPTH = 1 - 1e-6, 4
+RECALL, EXPECTED_DEPTH = 1 - 1e-6, 3
+#: Share of unrelated documents that agree in one token, at most; sets the number of levels that part them.
+AGREE = 0.02
 BLOCK_SHINGLES, BLOCK_DOCS = 1_500_000, 1000
 _ODD = np.uint64(0x9E3779B97F4A7C15)
 
@@ -54,6 +56,11 @@ def trees_for(threshold: float, recall: float = RECALL, depth: int = EXPECTED_DE
     return math.ceil(math.log(1 - recall) / math.log(1 - survival(threshold, threshold, depth)))
 
 
+def levels_for(documents: int) -> int:
+    """Levels after which fewer than one unrelated document is expected beside another."""
+    return max(2, math.ceil(math.log(max(2, documents)) / -math.log(AGREE)))
+
+
 def least_bits(threshold: float, sigmas: float = 5.0) -> int:
     """One-bit tokens that a pair at the threshold shares but for a chance beyond ``sigmas``."""
     p = (1 + threshold) / 2
@@ -160,19 +167,19 @@ def leaf_links(leaves: DataFrame, least: int) -> DataFrame:
 
 def candidates(reps: DataFrame, scratch: shared.Scratch, threshold: float) -> DataFrame:
     """Links (a, b) between representatives that may be similar enough, complete but for the wanted recall."""
-    trees, least = trees_for(threshold), least_bits(threshold)
+    trees, least, last = trees_for(threshold), least_bits(threshold), levels_for(reps.count())
     found, rows = None, reps.select("rep", "sig", "b0", "b1")
-    for depth in range(1, DEPTH + 1):
+    for depth in range(1, last + 1):
         frontier = scratch.keep(branch(rows, trees, threshold), f"frontier_{depth}")
         counts = scratch.keep(frontier.groupBy("node").agg(F.count("*").alias("size"), F.min("rep").alias("first")).where("size > 1"), f"counts_{depth}")
         sized = frontier.join(counts, "node")
         links = leaf_links(sized.where(F.col("size") <= SMALL).select(*frontier.columns), least)
         large = sized.where(F.col("size") > SMALL)
-        if depth == DEPTH:
+        if depth == last:
             links = links.unionByName(large.select(F.col("rep").alias("a"), F.col("first").alias("b")).where("a <> b"))
         links = scratch.keep(links.distinct(), f"links_{depth}")
         found = links if found is None else found.unionByName(links)
-        if depth < DEPTH:
+        if depth < last:
             if counts.where(F.col("size") > SMALL).isEmpty():
                 break
             parents = scratch.keep(large.groupBy("rep").agg(F.collect_set("node").alias("parents")), f"parents_{depth}")
@@ -323,7 +330,7 @@ def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 80, id_col:
     if not sizes.where("blocks > 1").isEmpty():
         exact = exact.unionByName(scratch.keep(connected(verify_hot(hot, texts, scratch, words, percent), scratch, "hot"), "hot_roots"))
     named = scratch.keep(classes.join(exact, F.col("rep") == F.col("id"), "left").select(F.col("key").alias("k"), F.coalesce("root", "rep").alias("root")).groupBy("k").agg(F.min("root").alias("root")), "named")
-    scratch.drop("reps", "clusters", "sizes", "classes", "hot_members", "hot_rest", *[f"links_{d}" for d in range(1, DEPTH + 1)])
+    scratch.drop("reps", "clusters", "sizes", "classes", "hot_members", "hot_rest", *[n for n in list(scratch.paths) if n.startswith("links_")])
     out = sigs.select("doc_id", "n", "key").join(named, (F.col("key") == F.col("k")) & F.col("doc_id").isNotNull() & (F.col("n") > 0), "left")
     root = F.coalesce("root", "doc_id")
     return out.select("doc_id", F.col("n").alias("n_shingles"), root.alias("component_id"), F.coalesce(F.col("doc_id") == root, F.lit(True)).alias("kept"))
