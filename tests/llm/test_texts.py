@@ -13,6 +13,7 @@ from hypothesis import given, settings
 from hypothesis import strategies as st
 
 from tidewell.llm import decontamination, packing, token_counts, winnowing
+from tidewell.llm.queries import queries
 
 
 def test_packing_round_trip(docs, rows):
@@ -139,6 +140,33 @@ def test_fingerprints_empty(empty):
     assert winnowing.fingerprints(empty).count() == 0
 
 
+def brute_char_winnow(text: str) -> list[int]:
+    """As ``brute_winnow``, on runs of 12 characters."""
+    grams = [text[i : i + 12] for i in range(len(text) - 11)] or [text] * bool(text)
+    keys = [(signed(xxhash.xxh64_intdigest(g.encode(), seed=42)) >> 30 << 30) | ((1 << 30) - 1 - i) for i, g in enumerate(grams)]
+    w = min(16, len(keys))
+    return list(dict.fromkeys(min(keys[i : i + w]) for i in range(len(keys) - w + 1))) if keys else []
+
+
+def test_registered_fingerprints_are_of_characters(spark, rows, tmp_path):
+    """Short texts with half their words replaced, and text without spaces at another offset, still share hashes."""
+    cjk = "".join(chr(0x4E00 + k * 37 % 5000) for k in range(60))
+    short = [(1000 + k, " ".join(f"w{k}x{j}" for j in range(18))) for k in range(20)]
+    given_rows = [*rows, *short, (2001, "甲" + cjk + "\U0001f642" * 3), (2000, cjk)]
+    spark.createDataFrame(given_rows, "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    order = sorted(given_rows, key=lambda r: (r[0] is None, -(r[0] or 0), r[1] or ""))
+    want = collections.Counter()
+    for k, (i, t) in enumerate(order):
+        t, after = t or "", order[(k + 1) % len(order)][1] or ""
+        f, e = brute_char_winnow(t), brute_char_winnow(t[: len(t) - len(t) // 2] + after[: len(t) // 2])
+        want[i, len(t), round(jaccard(f, e), 9), round(jaccard(f, brute_char_winnow(after)), 9), " ".join(str((1 << 30) - 1 - (v & (1 << 30) - 1)) for v in f), len(e)] += 1
+    got = queries()["op8_winnowing"](spark, str(tmp_path)).collect()
+    places = lambda s: " ".join(x.split("@")[1] for x in s.split())
+    assert collections.Counter((r["doc_id"], r["n_chars"], round(r["near_edited"], 9), round(r["near_next"], 9), places(r["fingerprint"]), len(r["edited_fingerprint"].split())) for r in got) == want
+    by_id = {r["doc_id"]: r for r in got}
+    assert all(by_id[i]["near_edited"] > 0 for i, _ in short) and by_id[2001]["near_next"] > 0.5
+
+
 def viterbi(word: str, scores: dict[str, float], byte: float) -> int:
     best = [(0.0, 0)]
     for j in range(1, len(word) + 1):

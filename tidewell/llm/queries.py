@@ -37,7 +37,7 @@ def op7_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op8_winnowing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return winnowing.fingerprints(tables(spark, sf_dir, "documents"))
+    return winnowing.fingerprints(tables(spark, sf_dir, "documents"), grams=winnowing.char_grams)
 
 
 def op9_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -1,17 +1,19 @@
 """Document fingerprints by winnowing, in DataFrame functions only.
 
-The units are words, runs without white space, in pieces of at most ``PIECE`` code points (so a
-text without spaces has units too).  Every unit is hashed; hashes of k = 4 consecutive units come
-from doubling (1, 2, 4 units), and so do minima over w = 16 consecutive k-gram hashes
-(2, 4, 8, 16), which makes both linear in the text.  From each window the smallest hash is
-selected, the rightmost of equal ones; hash and position share one long, the position counted
-downwards below the hash, so that one minimum settles both.  Guarantee: two texts that share
-``k + w - 1`` = 19 consecutive units share a selected hash, at positions that both keep.
-
-A text with fewer than k units gives one hash of all its units, one with fewer than w k-grams the
+The k-grams are runs of ``K_CHARS`` = 12 characters (code points), one starting at every character; each is hashed.
+Minima over w = 16 consecutive hashes come from doubling (2, 4, 8, 16), linear in the text.  From each
+window the smallest hash is selected, the rightmost of equal ones; hash and position share one long, the
+position counted downwards below the hash, so that one minimum settles both.  Guarantee: two texts that
+share ``K_CHARS + w - 1`` = 27 consecutive characters share a selected hash, at positions that both keep,
+whether or not they have spaces.
+
+A text with fewer than k characters gives one hash of the whole text, one with fewer than w k-grams the
 minimum of them all, an empty or null text no hash.  Likeness of two fingerprints is the Jaccard
 index of their selected hashes; of two empty ones 1, of an empty and another one 0.
 
+``word_grams`` is a coarser form for callers that ask for it: units are words (in pieces of at most ``PIECE``
+code points), k-grams 4 consecutive units.
+
 The *next* document is the one with the next smaller id; after the smallest comes the largest.
 Equal ids are ordered by text; null ids come last.  Documents are dealt into ranges of ids of at
 most ``RANGES`` in number, each ordered by itself; a copy of each range's first document
@@ -25,7 +27,7 @@ from pyspark.sql import functions as F
 
 from . import shared
 
-K_DOUBLINGS, W_DOUBLINGS, PIECE = 2, 4, 16
+K_CHARS, K_DOUBLINGS, W_DOUBLINGS, PIECE = 12, 2, 4, 16
 RANGES, RANGE_ROWS = 65536, 2048
 #: Low bits of a selected value hold the position (counted downwards), the others the hash.
 POSITION_BITS = 30
@@ -45,7 +47,13 @@ def units(text: Column, piece: int = PIECE) -> Column:
     return F.regexp_extract_all(text, F.lit(rf"[^\x20\x09-\x0D]{{1,{piece}}}"), F.lit(0))
 
 
-def kgrams(text: Column, k_doublings: int = K_DOUBLINGS, piece: int = PIECE) -> Column:
+def char_grams(text: Column, k: int = K_CHARS) -> Column:
+    """Hashes of k consecutive characters, one from every character on; of the whole text, if it is shorter."""
+    found = F.regexp_extract_all(text, F.lit(rf"(?s)(?=(.{{{k}}}))."), F.lit(1))
+    return F.when(F.char_length(text) >= k, F.transform(found, lambda g: F.xxhash64(g))).when(F.char_length(text) > 0, F.array(F.xxhash64(text))).otherwise(F.array().cast("array<bigint>"))
+
+
+def word_grams(text: Column, k_doublings: int = K_DOUBLINGS, piece: int = PIECE) -> Column:
     """Hashes of 2**k_doublings consecutive units; of all of them, if they are fewer."""
     k = 1 << k_doublings
 
@@ -58,7 +66,7 @@ def kgrams(text: Column, k_doublings: int = K_DOUBLINGS, piece: int = PIECE) ->
     return let(F.transform(units(text, piece), lambda u: F.xxhash64(u)), grams)
 
 
-def winnow(text: Column, k_doublings: int = K_DOUBLINGS, w_doublings: int = W_DOUBLINGS, piece: int = PIECE) -> Column:
+def winnow(text: Column, w_doublings: int = W_DOUBLINGS, grams=word_grams) -> Column:
     """Selected values in the order of the text: hash above, position from the end of the range below."""
     top = (1 << POSITION_BITS) - 1
 
@@ -68,7 +76,7 @@ def winnow(text: Column, k_doublings: int = K_DOUBLINGS, w_doublings: int = W_DO
             out = doubled(out, 1 << d, lambda a, b: F.least(a, b))
         return F.when(F.size(keys) >= 1 << w_doublings, F.array_distinct(out)).when(F.size(keys) > 0, F.array(F.array_min(keys))).otherwise(keys)
 
-    keyed = F.transform(kgrams(F.coalesce(text, F.lit("")), k_doublings, piece), lambda h, i: F.shiftleft(F.shiftright(h, POSITION_BITS), POSITION_BITS).bitwiseOR(F.lit(top) - i.cast("long")))
+    keyed = F.transform(grams(F.coalesce(text, F.lit(""))), lambda h, i: h.bitwiseAND(F.lit(-1 - top)).bitwiseOR(F.lit(top) - i))
     return let(keyed, select)
 
 
@@ -94,7 +102,7 @@ def likeness(a: Column, b: Column) -> Column:
     return let(F.size(F.array_intersect(a, b)), lambda n: F.when(F.size(a) + F.size(b) == 0, F.lit(1.0)).otherwise(n / (F.size(a) + F.size(b) - n)))
 
 
-def with_next(docs: DataFrame, range_rows: int = RANGE_ROWS) -> DataFrame:
+def with_next(docs: DataFrame, range_rows: int = RANGE_ROWS, grams=word_grams) -> DataFrame:
     """doc_id, text, fp, and next_text, next_fp of the next document in descending order of ids."""
     base = shared.keyed_text(docs).select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
     lo, hi, n = base.agg(F.min("doc_id"), F.max("doc_id"), F.count("*")).first()
@@ -107,15 +115,15 @@ def with_next(docs: DataFrame, range_rows: int = RANGE_ROWS) -> DataFrame:
     above = firsts.select(F.col("range").alias("_range"), "top", F.coalesce(F.lead("range").over(Window.orderBy("range")), F.min("range").over(Window.orderBy("range").rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing))).alias("above"))
     ghosts = base.join(F.broadcast(above), (F.col("range") == F.col("_range")) & F.col("doc_id").eqNullSafe(F.col("top")))
     ghosts = ghosts.groupBy("_range", "above").agg(F.min("text").alias("text")).select(F.lit(None).cast("long").alias("doc_id"), "text", F.col("above").alias("range"), F.lit(1).alias("ghost"))
-    both = base.withColumn("ghost", F.lit(0)).unionByName(ghosts).withColumn("fp", winnow(F.col("text")))
+    both = base.withColumn("ghost", F.lit(0)).unionByName(ghosts).repartition("range").withColumn("fp", winnow(F.col("text"), grams=grams))  # after the shuffle, which holds texts only
     order = Window.partitionBy("range").orderBy("ghost", F.col("doc_id").desc_nulls_last(), "text")
     return both.select("doc_id", "text", "fp", "ghost", F.lead("text").over(order).alias("next_text"), F.lead("fp").over(order).alias("next_fp")).where("ghost = 0").drop("ghost")
 
 
-def fingerprints(docs: DataFrame, range_rows: int = RANGE_ROWS) -> DataFrame:
+def fingerprints(docs: DataFrame, range_rows: int = RANGE_ROWS, grams=word_grams) -> DataFrame:
     """doc_id, n_chars, edited_sha256, fingerprint, edited_fingerprint, near_edited, near_next for every row."""
-    rows = with_next(docs, range_rows).withColumn("n_chars", F.char_length("text").cast("long"))
+    rows = with_next(docs, range_rows, grams).withColumn("n_chars", F.char_length("text").cast("long"))
     edited = F.expr("concat(left(text, cast(n_chars - div(n_chars, 2) as int)), left(next_text, cast(div(n_chars, 2) as int)))")
     rows = rows.select("doc_id", "n_chars", "fp", hashes(F.col("next_fp")).alias("next_h"), edited.alias("edited"))
-    rows = rows.select("doc_id", "n_chars", "fp", hashes(F.col("fp")).alias("h"), "next_h", F.sha2(F.encode("edited", "UTF-8"), 256).alias("edited_sha256"), winnow(F.col("edited")).alias("efp"))
+    rows = rows.select("doc_id", "n_chars", "fp", hashes(F.col("fp")).alias("h"), "next_h", F.sha2(F.encode("edited", "UTF-8"), 256).alias("edited_sha256"), winnow(F.col("edited"), grams=grams).alias("efp"))
     return rows.select("doc_id", "n_chars", "edited_sha256", as_string(F.col("fp")).alias("fingerprint"), as_string(F.col("efp")).alias("edited_fingerprint"), likeness(F.col("h"), hashes(F.col("efp"))).alias("near_edited"), likeness(F.col("h"), F.col("next_h")).alias("near_next"))
