@@ -58,6 +58,20 @@ def test_edge_cases(docs, rows, empty, labelled, model):
     assert model.scored(docs, labels.limit(0)).count() == len(rows)
 
 
+def test_toxicity_behind_a_common_banner(spark, labelled):
+    """Texts that begin alike are different texts: their words still enter the lexicon; whole copies count once."""
+    docs, labels, truth = labelled
+    banner = "this page is served by the archive of a source with a header of more than eighty characters: "
+    behind = spark.createDataFrame([(r["doc_id"], banner + r["text"]) for r in docs.collect()], docs.schema)
+    lexicon = toxicity.train(behind, labels).lexicon
+    assert {"=blargh", "=snurfle"} <= lexicon
+    held = [r for r in toxicity.scored(behind, labels).collect() if r["held_out"]]
+    assert np.mean([r["predicted"] == truth[r["doc_id"]][1] for r in held]) >= 0.97
+    copies = spark.createDataFrame([(10000 + i, banner + "zork zork") for i in range(200)], docs.schema)
+    marked = spark.createDataFrame([(10000 + i, 1, 1) for i in range(200)], labels.schema)
+    assert "=zork" not in toxicity.train(behind.unionByName(copies), labels.unionByName(marked)).lexicon
+
+
 def test_isotonic_is_monotone():
     z, y = np.array([0.1, 0.2, 0.2, 0.5, 0.9]), np.array([0.0, 1.0, 0.0, 0.0, 1.0])
     xs, ys = toxicity.isotonic(z, y)

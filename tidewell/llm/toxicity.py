@@ -1,7 +1,7 @@
 """Toxicity: gradient-boosted trees over dense features, with isotonic calibration.
 
 1. The lexicon is learned: words and word beginnings of four and five characters, with their document frequencies in
-   toxic and in other labelled texts (of texts that begin alike, one); those far more frequent in toxic ones stay, at
+   toxic and in other labelled texts (of whole-text copies with one label, the one with the smallest id); those far more frequent in toxic ones stay, at
    most ``LEXICON`` of them.
 2. Dense features per text: densities and counts of lexicon words, densest stretch, nearness to the second person,
    capitals, punctuation, obfuscated words (digits or marks inside a word) and lexicon words found only after
@@ -206,10 +206,16 @@ def train(docs: DataFrame, labels: DataFrame) -> Model:
     toxic, other = n[0][1] + n[1][1], n[0][0] + n[1][0]
     if not toxic or not other:
         return Model(frozenset(), None, None, 1.0 if toxic else 0.0)
-    counts = term_counts(rows.withColumn("_start", F.substring("text", 1, 80)).dropDuplicates(["_start", "y"])).where("toxic0 + toxic1 >= 2").where("(toxic0 + toxic1) > 8 * (other0 + other1) * " + repr(toxic / (toxic + other)))
+    first = F.min(F.struct("doc_id", "half")).alias("first")
+    texts = scratch.keep(rows.groupBy(F.sha2(F.encode(F.coalesce("text", F.lit("")), "UTF-8"), 256).alias("copy"), "y").agg(first).select(F.col("first.doc_id").alias("_id"), F.col("first.half").alias("_half"), F.col("y").alias("_y"), "copy"), "texts")
+    distinct = {(r["_half"], r["_y"]): r["n"] for r in texts.groupBy("_half", "_y").agg(F.count("*").alias("n")).collect()}
+    m = [[distinct.get((h, y), 0) for y in (0, 1)] for h in (0, 1)]
+    m_toxic, m_other = m[0][1] + m[1][1], m[0][0] + m[1][0]
+    single = rows.withColumn("_copy", F.sha2(F.encode(F.coalesce("text", F.lit("")), "UTF-8"), 256)).join(texts, (F.col("doc_id") == F.col("_id")) & (F.col("y") == F.col("_y")) & (F.col("_copy") == F.col("copy"))).dropDuplicates(["copy", "y"]).select("text", "y", "half")
+    counts = term_counts(single).where("toxic0 + toxic1 >= 2").where("(toxic0 + toxic1) > 8 * (other0 + other1) * " + repr(m_toxic / (m_toxic + m_other)))
     listed = [(r["term"], r["toxic0"], r["other0"], r["toxic1"], r["other1"]) for r in counts.orderBy(F.desc(F.col("toxic0") + F.col("toxic1")), "term").limit(LEXICON).collect()]
-    whole = lexicon_from([(t, a + c, b + d) for t, a, b, c, d in listed], toxic, other)
-    apart = [lexicon_from([(t, c, d) for t, _, _, c, d in listed], n[1][1], n[1][0]), lexicon_from([(t, a, b) for t, a, b, _, _ in listed], n[0][1], n[0][0])]  # for half 0: from half 1
+    whole = lexicon_from([(t, a + c, b + d) for t, a, b, c, d in listed], m_toxic, m_other)
+    apart = [lexicon_from([(t, c, d) for t, _, _, c, d in listed], m[1][1], m[1][0]), lexicon_from([(t, a, b) for t, a, b, _, _ in listed], m[0][1], m[0][0])]  # for half 0: from half 1
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         readers = [Reader(x) for x in apart]
@@ -220,7 +226,7 @@ def train(docs: DataFrame, labels: DataFrame) -> Model:
 
     data = rows.mapInArrow(run, "doc_id long, y int, half int, x array<float>").orderBy("doc_id", "y", "half").collect()  # at most SAMPLE ids
     x, y, half = np.array([r["x"] for r in data]), np.array([r["y"] for r in data], float), np.array([r["half"] for r in data])
-    scratch.drop("sample")
+    scratch.drop("sample", "texts")
     trees, z, halves = Boosted(x, y), np.zeros(len(y)), [h for h in (0, 1) if len(set(y[half != h])) == 2 and (half == h).any()]
     for h in halves:
         z[half == h] = Boosted(x[half != h], y[half != h]).raw(x[half == h])
