@@ -140,6 +140,24 @@ def test_fingerprints_empty(empty):
     assert winnowing.fingerprints(empty).count() == 0
 
 
+def test_shards_count_the_same_terms(spark, monkeypatch):
+    """Document frequencies of words with capitals beyond ASCII don't depend on the number of shards."""
+    items = spark.createDataFrame([(i, f"ÉCOLE Ünder word{i} Common-Word École") for i in range(12)], "item_id long, text string")
+    seen, make = {}, decontamination.Index
+
+    def spy(rows, df, n, average):
+        seen.update(df)
+        return make(rows, df, n, average)
+
+    monkeypatch.setattr(decontamination, "Index", spy)
+    assert len(list(decontamination.shards(items))) == 1
+    one = dict(seen)
+    seen.clear()
+    monkeypatch.setattr(decontamination, "SHARD_ITEMS", 4)
+    assert len(list(decontamination.shards(items))) > 1
+    assert seen == one and one["ÉCOLE".translate({ord(c): c.lower() for c in "COLE"}).encode()] == 12
+
+
 def brute_char_winnow(text: str) -> list[int]:
     """As ``brute_winnow``, on runs of 12 characters."""
     grams = [text[i : i + 12] for i in range(len(text) - 11)] or [text] * bool(text)

@@ -198,7 +198,7 @@ class Index:
 
 def shards(items: DataFrame) -> Iterator[Index]:
     """Indexes that together hold all items."""
-    words = F.expr(r"filter(split(lower(regexp_replace(text, '[\\x00-\\x7F&&[^A-Za-z0-9]]', ' ')), ' '), x -> x <> '')")
+    words = F.filter(F.split(shared.ascii_lower(F.regexp_replace("text", r"[\x00-\x7F&&[^A-Za-z0-9]]", " ")), " "), lambda x: x != "")
     size = items.agg(F.count("*"), F.sum(F.octet_length("text"))).first()
     n = max(1, -(-size[0] // SHARD_ITEMS), -(-(size[1] or 0) // SHARD_BYTES))
     terms = items.select(F.monotonically_increasing_id().alias("i"), words.alias("w")).where("size(w) > 0")
