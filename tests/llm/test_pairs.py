@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import hashlib
+import math
 
 import numpy as np
 import pytest
@@ -64,6 +65,16 @@ def test_trees_reach_recall():
     assert 1 - (1 - near_dup.survival(0.8, 0.8, near_dup.EXPECTED_DEPTH)) ** t >= near_dup.RECALL
 
 
+def test_trees_follow_the_levels_in_use(docs, monkeypatch):
+    """Trees reach the recall at the depth that a corpus needs, sketches' spread included, and are the ones grown."""
+    grown, branch = [], near_dup.branch
+    monkeypatch.setattr(near_dup, "branch", lambda rows, trees, threshold: grown.append(trees) or branch(rows, trees, threshold))
+    monkeypatch.setattr(near_dup, "levels_for", lambda n: 5)
+    near_dup.near_duplicates(docs.where("doc_id between 20 and 72")).count()
+    lost = sum(math.comb(128, k) * 0.8**k * 0.2 ** (128 - k) * (1 - near_dup.survival(k / 128, 0.8, 5)) ** grown[0] for k in range(129))
+    assert len(set(grown)) == 1 and lost <= 1 - near_dup.RECALL
+
+
 @settings(max_examples=50, deadline=None)
 @given(st.lists(st.lists(st.integers(0, 20), min_size=1, max_size=12), min_size=2, max_size=12))
 def test_linked_is_exact(groups):

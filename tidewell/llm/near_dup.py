@@ -35,7 +35,7 @@ from . import shared
 from .components import connected
 
 COORDINATES, SMALL = 128, 16
-#: Wanted chance that a pair exactly at the threshold meets in some leaf, if leaves are EXPECTED_DEPTH deep.
+#: Wanted chance that a pair exactly at the threshold meets in some leaf, however deep; EXPECTED_DEPTH is the least depth allowed for.
 RECALL, EXPECTED_DEPTH = 1 - 1e-6, 3
 #: Share of unrelated documents that agree in one token, at most; sets the number of levels that part them.
 AGREE = 0.02
@@ -53,7 +53,12 @@ def survival(similarity: float, threshold: float, depth: int) -> float:
 
 
 def trees_for(threshold: float, recall: float = RECALL, depth: int = EXPECTED_DEPTH) -> int:
-    return math.ceil(math.log(1 - recall) / math.log(1 - survival(threshold, threshold, depth)))
+    """Trees for that recall, with the spread of the number of coordinates that a pair at the threshold agrees in."""
+    agree = [(math.comb(COORDINATES, k) * threshold**k * (1 - threshold) ** (COORDINATES - k), 1 - survival(k / COORDINATES, threshold, depth)) for k in range(COORDINATES + 1)]
+    trees = 1
+    while sum(p * lost**trees for p, lost in agree) > 1 - recall:
+        trees += 1
+    return trees
 
 
 def levels_for(documents: int) -> int:
@@ -167,7 +172,8 @@ def leaf_links(leaves: DataFrame, least: int) -> DataFrame:
 
 def candidates(reps: DataFrame, scratch: shared.Scratch, threshold: float) -> DataFrame:
     """Links (a, b) between representatives that may be similar enough, complete but for the wanted recall."""
-    trees, least, last = trees_for(threshold), least_bits(threshold), levels_for(reps.count())
+    least, last = least_bits(threshold), levels_for(reps.count())
+    trees = trees_for(threshold, depth=max(EXPECTED_DEPTH, last))
     found, rows = None, reps.select("rep", "sig", "b0", "b1")
     for depth in range(1, last + 1):
         frontier = scratch.keep(branch(rows, trees, threshold), f"frontier_{depth}")
