@@ -140,5 +140,19 @@ def test_languages(spark, empty):
     assert language_id.identify(pages.limit(0), docs.limit(0)).count() == 0
 
 
+def test_every_language_is_a_class(spark):
+    langs = [f"{a}{b}" for a in "abcdefg" for b in "abcdefghij"]
+    r = random.Random(4)
+    rows = []
+    for k, lang in enumerate(langs):
+        words = vocabulary(100 + k, 30)
+        rows += [(10 * k + j, " ".join(r.choice(words) for _ in range(40)), lang, "s") for j in range(2 if k < 64 else 1)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string")
+    assert language_id.train(docs)[0] == sorted(langs)
+    with pytest.MonkeyPatch.context() as m, pytest.raises(ValueError, match="70 values"):
+        m.setattr(language_id, "MOST_CLASSES", 69)
+        language_id.train(docs)
+
+
 def test_queries_are_numbered():
     assert sorted(int(n[2:].split("_")[0]) for n in queries()) == list(range(1, 11))

@@ -12,6 +12,7 @@ For each row the log-likelihoods of four sources add up:
   to ``STRENGTH`` virtual rows of the level above, the suffix to those of the whole table).
 
 Hosts are aggregated before they are joined, so a host with a third of all rows is one row per task in the shuffle.
+Every language that occurs in the training table is a class; over ``MOST_CLASSES`` values raise an error.
 Rows without text, declaration or host use what they have; one without anything gets the table's prior.  Every
 input row gives one output row; an empty training table or input gives null languages or an empty result.
 """
@@ -22,13 +23,14 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from . import shared
-from .labelled import bounded
 
-BUCKETS, SAMPLE, EVIDENCE, STRENGTH, MOST_LANGUAGES = 1 << 15, 400, 60.0, 5.0, 64
+BUCKETS, SAMPLE, EVIDENCE, STRENGTH = 1 << 15, 400, 60.0, 5.0
+#: More values of documents.lang than this are an error, never a cut (ISO 639-1 has fewer codes).
+MOST_CLASSES = 256
 #: Country suffixes that go with a language (fixed values).
 COUNTRY = {"de": "de", "at": "de", "fr": "fr", "es": "es", "mx": "es", "ar": "es", "uk": "en", "us": "en", "au": "en", "ie": "en", "it": "it", "pt": "pt", "br": "pt", "nl": "nl", "pl": "pl"}
 
@@ -46,22 +48,24 @@ FOLD = bytes(c if c > 127 or chr(c).isalpha() else 32 for c in range(256))
 def train(documents: DataFrame) -> tuple[list[str], np.ndarray]:
     """Languages and log-probabilities (languages x BUCKETS); documents: doc_id, text, lang."""
     known = documents.where("lang is not null and text is not null and doc_id is not null").select(F.col("doc_id").cast("long").alias("doc_id"), "lang", "text")
-    langs = sorted(r["lang"] for r in known.groupBy("lang").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "lang").limit(MOST_LANGUAGES).collect())
+    langs = sorted(r["lang"] for r in known.select("lang").distinct().collect())
+    if len(langs) > MOST_CLASSES:
+        raise ValueError(f"documents.lang has {len(langs)} values; the model holds at most {MOST_CLASSES} languages, and none is left out silently")
     counts = np.full((len(langs), BUCKETS), 0.05)
-    for k, lang in enumerate(langs):
-        sample = bounded(known.where(F.col("lang") == lang).select("doc_id"), SAMPLE)
-
-        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            total = np.zeros(BUCKETS, np.int64)
-            for b in shared.byte_slices(batches, "text"):
-                for t in shared.raw_texts(b.column("text")):
-                    total += np.bincount(trigrams(t), minlength=BUCKETS)
-            at = np.flatnonzero(total)
-            yield pa.RecordBatch.from_arrays([pa.array(at, pa.int32()), pa.array(total[at])], names=["b", "n"])
-
-        rows = known.join(F.broadcast(sample), "doc_id").select("text").mapInArrow(run, "b int, n long")
-        for r in rows.groupBy("b").agg(F.sum("n").alias("n")).collect():  # at most BUCKETS rows
-            counts[k, r["b"]] += r["n"]
+    order = Window.partitionBy("lang").orderBy(F.xxhash64("doc_id"), "doc_id")
+    sample = known.select("lang", "doc_id").distinct().withColumn("r", F.row_number().over(order)).where(F.col("r") <= SAMPLE).drop("r")
+    place = {lang: k for k, lang in enumerate(langs)}
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in shared.byte_slices(batches, "text"):
+            codes = [place[x] * BUCKETS + trigrams(t).astype(np.int64) for x, t in zip(b.column("lang").to_pylist(), shared.raw_texts(b.column("text")), strict=True)]
+            if codes:
+                at, n = np.unique(np.concatenate(codes), return_counts=True)
+                yield pa.RecordBatch.from_arrays([pa.array(at, pa.int64()), pa.array(n, pa.int64())], names=["at", "n"])
+
+    rows = known.join(F.broadcast(sample), ["doc_id", "lang"]).select("lang", "text").mapInArrow(run, "at long, n long")
+    found = rows.groupBy("at").agg(F.sum("n").alias("n")).toArrow()  # at most BUCKETS rows a language
+    counts.reshape(-1)[found.column("at").to_numpy()] += found.column("n").to_numpy()
     return langs, np.log(counts / counts.sum(1, keepdims=True)) if langs else counts
 
 
