@@ -23,8 +23,8 @@ def keep_one_of_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: st
 
 def cut_repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Texts without the passages of 13 words or more that a document with a smaller id has; other texts stay as they are."""
-    found = substring_dedup.deduplicate(docs, with_text=True).where("n_removed > 0 and doc_id is not null").select(F.col("doc_id").alias("_id"), F.col("tag").alias("_tag"), F.col("kept_text").alias("_kept")).dropDuplicates(["_id", "_tag"])
-    joined = docs.join(found, (F.col("doc_id") == F.col("_id")) & (F.xxhash64("text") == F.col("_tag")), "left")
+    found = substring_dedup.deduplicate(docs, with_text=True).where("n_removed > 0").select(F.col("doc_id").alias("_id"), F.col("tag").alias("_tag"), F.col("kept_text").alias("_kept")).dropDuplicates(["_id", "_tag"])
+    joined = docs.join(found, F.col("doc_id").eqNullSafe(F.col("_id")) & (F.xxhash64("text") == F.col("_tag")), "left")
     return joined.select("doc_id", F.coalesce("_kept", "text").alias("text"), "lang", "source", F.when(F.col("_kept").isNull(), F.col("n_chars")).otherwise(F.char_length("_kept").cast("long")).alias("n_chars"))
 
 

@@ -32,3 +32,12 @@ def test_stages(spark, sf):
         assert (r["doc_id"] in left) == (not any(i in t for i in items))
     assert {r["doc_id"] for r in stages["packing"](spark, clean, sf).collect()} == left
     assert clean.columns == docs.columns
+
+
+def test_null_ids_are_cut_too(spark, sf):
+    passage = " ".join(f"p{k}" for k in range(20))
+    rows = [(1, f"one {passage} end"), (None, f"two {passage} tail"), (None, f"three {passage}"), (None, "nothing shared here"), (None, None)]
+    docs = spark.createDataFrame([(i, t, "en", "s", len(t or "")) for i, t in rows], "doc_id long, text string, lang string, source string, n_chars long")
+    got = dict(pipeline.STAGES)["repeated_passages"](spark, docs, sf).collect()
+    assert sorted(str(r["text"]) for r in got) == sorted(["None", "nothing shared here", f"one {passage} end", "three", "two tail"])
+    assert all(r["n_chars"] == len(r["text"] or "") for r in got)
