@@ -9,8 +9,9 @@ import zlib
 
 import numpy as np
 import xxhash
-from hypothesis import given, settings
+from hypothesis import HealthCheck, given, settings
 from hypothesis import strategies as st
+from pyspark.sql import functions as F
 
 from tidewell.llm import decontamination, packing, token_counts, winnowing
 from tidewell.llm.queries import queries
@@ -127,7 +128,7 @@ def test_fingerprints(docs, rows):
         f, e = brute_winnow(t), brute_winnow(edited)
         want[i, len(t), hashlib.sha256(edited.encode()).hexdigest(), round(jaccard(f, e), 9), round(jaccard(f, brute_winnow(after)), 9), len(f), len(e)] += 1
     for n in (7, 2048):
-        got = winnowing.fingerprints(docs, n).collect()
+        got = winnowing.fingerprints(docs, n, keys=winnowing.word_keys).collect()
         size = lambda s: len(s.split()) if s else 0
         assert collections.Counter((r["doc_id"], r["n_chars"], r["edited_sha256"], round(r["near_edited"], 9), round(r["near_next"], 9), size(r["fingerprint"]), size(r["edited_fingerprint"])) for r in got) == want
     prints = {}
@@ -136,6 +137,35 @@ def test_fingerprints(docs, rows):
     assert prints[30] == prints[31] != prints[83]
 
 
+def test_ranges_follow_quantiles_not_values(spark):
+    """Dense ids beside an outlier, and ids far apart: no range holds much more than its share."""
+    ids = [*range(5000), 10**15, -(2**63), 2**63 - 1, None, None]
+    docs = spark.createDataFrame([(i, f"text number {i} of several") for i in ids], "doc_id long, text string").repartition(3)
+    lows = winnowing.borders(docs, 50)
+    assert 40 <= len(lows) <= 49 and lows == sorted(lows)
+    sizes = docs.groupBy(winnowing.range_of(F.col("doc_id"), lows).alias("r")).count().collect()
+    assert max(r["count"] for r in sizes) <= 400 and {r["r"] for r in sizes} == set(range(-1, len(lows) + 1))
+    got = {r["doc_id"]: r for r in winnowing.fingerprints(docs, 100).collect()}
+    text = lambda i: f"text number {i} of several"
+    order = sorted([i for i in ids if i is not None], reverse=True)
+    for a, b in zip(order, order[1:], strict=False):
+        half = len(text(a)) // 2
+        assert got[a]["edited_sha256"] == hashlib.sha256((text(a)[: len(text(a)) - half] + text(b)[:half]).encode()).hexdigest()
+
+
+@settings(max_examples=25, deadline=None, suppress_health_check=list(HealthCheck))
+@given(st.lists(st.tuples(st.text("abé\U0001f642 ", max_size=4).map(lambda t: t or "x"), st.integers(1, 130)), min_size=2, max_size=6))
+def test_spliced_equals_a_second_pass(spark, parts):
+    """Periodic texts (many ties) and short and long halves: the spliced selection is that of the edited text."""
+    docs = spark.createDataFrame([(i, t * n) for i, (t, n) in enumerate(parts)], "doc_id long, text string")
+    for r in winnowing.fingerprints(docs).collect():
+        i = r["doc_id"]
+        text, after = parts[i][0] * parts[i][1], parts[i - 1][0] * parts[i - 1][1]
+        edited = text[: len(text) - len(text) // 2] + after[: len(text) // 2]
+        want = [(v >> 30 & (1 << 34) - 1, (1 << 30) - 1 - (v & (1 << 30) - 1)) for v in brute_char_winnow(edited)]
+        assert [(int(x.split("@")[0], 16), int(x.split("@")[1])) for x in r["edited_fingerprint"].split()] == want
+
+
 def test_fingerprints_empty(empty):
     assert winnowing.fingerprints(empty).count() == 0
 
