@@ -6,6 +6,7 @@ import hashlib
 import math
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
@@ -68,13 +69,67 @@ def test_trees_reach_recall():
 def test_trees_follow_the_levels_in_use(docs, monkeypatch):
     """Trees reach the recall at the depth that a corpus needs, sketches' spread included, and are the ones grown."""
     grown, branch = [], near_dup.branch
-    monkeypatch.setattr(near_dup, "branch", lambda rows, trees, threshold: grown.append(trees) or branch(rows, trees, threshold))
-    monkeypatch.setattr(near_dup, "levels_for", lambda n: 5)
+    monkeypatch.setattr(near_dup, "branch", lambda rows, trees, *more: grown.append(trees) or branch(rows, trees, *more))
+    monkeypatch.setattr(near_dup, "levels_for", lambda n: 7)
     near_dup.near_duplicates(docs.where("doc_id between 20 and 72")).count()
-    lost = sum(math.comb(128, k) * 0.8**k * 0.2 ** (128 - k) * (1 - near_dup.survival(k / 128, 0.8, 5)) ** grown[0] for k in range(129))
+    lost = sum(math.comb(128, k) * 0.8**k * 0.2 ** (128 - k) * (1 - near_dup.survival(k / 128, 0.8, 7)) ** grown[0] for k in range(129))
     assert len(set(grown)) == 1 and lost <= 1 - near_dup.RECALL
 
 
+@pytest.mark.parametrize(("levels", "heavy"), [(2, 1.0), (3, 0.002), (4, 0.05)])
+def test_levels_and_heavy_nodes_change_nothing(docs, rows, levels, heavy, monkeypatch):
+    """Starting deeper, or sending heavy nodes past the shuffle, finds the same components."""
+    monkeypatch.setattr(near_dup, "levels_for", lambda n: levels)
+    monkeypatch.setattr(near_dup, "HEAVY", heavy)
+    monkeypatch.setattr(near_dup, "SMALL", 4)
+    want = brute_components(rows, 2, 80)
+    for r in near_dup.near_duplicates(docs, words=2).where("doc_id is not null").collect():
+        assert r["component_id"] == want[r["doc_id"]]
+
+
+def test_repeated_rows_are_one_text(spark, monkeypatch):
+    """A row repeated 10,000 times beside a near copy is compared once; an id with several texts joins their groups."""
+    base = " ".join(f"w{k}" for k in range(60))
+    near = base.replace("w30", "other")
+    given_rows = [(7, base)] * 10000 + [(9, near), (5, "alone " + base.upper()), (1, "quite another text of a few words"), (9, "quite another text of a few words")]
+    docs = spark.createDataFrame(given_rows, "doc_id long, text string").repartition(4)
+    seen, linked = [], near_dup.verify_clusters
+    monkeypatch.setattr(near_dup, "verify_clusters", lambda members, *more: seen.append(members.count()) or linked(members, *more))
+    got = near_dup.near_duplicates(docs, words=2).groupBy("doc_id", "component_id").count().collect()
+    assert {r["doc_id"]: (r["component_id"], r["count"]) for r in got} == {7: (1, 10000), 9: (1, 2), 5: (1, 1), 1: (1, 1)}
+    assert seen[0] <= 5
+
+
+@settings(max_examples=30, deadline=None)
+@given(st.lists(st.integers(0, 6), min_size=1, max_size=200), st.integers(1, 17))
+def test_grouped_streams_like_groups(nodes, size):
+    """Links within leaves and rows of large nodes, however the rows are cut into batches."""
+    nodes, fed = sorted(nodes), {}
+    table = pa.table({"kind": pa.array([0] * len(nodes), pa.int32()), "rep": range(len(nodes)), "node": nodes, "b0": [0] * len(nodes), "b1": [0] * len(nodes)})
+
+    class Frame:
+        def repartition(self, _):
+            return self
+
+        sortWithinPartitions = repartition
+
+        def mapInArrow(self, run, _):
+            fed["out"] = list(run(iter(table.to_batches(max_chunksize=size))))
+
+    near_dup.grouped(Frame(), 100)
+    out = pa.Table.from_batches(fed["out"]).to_pylist() if fed["out"] else []
+    counts = {n: nodes.count(n) for n in nodes}
+    assert sorted(r["rep"] for r in out if r["kind"] == 2) == [i for i, n in enumerate(nodes) if counts[n] > near_dup.SMALL]
+    forest = shared.Forest()
+    for r in out:
+        if r["kind"] == 1:
+            assert nodes[r["rep"]] == nodes[r["node"]]
+            forest.join(r["rep"], r["node"])
+    for n, c in counts.items():
+        if 1 < c <= near_dup.SMALL:
+            assert len({forest.root(i) for i, x in enumerate(nodes) if x == n}) == 1
+
+
 @settings(max_examples=50, deadline=None)
 @given(st.lists(st.lists(st.integers(0, 20), min_size=1, max_size=12), min_size=2, max_size=12))
 def test_linked_is_exact(groups):

@@ -36,20 +36,23 @@ def connected(edges: DataFrame, scratch: Scratch, name: str, most: int = 60) ->
     """(id, root): every id of ``edges`` (a, b) with the smallest id of its component.
 
     A step points all neighbours of an id at the smallest of them; both kinds of step are one aggregation
-    and one join on edges, which only shrink in reach.  No component is gathered anywhere.
+    and one join on edges, which only shrink in reach.  No component is gathered anywhere.  Aggregates are combined in
+    the tasks first and written, so that each join has a shuffle of its own on either side: a hub's edges are then
+    dealt to several tasks by the adaptive skew join.
     """
     now = scratch.keep(edges.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).where("a <> b").mapInArrow(forests, "a long, b long"), f"{name}_0")
     before, done = None, None
     for k in range(1, most):
         both = now.unionByName(now.select(F.col("b").alias("a"), F.col("a").alias("b")))
-        least = both.groupBy("a").agg(F.min("b").alias("m")).select(F.col("a").alias("u"), F.least("a", "m").alias("m"))
+        least = scratch.keep(both.groupBy("a").agg(F.min("b").alias("m")).select(F.col("a").alias("u"), F.least("a", "m").alias("m")), f"{name}_least")
         # Every edge gives one row in either step, so the graph never grows and needs no distinct.
         large = both.join(least, F.col("a") == F.col("u")).where("b > a").select(F.col("b").alias("a"), F.col("m").alias("b"))
-        least = large.groupBy("a").agg(F.min("b").alias("m")).withColumnRenamed("a", "u")
+        large = scratch.keep(large, f"{name}_large")
+        least = scratch.keep(large.groupBy("a").agg(F.min("b").alias("m")).withColumnRenamed("a", "u"), f"{name}_near")
         small = large.join(least, F.col("a") == F.col("u")).select(F.when(F.col("b") == F.col("m"), F.col("a")).otherwise(F.col("b")).alias("a"), F.col("m").alias("b"))
         now = scratch.keep(small.mapInArrow(forests, "a long, b long"), f"{name}_{k}")
         done = now.groupBy("a").agg(F.min("b").alias("b")).agg(F.count("*"), F.count_if(F.col("a") < F.col("b")), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first()
-        scratch.drop(f"{name}_{k - 1}")
+        scratch.drop(f"{name}_{k - 1}", f"{name}_least", f"{name}_large", f"{name}_near")
         if done == before:
             break
         before = done

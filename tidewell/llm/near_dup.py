@@ -6,19 +6,25 @@ gives each document its connected component.
 
 1. One pass makes each set's size, a 128-bit key of the whole set and 128 minwise tokens.  Equal sets share a
    key and are represented by their smallest id from here on, so copies never meet one another.
-2. Chosen paths: every representative starts at the root of each of ``TREES`` independent trees.  A node picks one
+2. Chosen paths: every representative starts at the root of each of several independent trees.  A node picks one
    coordinate, in a quarter of the cases two (1 / 0.8 on average), and sends a document to the child named by its
-   minwise token there.  Which coordinates a node picks depends on its path alone, so a level needs only node
-   counts.  Nodes of at most ``SMALL`` documents are leaves and are compared exhaustively on 128 one-bit tokens;
-   larger ones branch on, for as many levels as part unrelated documents of a corpus of this size.  What is still together then agrees in that many tokens and becomes
-   a candidate as a whole, as a star around its smallest id.  The number of trees follows from the wanted recall.
+   minwise token there.  Which coordinates a node picks depends on its path alone, so paths need no node table, and the
+   levels at which a corpus of this size only has large nodes are passed in one step.  Then nodes of at most ``SMALL``
+   documents are leaves, compared exhaustively on 128 one-bit tokens; larger ones branch on, for as many levels as part
+   unrelated documents of a corpus of this size.  What is still together then agrees in that many tokens and becomes a
+   candidate as a whole, as a star around its smallest id.  The number of trees follows from the wanted recall at the
+   greatest depth.  A level is one shuffle by node, read as a stream of groups of which at most ``SMALL`` rows are held.
+   Nodes with more than ``HEAVY`` of a level's rows, found on a bounded sample, skip that shuffle: they are large for sure.
 3. Candidates form clusters; each cluster's texts meet in one task, where all its links are decided on full sets.
    A cluster over ``BLOCK_SHINGLES`` is dealt into blocks instead: all blocks are compared with a pivot (the member
    nearest to the majority sketch); who is linked with it needs no comparison with others that are, the rest is
    compared with every block.  So a huge group of near copies costs a pass, and nothing is left out.
 
+Equal rows, however many, are one text from step 1 on: classes, members and texts are each aggregated by key in the
+tasks that read them, before any shuffle.
 Null or blank texts have empty sets and are linked with nothing.  A row with a null id is linked with nothing, has a null
-component and counts as kept.  Rows that share an id are one node; every input row gives one output row.
+component and counts as kept.  Rows that share an id are one node, with the texts of all of them; every input row gives
+one output row.  Texts are taken whole.  An empty table gives an empty result; other columns are ignored.
 """
 
 from __future__ import annotations
@@ -28,18 +34,22 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+import pyarrow.compute as pc
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from . import shared
-from .components import connected
+from .components import FOREST_IDS, connected
 
 COORDINATES, SMALL = 128, 16
-#: Wanted chance that a pair exactly at the threshold meets in some leaf, however deep; EXPECTED_DEPTH is the least depth allowed for.
-RECALL, EXPECTED_DEPTH = 1 - 1e-6, 3
+#: Wanted chance that a pair exactly at the threshold meets in some leaf, however deep; EXPECTED_DEPTH is the least depth
+#: allowed for, so that corpora of up to 300 million different texts grow the same trees.
+RECALL, EXPECTED_DEPTH = 1 - 1e-6, 5
 #: Share of unrelated documents that agree in one token, at most; sets the number of levels that part them.
 AGREE = 0.02
 BLOCK_SHINGLES, BLOCK_DOCS = 1_500_000, 1000
+#: Share of a level's rows from which a node is heavy, and rows looked at to find such nodes (so at most 1 / HEAVY of them).
+HEAVY, PROBED_ROWS = 1e-3, 200_000
 _ODD = np.uint64(0x9E3779B97F4A7C15)
 
 
@@ -109,23 +119,31 @@ def sketches(docs: DataFrame, words: int) -> DataFrame:
     return docs.mapInArrow(run, "doc_id long, n long, key binary, sig binary, b0 long, b1 long")
 
 
-FRONTIER = "rep long, node long, b0 long, b1 long"
+def children(sig: np.ndarray, row: np.ndarray, node: np.ndarray, limit: np.uint64) -> tuple[np.ndarray, np.ndarray]:
+    """(row, child) for one or two coordinates of every (row, node); ``sig`` holds the rows' minwise tokens."""
+    rows, nodes = [], []
+    for pick in (1, 2):
+        on = np.ones(len(node), bool) if pick == 1 else shared.mix64(node ^ _ODD) < limit
+        r, p = row[on], node[on]
+        at = shared.mix64(p + np.uint64(pick)) % np.uint64(COORDINATES)
+        token = sig[r, at.astype(np.int64)].astype(np.uint64)
+        rows.append(r)
+        nodes.append(shared.mix64(p * _ODD + shared.mix64(token << np.uint64(8) | at)))
+    return np.concatenate(rows), np.concatenate(nodes)
 
 
-def branch(rows: DataFrame, trees: int, threshold: float) -> DataFrame:
-    """Children of the nodes in ``parents`` (null: the roots of all trees) that each row's document is sent to."""
-    limit = np.uint64(int((1 / threshold - 1) * 2**64) if threshold < 1 else 0)
+#: kind 0: a row of a node, 1: a link between a and b, 2: a row of a node known to be large.
+FRONTIER = "kind int, rep long, node long, b0 long, b1 long"
+
+
+def frontier_batch(kind: np.ndarray, rep, node, b0, b1) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array(kind, pa.int32()), *[pa.array(x, pa.int64()) for x in (rep, node, b0, b1)]], names=["kind", "rep", "node", "b0", "b1"])
+
 
-    def children(sig: np.ndarray, row: np.ndarray, node: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        rows, nodes = [], []
-        for pick in (1, 2):
-            on = np.ones(len(node), bool) if pick == 1 else shared.mix64(node ^ _ODD) < limit
-            r, p = row[on], node[on]
-            at = shared.mix64(p + np.uint64(pick)) % np.uint64(COORDINATES)
-            token = sig[r, at.astype(np.int64)].astype(np.uint64)
-            rows.append(r)
-            nodes.append(shared.mix64(p * _ODD + shared.mix64(token << np.uint64(8) | at)))
-        return np.concatenate(rows), np.concatenate(nodes)
+def branch(rows: DataFrame, trees: int, threshold: float, levels: int = 1, heavy: np.ndarray | None = None) -> DataFrame:
+    """Nodes ``levels`` below those in ``parents`` (no such column: below the roots of all trees) that each row's document is sent to."""
+    limit = np.uint64(int((1 / threshold - 1) * 2**64) if threshold < 1 else 0)
+    known = np.zeros(0, np.uint64) if heavy is None else heavy
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         roots = shared.mix64(np.arange(1, trees + 1, dtype=np.uint64) * _ODD)
@@ -134,63 +152,125 @@ def branch(rows: DataFrame, trees: int, threshold: float) -> DataFrame:
                 b = whole.slice(start, 2000)
                 sig = np.frombuffer(b"".join(b.column("sig").to_pylist()), "<u4").reshape(b.num_rows, COORDINATES)
                 if "parents" in b.schema.names:
-                    lists = b.column("parents").to_pylist()
-                    row = np.repeat(np.arange(b.num_rows), [len(x) for x in lists])
-                    node = np.array([p for x in lists for p in x], np.int64).view(np.uint64)
+                    lists = b.column("parents")
+                    row = np.repeat(np.arange(b.num_rows), np.array(pc.list_value_length(lists)))
+                    node = lists.flatten().to_numpy(zero_copy_only=False).view(np.uint64)
                 else:
                     row, node = np.repeat(np.arange(b.num_rows), trees), np.tile(roots, b.num_rows)
-                row, node = children(sig, row, node)
-                take = pa.array(row)
-                yield pa.RecordBatch.from_arrays([b.column("rep").take(take), pa.array(node.view(np.int64)), b.column("b0").take(take), b.column("b1").take(take)], names=["rep", "node", "b0", "b1"])
+                for _ in range(levels):
+                    row, node = children(sig, row, node, limit)
+                rep, b0, b1 = (b.column(c).to_numpy()[row] for c in ("rep", "b0", "b1"))
+                yield frontier_batch(np.where(np.isin(node, known), 2, 0), rep, node.view(np.int64), b0, b1)
 
     return rows.mapInArrow(run, FRONTIER)
 
 
-def leaf_links(leaves: DataFrame, least: int) -> DataFrame:
-    """Exhaustive comparison within leaves on one-bit tokens; the links found, as a forest per batch."""
+def leaf_pairs(rep: np.ndarray, b0: np.ndarray, b1: np.ndarray, most: int) -> list[tuple[int, int]]:
+    """Pairs of a leaf's documents that differ in at most ``most`` one-bit tokens."""
+    x, y = np.triu_indices(len(rep), 1)
+    differ = np.bitwise_count(b0[x] ^ b0[y]).astype(np.int64) + np.bitwise_count(b1[x] ^ b1[y])
+    near = differ <= most
+    return list(zip(rep[x[near]].tolist(), rep[y[near]].tolist(), strict=True))
+
+
+def grouped(frontier: DataFrame, least: int) -> DataFrame:
+    """Links within leaves (a forest per batch, kind 1) and the rows of larger nodes (kind 2), in one pass over groups of nodes."""
+    most = COORDINATES - least
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in shared.whole_groups(batches, "node"):
-            node, rep = (b.column(c).to_numpy() for c in ("node", "rep"))
-            b0, b1 = (b.column(c).to_numpy().view(np.uint64) for c in ("b0", "b1"))
-            forest, out = shared.Forest(), []
-            for k in range(1, SMALL):
-                at = np.flatnonzero(node[k:] == node[:-k])
-                if not len(at):
-                    break
-                differ = np.bitwise_count(b0[at] ^ b0[at + k]).astype(int) + np.bitwise_count(b1[at] ^ b1[at + k])
-                at = at[differ <= COORDINATES - least]
-                for x, y in np.unique(np.stack([rep[at], rep[at + k]]), axis=1).T.tolist():
-                    if forest.join(x, y):
-                        out.append((x, y))
+        forest, open_node, held = shared.Forest(), None, None  # held: columns of the group that is still open; None: it is large
+
+        def leaf(part, out: list) -> None:
+            for x, y in leaf_pairs(part[0], part[2].view(np.uint64), part[3].view(np.uint64), most):
+                if forest.join(x, y):
+                    out.append((x, y))
+
+        def links(pairs: list) -> pa.RecordBatch:
+            a, b = (np.array(v, np.int64) for v in zip(*pairs, strict=True))
+            return frontier_batch(np.ones(len(a), int), a, b, np.zeros(len(a), np.int64), np.zeros(len(a), np.int64))
+
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            columns = [batch.column(c).to_numpy() for c in ("rep", "node", "b0", "b1")]
+            node, out, large = columns[1], [], np.zeros(batch.num_rows, bool)
+            cuts = np.r_[0, np.flatnonzero(np.diff(node)) + 1, batch.num_rows]
+            first = 0
+            if open_node is not None and node[0] == open_node:  # the open group goes on
+                end = cuts[1]
+                if held is not None and len(held[0]) + end > SMALL:
+                    yield frontier_batch(np.full(len(held[0]), 2), *held)
+                    held = None
+                if held is None:
+                    large[:end] = True
+                else:
+                    held = [np.concatenate([h, c[:end]]) for h, c in zip(held, columns, strict=True)]
+                first = 1
+            if first < len(cuts) - 1:
+                if held is not None and len(held[0]) > 1:
+                    leaf(held, out)
+                sizes = np.diff(cuts)
+                for k in np.flatnonzero((sizes[first:-1] > 1) & (sizes[first:-1] <= SMALL)) + first:
+                    leaf([c[cuts[k] : cuts[k + 1]] for c in columns], out)
+                for k in np.flatnonzero(sizes[first:] > SMALL) + first:
+                    large[cuts[k] : cuts[k + 1]] = True
+                open_node = node[-1]
+                held = None if sizes[-1] > SMALL else [c[cuts[-2] :].copy() for c in columns]
             if out:
-                a, c = zip(*out, strict=True)
-                yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(c, pa.int64())], names=["a", "b"])
+                yield links(out)
+            if large.any():
+                yield frontier_batch(np.full(int(large.sum()), 2), *[c[large] for c in columns])
+            if len(forest.up) > FOREST_IDS:
+                forest = shared.Forest()
+        if held is not None and len(held[0]) > 1:
+            out = []
+            leaf(held, out)
+            if out:
+                yield links(out)
+
+    return frontier.repartition("node").sortWithinPartitions("node").mapInArrow(run, FRONTIER)
+
 
-    return leaves.repartition("node").sortWithinPartitions("node").mapInArrow(run, "a long, b long")
+def heavy_nodes(rows: DataFrame, trees: int, threshold: float, levels: int, documents: int) -> np.ndarray:
+    """Nodes with more than HEAVY of the rows of a level, on the documents with the smallest hashes; at most 1 / HEAVY of them."""
+    share = min(1.0, PROBED_ROWS / max(1, documents * trees))
+    few = rows.where(F.pmod(F.xxhash64("rep", F.lit(3)), F.lit(1 << 40)) < math.ceil(share * (1 << 40)))
+    counts = branch(few, trees, threshold, levels).groupBy("node").agg(F.count("*").alias("n"))
+    total = F.sum("n").over(Window.partitionBy())
+    found = counts.where(F.col("n") > SMALL).withColumn("all", total).where(F.col("n") > HEAVY * F.col("all")).select("node").collect()
+    return np.array(sorted(r["node"] for r in found), np.int64).view(np.uint64)
 
 
 def candidates(reps: DataFrame, scratch: shared.Scratch, threshold: float) -> DataFrame:
     """Links (a, b) between representatives that may be similar enough, complete but for the wanted recall."""
-    least, last = least_bits(threshold), levels_for(reps.count())
+    documents = reps.count()
+    least, last = least_bits(threshold), levels_for(documents)
     trees = trees_for(threshold, depth=max(EXPECTED_DEPTH, last))
     found, rows = None, reps.select("rep", "sig", "b0", "b1")
-    for depth in range(1, last + 1):
-        frontier = scratch.keep(branch(rows, trees, threshold), f"frontier_{depth}")
-        counts = scratch.keep(frontier.groupBy("node").agg(F.count("*").alias("size"), F.min("rep").alias("first")).where("size > 1"), f"counts_{depth}")
-        sized = frontier.join(counts, "node")
-        links = leaf_links(sized.where(F.col("size") <= SMALL).select(*frontier.columns), least)
-        large = sized.where(F.col("size") > SMALL)
+    step = max(1, last - 1)  # shallower nodes are large: AGREE parts too few documents there
+    for depth in range(step, last + 1):
+        levels = step if depth == step else 1
+        heavy = heavy_nodes(rows, trees, threshold, levels, documents)
+        frontier = branch(rows, trees, threshold, levels, heavy)
+        if len(heavy):
+            frontier = scratch.keep(frontier, f"frontier_{depth}")
+        level = grouped(frontier.where("kind = 0"), least)
+        if len(heavy):
+            level = level.unionByName(frontier.where("kind = 2"))
+        level = scratch.keep(level, f"level_{depth}")
+        links = level.where("kind = 1").select(F.col("rep").alias("a"), F.col("node").alias("b"))
+        large = level.where("kind = 2")
         if depth == last:
-            links = links.unionByName(large.select(F.col("rep").alias("a"), F.col("first").alias("b")).where("a <> b"))
+            first = large.groupBy("node").agg(F.min("rep").alias("first"))
+            links = links.unionByName(large.join(first, "node").select(F.col("rep").alias("a"), F.col("first").alias("b")).where("a <> b"))
         links = scratch.keep(links.distinct(), f"links_{depth}")
         found = links if found is None else found.unionByName(links)
         if depth < last:
-            if counts.where(F.col("size") > SMALL).isEmpty():
-                break
             parents = scratch.keep(large.groupBy("rep").agg(F.collect_set("node").alias("parents")), f"parents_{depth}")
+            if parents.isEmpty():
+                break
             rows = parents.join(reps.select("rep", "sig", "b0", "b1"), "rep")
-        scratch.drop(f"frontier_{depth}", f"counts_{depth}", f"parents_{depth - 1}")
+        scratch.drop(f"frontier_{depth}", f"level_{depth}")
     return found
 
 
@@ -257,7 +337,7 @@ def verify_clusters(members: DataFrame, words: int, percent: int) -> DataFrame:
                 link = linked(sets, None, percent)
                 if len(np.unique(ids)) < len(ids):
                     link |= ids[:, None] == ids
-                out += [(int(ids[i]), int(ids[r])) for i, r in enumerate(roots(link)) if ids[i] != ids[r]]
+                out += sorted({(int(ids[i]), int(ids[r])) for i, r in enumerate(roots(link)) if ids[i] != ids[r]})
             if out:
                 yield edge_batch(out)
 
@@ -317,26 +397,39 @@ def verify_hot(members: DataFrame, texts: DataFrame, scratch: shared.Scratch, wo
     return star.unionByName(scratch.keep(meet(mine.unionByName(theirs), ["cluster", "part", "block"], True), "hot_links"))
 
 
+def other_classes(sigs: DataFrame, classes: DataFrame) -> DataFrame:
+    """(a, b): ids whose rows have several sets, with the representative of each of these."""
+    rows = sigs.where("n > 0 and doc_id is not null").select("doc_id", "key")
+    several = rows.groupBy("doc_id").agg(F.min("key").alias("lo"), F.max("key").alias("hi")).where("lo <> hi").select("doc_id")
+    return rows.join(several, "doc_id").distinct().join(classes.select("key", "rep"), "key").select(F.col("doc_id").alias("a"), F.col("rep").alias("b")).where("a <> b")
+
+
 def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 80, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """doc_id, n_shingles, component_id, kept for every row."""
     scratch = shared.Scratch(docs.sparkSession)
     docs = shared.keyed_text(docs, id_col, text_col)
     sigs = scratch.keep(sketches(docs, words), "sketches")
-    whole = sigs.where("n > 0 and doc_id is not null")
-    classes = scratch.keep(whole.groupBy("key").agg(F.min("doc_id").alias("rep")), "classes")
-    reps = scratch.keep(whole.join(classes.withColumnRenamed("key", "k"), (F.col("key") == F.col("k")) & (F.col("doc_id") == F.col("rep"))).select("rep", "n", "sig", "b0", "b1"), "reps")
-    clusters = scratch.keep(connected(candidates(reps, scratch, percent / 100), scratch, "cluster"), "clusters")
-    members = clusters.join(reps.select("rep", "n", "b0", "b1"), F.col("id") == F.col("rep")).select(F.col("root").alias("cluster"), "rep", "n", "b0", "b1")
+    # Rows of one key have one set, hence one sketch; any of them will do.
+    classes = scratch.keep(sigs.where("n > 0 and doc_id is not null").groupBy("key").agg(F.min("doc_id").alias("rep"), *[F.first(c).alias(c) for c in ("n", "sig", "b0", "b1")]), "classes")
+    clusters = scratch.keep(connected(candidates(classes, scratch, percent / 100), scratch, "cluster"), "clusters")
+    # An id with several different texts represents several classes, but is one member.
+    sized = classes.select("rep", "n", "b0", "b1").join(clusters, F.col("id") == F.col("rep")).groupBy("rep").agg(F.first("root").alias("cluster"), F.sum("n").alias("n"), F.min("b0").alias("b0"), F.min("b1").alias("b1"))
+    members = scratch.keep(sized, "members")
     sizes = scratch.keep(members.groupBy("cluster").agg(F.ceil(F.greatest(F.sum("n") / BLOCK_SHINGLES, F.count("*") / BLOCK_DOCS)).alias("blocks")), "sizes")
     sized = members.join(sizes, "cluster")
-    texts = docs.join(clusters.select(F.col("id").alias("doc_id")), "doc_id", "left_semi").select(F.col("doc_id").alias("rep"), "text")
+    # The different texts of each member, collected where they are read: a row repeated any number of times is one text.
+    texts = docs.join(members.select(F.col("rep").alias("doc_id")), "doc_id", "left_semi").groupBy(F.col("doc_id").alias("rep")).agg(F.collect_set("text").alias("texts")).select("rep", F.explode("texts").alias("text"))
     exact = verify_clusters(sized.where("blocks = 1").select("cluster", "rep").join(texts, "rep").select("cluster", "rep", "text"), words, percent)
     exact = scratch.keep(exact.select(F.col("a").alias("id"), F.col("b").alias("root")), "exact")
     hot = sized.where("blocks > 1")
     if not sizes.where("blocks > 1").isEmpty():
         exact = exact.unionByName(scratch.keep(connected(verify_hot(hot, texts, scratch, words, percent), scratch, "hot"), "hot_roots"))
-    named = scratch.keep(classes.join(exact, F.col("rep") == F.col("id"), "left").select(F.col("key").alias("k"), F.coalesce("root", "rep").alias("root")).groupBy("k").agg(F.min("root").alias("root")), "named")
-    scratch.drop("reps", "clusters", "sizes", "classes", "hot_members", "hot_rest", *[n for n in list(scratch.paths) if n.startswith("links_")])
+    shared_ids = scratch.keep(other_classes(sigs, classes), "shared_ids")
+    if not shared_ids.isEmpty():
+        edges = exact.select(F.col("id").alias("a"), F.col("root").alias("b")).unionByName(shared_ids)
+        exact = scratch.keep(connected(edges, scratch, "ids"), "by_id")
+    named = scratch.keep(classes.select("key", "rep").join(exact, F.col("rep") == F.col("id"), "left").select(F.col("key").alias("k"), F.coalesce("root", "rep").alias("root")), "named")
+    scratch.drop(*[n for n in list(scratch.paths) if n not in ("sketches", "named")])
     out = sigs.select("doc_id", "n", "key").join(named, (F.col("key") == F.col("k")) & F.col("doc_id").isNotNull() & (F.col("n") > 0), "left")
     root = F.coalesce("root", "doc_id")
     return out.select("doc_id", F.col("n").alias("n_shingles"), root.alias("component_id"), F.coalesce(F.col("doc_id") == root, F.lit(True)).alias("kept"))
