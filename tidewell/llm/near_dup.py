@@ -8,13 +8,13 @@ gives each document its connected component.
    key and are represented by their smallest id from here on, so copies never meet one another.
 2. Chosen paths: every representative starts at the root of each of several independent trees.  A node picks one
    coordinate, in a quarter of the cases two (1 / 0.8 on average), and sends a document to the child named by its
-   minwise token there.  Which coordinates a node picks depends on its path alone, so paths need no node table, and the
-   levels at which a corpus of this size only has large nodes are passed in one step.  Then nodes of at most ``SMALL``
-   documents are leaves, compared exhaustively on 128 one-bit tokens; larger ones branch on, for as many levels as part
+   minwise token there (of 16 bits).  Which coordinates a node picks depends on its path alone, so paths need no node
+   table.  Nodes of at most ``SMALL`` documents are leaves, compared exhaustively on 128 one-bit tokens; larger ones branch on, for as many levels as part
    unrelated documents of a corpus of this size.  What is still together then agrees in that many tokens and becomes a
-   candidate as a whole, as a star around its smallest id.  The number of trees follows from the wanted recall at the
+   candidate as a whole, as a star.  The number of trees follows from the wanted recall at the
    greatest depth.  A level is one shuffle by node, read as a stream of groups of which at most ``SMALL`` rows are held.
-   Nodes with more than ``HEAVY`` of a level's rows, found on a bounded sample, skip that shuffle: they are large for sure.
+   Rows of nodes with more than ``HEAVY`` of a level's rows, found on a bounded sample, are dealt by document instead: such
+   nodes are large for sure, so nothing is decided there.
 3. Candidates form clusters; each cluster's texts meet in one task, where all its links are decided on full sets.
    A cluster over ``BLOCK_SHINGLES`` is dealt into blocks instead: all blocks are compared with a pivot (the member
    nearest to the majority sketch); who is linked with it needs no comparison with others that are, the rest is
@@ -49,7 +49,7 @@ RECALL, EXPECTED_DEPTH = 1 - 1e-6, 5
 AGREE = 0.02
 BLOCK_SHINGLES, BLOCK_DOCS = 1_500_000, 1000
 #: Share of a level's rows from which a node is heavy, and rows looked at to find such nodes (so at most 1 / HEAVY of them).
-HEAVY, PROBED_ROWS = 1e-3, 200_000
+HEAVY, PROBED_ROWS = 1e-4, 500_000
 _ODD = np.uint64(0x9E3779B97F4A7C15)
 
 
@@ -112,7 +112,7 @@ def sketches(docs: DataFrame, words: int) -> DataFrame:
                 sizes.append(len(s))
                 keys.append(xxh3_128_digest(s.tobytes()))
                 bits[i] = (m >> np.uint64(20)) & np.uint64(1)
-                sig.append((shared.mix64(m) >> np.uint64(32)).astype("<u4").tobytes())
+                sig.append((shared.mix64(m) >> np.uint64(48)).astype("<u2").tobytes())
             packed = np.packbits(bits, axis=1).view(np.int64)
             yield pa.RecordBatch.from_arrays([b.column("doc_id"), pa.array(sizes, pa.int64()), pa.array(keys, pa.binary()), pa.array(sig, pa.binary()), pa.array(packed[:, 0]), pa.array(packed[:, 1])], names=["doc_id", "n", "key", "sig", "b0", "b1"])
 
@@ -132,16 +132,17 @@ def children(sig: np.ndarray, row: np.ndarray, node: np.ndarray, limit: np.uint6
     return np.concatenate(rows), np.concatenate(nodes)
 
 
-#: kind 0: a row of a node, 1: a link between a and b, 2: a row of a node known to be large.
-FRONTIER = "kind int, rep long, node long, b0 long, b1 long"
+FRONTIER = "rep long, node long, b0 long, b1 long, heavy boolean"
+#: link: the pair (a, b); otherwise document a in the large node b.
+LEVEL = "link boolean, a long, b long"
 
 
-def frontier_batch(kind: np.ndarray, rep, node, b0, b1) -> pa.RecordBatch:
-    return pa.RecordBatch.from_arrays([pa.array(kind, pa.int32()), *[pa.array(x, pa.int64()) for x in (rep, node, b0, b1)]], names=["kind", "rep", "node", "b0", "b1"])
+def level_batch(link: bool, a: np.ndarray, b: np.ndarray) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array(np.full(len(a), link)), pa.array(a, pa.int64()), pa.array(b, pa.int64())], names=["link", "a", "b"])
 
 
-def branch(rows: DataFrame, trees: int, threshold: float, levels: int = 1, heavy: np.ndarray | None = None) -> DataFrame:
-    """Nodes ``levels`` below those in ``parents`` (no such column: below the roots of all trees) that each row's document is sent to."""
+def branch(rows: DataFrame, trees: int, threshold: float, heavy: np.ndarray | None = None) -> DataFrame:
+    """Children of the nodes in ``parents`` (no such column: of the roots of all trees) that each row's document is sent to."""
     limit = np.uint64(int((1 / threshold - 1) * 2**64) if threshold < 1 else 0)
     known = np.zeros(0, np.uint64) if heavy is None else heavy
 
@@ -150,17 +151,16 @@ def branch(rows: DataFrame, trees: int, threshold: float, levels: int = 1, heavy
         for whole in batches:
             for start in range(0, whole.num_rows, 2000):
                 b = whole.slice(start, 2000)
-                sig = np.frombuffer(b"".join(b.column("sig").to_pylist()), "<u4").reshape(b.num_rows, COORDINATES)
+                sig = np.frombuffer(b"".join(b.column("sig").to_pylist()), "<u2").reshape(b.num_rows, COORDINATES)
                 if "parents" in b.schema.names:
                     lists = b.column("parents")
                     row = np.repeat(np.arange(b.num_rows), np.array(pc.list_value_length(lists)))
                     node = lists.flatten().to_numpy(zero_copy_only=False).view(np.uint64)
                 else:
                     row, node = np.repeat(np.arange(b.num_rows), trees), np.tile(roots, b.num_rows)
-                for _ in range(levels):
-                    row, node = children(sig, row, node, limit)
+                row, node = children(sig, row, node, limit)
                 rep, b0, b1 = (b.column(c).to_numpy()[row] for c in ("rep", "b0", "b1"))
-                yield frontier_batch(np.where(np.isin(node, known), 2, 0), rep, node.view(np.int64), b0, b1)
+                yield pa.RecordBatch.from_arrays([*[pa.array(x, pa.int64()) for x in (rep, node.view(np.int64), b0, b1)], pa.array(np.isin(node, known))], names=["rep", "node", "b0", "b1", "heavy"])
 
     return rows.mapInArrow(run, FRONTIER)
 
@@ -173,71 +173,84 @@ def leaf_pairs(rep: np.ndarray, b0: np.ndarray, b1: np.ndarray, most: int) -> li
     return list(zip(rep[x[near]].tolist(), rep[y[near]].tolist(), strict=True))
 
 
-def grouped(frontier: DataFrame, least: int) -> DataFrame:
-    """Links within leaves (a forest per batch, kind 1) and the rows of larger nodes (kind 2), in one pass over groups of nodes."""
+def grouped(frontier: DataFrame, least: int, last: bool, centres: dict[int, int]) -> DataFrame:
+    """One pass over the groups of nodes: links within leaves (as a forest); of larger nodes the rows, or at the ``last`` level a star.
+
+    Of an open group at most ``SMALL`` rows are held.  ``centres`` names a document of each heavy node.
+    """
     most = COORDINATES - least
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        forest, open_node, held = shared.Forest(), None, None  # held: columns of the group that is still open; None: it is large
+        forest = shared.Forest()
+        held, at, centre = None, None, 0  # the open group: its columns (None: it is large), its node, its first document
 
         def leaf(part, out: list) -> None:
             for x, y in leaf_pairs(part[0], part[2].view(np.uint64), part[3].view(np.uint64), most):
                 if forest.join(x, y):
                     out.append((x, y))
 
-        def links(pairs: list) -> pa.RecordBatch:
-            a, b = (np.array(v, np.int64) for v in zip(*pairs, strict=True))
-            return frontier_batch(np.ones(len(a), int), a, b, np.zeros(len(a), np.int64), np.zeros(len(a), np.int64))
+        def large(reps: np.ndarray, node: int, star: int) -> pa.RecordBatch:
+            if last:
+                reps = reps[reps != star]
+                return level_batch(True, reps, np.full(len(reps), star))
+            return level_batch(False, reps, np.full(len(reps), node))
+
+        def small(out: list) -> pa.RecordBatch:
+            return level_batch(True, *(np.array(v, np.int64) for v in zip(*out, strict=True)))
 
         for batch in batches:
+            heavy = batch.column("heavy").to_numpy(zero_copy_only=False)
+            if heavy.any():
+                rep, node = (batch.column(c).to_numpy()[heavy] for c in ("rep", "node"))
+                if last:
+                    star = np.array([centres[n] for n in node.tolist()], np.int64)
+                    yield level_batch(True, rep[rep != star], star[rep != star])
+                else:
+                    yield level_batch(False, rep, node)
+                batch = batch.filter(pa.array(~heavy))
             if not batch.num_rows:
                 continue
             columns = [batch.column(c).to_numpy() for c in ("rep", "node", "b0", "b1")]
-            node, out, large = columns[1], [], np.zeros(batch.num_rows, bool)
-            cuts = np.r_[0, np.flatnonzero(np.diff(node)) + 1, batch.num_rows]
-            first = 0
-            if open_node is not None and node[0] == open_node:  # the open group goes on
-                end = cuts[1]
-                if held is not None and len(held[0]) + end > SMALL:
-                    yield frontier_batch(np.full(len(held[0]), 2), *held)
+            cuts, out = np.r_[0, np.flatnonzero(np.diff(columns[1])) + 1, batch.num_rows], []
+            for k in range(len(cuts) - 1):
+                a, b = cuts[k], cuts[k + 1]
+                inner = 0 < k < len(cuts) - 2
+                if inner and b - a == 1:
+                    continue
+                part, node = [c[a:b] for c in columns], int(columns[1][a])
+                if node != at:
+                    if held is not None and len(held[0]) > 1:
+                        leaf(held, out)
+                    held, at, centre = [c[:0] for c in part], node, int(part[0][0])
+                if held is not None and len(held[0]) + b - a > SMALL:
+                    yield large(np.concatenate([held[0], part[0]]), node, centre)
                     held = None
-                if held is None:
-                    large[:end] = True
+                elif held is not None:
+                    held = [np.concatenate([h, c]) for h, c in zip(held, part, strict=True)]
                 else:
-                    held = [np.concatenate([h, c[:end]]) for h, c in zip(held, columns, strict=True)]
-                first = 1
-            if first < len(cuts) - 1:
-                if held is not None and len(held[0]) > 1:
-                    leaf(held, out)
-                sizes = np.diff(cuts)
-                for k in np.flatnonzero((sizes[first:-1] > 1) & (sizes[first:-1] <= SMALL)) + first:
-                    leaf([c[cuts[k] : cuts[k + 1]] for c in columns], out)
-                for k in np.flatnonzero(sizes[first:] > SMALL) + first:
-                    large[cuts[k] : cuts[k + 1]] = True
-                open_node = node[-1]
-                held = None if sizes[-1] > SMALL else [c[cuts[-2] :].copy() for c in columns]
+                    yield large(part[0], node, centre)
             if out:
-                yield links(out)
-            if large.any():
-                yield frontier_batch(np.full(int(large.sum()), 2), *[c[large] for c in columns])
+                yield small(out)
             if len(forest.up) > FOREST_IDS:
                 forest = shared.Forest()
         if held is not None and len(held[0]) > 1:
             out = []
             leaf(held, out)
             if out:
-                yield links(out)
+                yield small(out)
 
-    return frontier.repartition("node").sortWithinPartitions("node").mapInArrow(run, FRONTIER)
+    dealt = frontier.repartition(F.when(F.col("heavy"), F.xxhash64("rep")).otherwise(F.col("node")))
+    return dealt.sortWithinPartitions("heavy", "node").mapInArrow(run, LEVEL)
 
 
-def heavy_nodes(rows: DataFrame, trees: int, threshold: float, levels: int, documents: int) -> np.ndarray:
+def heavy_nodes(rows: DataFrame, trees: int, threshold: float, documents: int, scratch: shared.Scratch) -> np.ndarray:
     """Nodes with more than HEAVY of the rows of a level, on the documents with the smallest hashes; at most 1 / HEAVY of them."""
     share = min(1.0, PROBED_ROWS / max(1, documents * trees))
     few = rows.where(F.pmod(F.xxhash64("rep", F.lit(3)), F.lit(1 << 40)) < math.ceil(share * (1 << 40)))
-    counts = branch(few, trees, threshold, levels).groupBy("node").agg(F.count("*").alias("n"))
-    total = F.sum("n").over(Window.partitionBy())
-    found = counts.where(F.col("n") > SMALL).withColumn("all", total).where(F.col("n") > HEAVY * F.col("all")).select("node").collect()
+    counts = scratch.keep(branch(few, trees, threshold).groupBy("node").agg(F.count("*").alias("n")).where("n > 1"), "probe")
+    least = max(SMALL, HEAVY * share * documents * trees)
+    found = counts.where(F.col("n") > least).orderBy(F.desc("n"), "node").limit(int(2 / HEAVY)).collect()  # beyond the bound there are none
+    scratch.drop("probe")
     return np.array(sorted(r["node"] for r in found), np.int64).view(np.uint64)
 
 
@@ -247,30 +260,21 @@ def candidates(reps: DataFrame, scratch: shared.Scratch, threshold: float) -> Da
     least, last = least_bits(threshold), levels_for(documents)
     trees = trees_for(threshold, depth=max(EXPECTED_DEPTH, last))
     found, rows = None, reps.select("rep", "sig", "b0", "b1")
-    step = max(1, last - 1)  # shallower nodes are large: AGREE parts too few documents there
-    for depth in range(step, last + 1):
-        levels = step if depth == step else 1
-        heavy = heavy_nodes(rows, trees, threshold, levels, documents)
-        frontier = branch(rows, trees, threshold, levels, heavy)
-        if len(heavy):
-            frontier = scratch.keep(frontier, f"frontier_{depth}")
-        level = grouped(frontier.where("kind = 0"), least)
-        if len(heavy):
-            level = level.unionByName(frontier.where("kind = 2"))
-        level = scratch.keep(level, f"level_{depth}")
-        links = level.where("kind = 1").select(F.col("rep").alias("a"), F.col("node").alias("b"))
-        large = level.where("kind = 2")
-        if depth == last:
-            first = large.groupBy("node").agg(F.min("rep").alias("first"))
-            links = links.unionByName(large.join(first, "node").select(F.col("rep").alias("a"), F.col("first").alias("b")).where("a <> b"))
-        links = scratch.keep(links.distinct(), f"links_{depth}")
+    for depth in range(1, last + 1):
+        heavy = heavy_nodes(rows, trees, threshold, documents, scratch)
+        frontier = branch(rows, trees, threshold, heavy)
+        centres = {}
+        if depth == last and len(heavy):
+            centres = {r["node"]: r["rep"] for r in frontier.where("heavy").groupBy("node").agg(F.min("rep").alias("rep")).collect()}
+        level = scratch.keep(grouped(frontier, least, depth == last, centres), f"level_{depth}")
+        links = level.where("link").select("a", "b")
         found = links if found is None else found.unionByName(links)
+        scratch.drop(f"parents_{depth - 1}")
         if depth < last:
-            parents = scratch.keep(large.groupBy("rep").agg(F.collect_set("node").alias("parents")), f"parents_{depth}")
+            parents = scratch.keep(level.where("not link").groupBy(F.col("a").alias("rep")).agg(F.collect_set("b").alias("parents")), f"parents_{depth}")
             if parents.isEmpty():
                 break
             rows = parents.join(reps.select("rep", "sig", "b0", "b1"), "rep")
-        scratch.drop(f"frontier_{depth}", f"level_{depth}")
     return found
 
 
@@ -321,12 +325,25 @@ def edge_batch(edges: list[tuple[int, int]]) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array([e[0] for e in edges], pa.int64()), pa.array([e[1] for e in edges], pa.int64())], names=["a", "b"])
 
 
+def once(batches: Iterator[pa.RecordBatch], most: int = 200_000) -> Iterator[pa.RecordBatch]:
+    """Without rows whose (rep, tag) was seen before, of the last ``most`` kinds."""
+    seen: set[tuple] = set()
+    for b in batches:
+        keep = []
+        for key in zip(b.column("rep").to_pylist(), b.column("tag").to_pylist(), strict=True):
+            keep.append(key not in seen)
+            seen.add(key)
+        if len(seen) > most:
+            seen.clear()
+        yield b.filter(pa.array(keep, pa.bool_()))
+
+
 def verify_clusters(members: DataFrame, words: int, percent: int) -> DataFrame:
-    """(a, root) for all but the first of each exact component; ``members``: cluster, rep, text."""
+    """(a, root) for all but the first of each exact component; ``members``: cluster, rep, tag (of the text), text, possibly repeated."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hashes = shared.WordHashes()
-        for whole in shared.whole_groups(batches, "cluster"):
+        for whole in shared.whole_groups((b for b in once(batches) if b.num_rows), "cluster"):
             out = []
             for g in groups(whole, "cluster"):
                 ids = g.column("rep").to_numpy()
@@ -341,7 +358,8 @@ def verify_clusters(members: DataFrame, words: int, percent: int) -> DataFrame:
             if out:
                 yield edge_batch(out)
 
-    return members.repartition("cluster").sortWithinPartitions("cluster").mapInArrow(run, "a long, b long")
+    early = members.mapInArrow(once, members.schema)  # repeated rows end where they are read
+    return early.repartition("cluster").sortWithinPartitions("cluster", "rep", "tag").mapInArrow(run, "a long, b long")
 
 
 def pivots_of(members: DataFrame) -> DataFrame:
@@ -417,12 +435,13 @@ def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 80, id_col:
     members = scratch.keep(sized, "members")
     sizes = scratch.keep(members.groupBy("cluster").agg(F.ceil(F.greatest(F.sum("n") / BLOCK_SHINGLES, F.count("*") / BLOCK_DOCS)).alias("blocks")), "sizes")
     sized = members.join(sizes, "cluster")
-    # The different texts of each member, collected where they are read: a row repeated any number of times is one text.
-    texts = docs.join(members.select(F.col("rep").alias("doc_id")), "doc_id", "left_semi").groupBy(F.col("doc_id").alias("rep")).agg(F.collect_set("text").alias("texts")).select("rep", F.explode("texts").alias("text"))
-    exact = verify_clusters(sized.where("blocks = 1").select("cluster", "rep").join(texts, "rep").select("cluster", "rep", "text"), words, percent)
+    own = sized.where("blocks = 1").select("cluster", "rep")
+    exact = verify_clusters(docs.join(own, F.col("doc_id") == F.col("rep")).select("cluster", "rep", F.xxhash64("text").alias("tag"), "text"), words, percent)
     exact = scratch.keep(exact.select(F.col("a").alias("id"), F.col("b").alias("root")), "exact")
     hot = sized.where("blocks > 1")
     if not sizes.where("blocks > 1").isEmpty():
+        # The different texts of each member, once each.
+        texts = docs.join(hot.select(F.col("rep").alias("doc_id")), "doc_id", "left_semi").groupBy(F.col("doc_id").alias("rep")).agg(F.collect_set("text").alias("texts")).select("rep", F.explode("texts").alias("text"))
         exact = exact.unionByName(scratch.keep(connected(verify_hot(hot, texts, scratch, words, percent), scratch, "hot"), "hot_roots"))
     shared_ids = scratch.keep(other_classes(sigs, classes), "shared_ids")
     if not shared_ids.isEmpty():
