@@ -30,6 +30,8 @@ the input are ignored, whatever their names.  All rows with null ids share one r
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -37,8 +39,8 @@ from . import shared
 
 K_CHARS, K_DOUBLINGS, W_DOUBLINGS, PIECE = 12, 2, 4, 16
 #: Rows of a range; the number of ranges beyond which they grow instead (their borders travel in the plan, 8 bytes each);
-#: bytes of text that a task of the one shuffle is meant to hold.
-RANGE_ROWS, RANGES, TASK_BYTES = 512, 262_144, 24 << 20
+#: bytes of text that a task of the one shuffle is meant to hold; sampled ids per range (4 million in all at most).
+RANGE_ROWS, RANGES, TASK_BYTES, PER_RANGE = 512, 262_144, 24 << 20, 16
 #: Low bits of a selected value hold the position (counted downwards), the others the hash.
 POSITION_BITS = 30
 
@@ -170,10 +172,12 @@ def likeness(a: Column, b: Column) -> Column:
     return let(F.size(F.array_intersect(a, b)), lambda n: F.when(F.size(a) + F.size(b) == 0, F.lit(1.0)).otherwise(n / (F.size(a) + F.size(b) - n)))
 
 
-def borders(ids: DataFrame, ranges: int) -> list[int]:
-    """The least id of each range: quantiles of the ids, found by a distributed sort; the first range is open below."""
-    rows = ids.where("doc_id is not null").repartitionByRange(ranges, "doc_id").groupBy(F.spark_partition_id().alias("p")).agg(F.min("doc_id").alias("low"))
-    return sorted({r["low"] for r in rows.collect()})[1:]  # at most RANGES numbers
+def borders(ids: DataFrame, ranges: int, known: int) -> list[int]:
+    """The least id of each range but the first: quantiles of the ids with the smallest hashes, ``PER_RANGE`` for each range."""
+    share = min(1.0, PER_RANGE * ranges / max(1, known))
+    few = ids.where(F.col("doc_id").isNotNull() & (F.pmod(F.xxhash64("doc_id", F.lit(5)), F.lit(1 << 40)) < math.ceil(share * (1 << 40))))
+    found = few.distinct().agg(F.sort_array(F.collect_list("doc_id")).alias("v")).select(F.filter("v", lambda _, i: F.pmod(i, F.lit(max(1, round(share * known / ranges)))) == 0).alias("v")).first()["v"]
+    return found[1:]
 
 
 def range_of(doc_id: Column, lows: list[int]) -> Column:
@@ -191,7 +195,7 @@ def with_next(docs: DataFrame, range_rows: int = RANGE_ROWS, keys=char_keys) ->
     base = shared.keyed_text(docs).select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
     n, size, known = base.agg(F.count("*"), F.sum(F.octet_length("text")), F.count("doc_id")).first()
     ranges = max(1, min(RANGES, -(-known // range_rows)))
-    lows = borders(base.select("doc_id"), ranges) if ranges > 1 else []
+    lows = borders(base.select("doc_id"), ranges, known) if ranges > 1 else []
     base = base.withColumn("range", range_of(F.col("doc_id"), lows))
     # The first document of a range follows the last of the range above; after the last of all comes the first of all.
     top, last = len(lows), -1 if n > known else 0
