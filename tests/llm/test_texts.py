@@ -13,7 +13,7 @@ from hypothesis import HealthCheck, given, settings
 from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
-from tidewell.llm import decontamination, packing, token_counts, winnowing
+from tidewell.llm import decontamination, packing, shared, token_counts, winnowing
 from tidewell.llm.queries import queries
 
 
@@ -141,8 +141,8 @@ def test_ranges_follow_quantiles_not_values(spark):
     """Dense ids beside an outlier, and ids far apart: no range holds much more than its share."""
     ids = [*range(5000), 10**15, -(2**63), 2**63 - 1, None, None]
     docs = spark.createDataFrame([(i, f"text number {i} of several") for i in ids], "doc_id long, text string").repartition(3)
-    lows = winnowing.borders(docs, 50)
-    assert 40 <= len(lows) <= 49 and lows == sorted(lows)
+    lows = winnowing.borders(docs.select("doc_id"), 50, 5003)
+    assert 40 <= len(lows) <= 60 and lows == sorted(lows)
     sizes = docs.groupBy(winnowing.range_of(F.col("doc_id"), lows).alias("r")).count().collect()
     assert max(r["count"] for r in sizes) <= 400 and {r["r"] for r in sizes} == set(range(-1, len(lows) + 1))
     got = {r["doc_id"]: r for r in winnowing.fingerprints(docs, 100).collect()}
@@ -171,21 +171,55 @@ def test_fingerprints_empty(empty):
 
 
 def test_shards_count_the_same_terms(spark, monkeypatch):
-    """Document frequencies of words with capitals beyond ASCII don't depend on the number of shards."""
-    items = spark.createDataFrame([(i, f"ÉCOLE Ünder word{i} Common-Word École") for i in range(12)], "item_id long, text string")
-    seen, make = {}, decontamination.Index
-
-    def spy(rows, df, n, average):
-        seen.update(df)
-        return make(rows, df, n, average)
-
-    monkeypatch.setattr(decontamination, "Index", spy)
-    assert len(list(decontamination.shards(items))) == 1
-    one = dict(seen)
-    seen.clear()
-    monkeypatch.setattr(decontamination, "SHARD_ITEMS", 4)
-    assert len(list(decontamination.shards(items))) > 1
-    assert seen == one and one["ÉCOLE".translate({ord(c): c.lower() for c in "COLE"}).encode()] == 12
+    """Scores of items with capitals beyond ASCII, and of repeated items, don't depend on the number of shards."""
+    given_items = [(i, f"ÉCOLE Ünder Straße word{i} Common-Word École number{i} ÀÉÎ last{i}") for i in range(12)] + [(3, "ÉCOLE repeated ÜBER alles again and again")] * 50
+    items = spark.createDataFrame(given_items, "item_id long, text string")
+    docs = spark.createDataFrame([(1, given_items[5][1]), (2, given_items[7][1].lower()), (3, "ÉCOLE Ünder Straße word9 Common-Word"), (4, given_items[-1][1])], "doc_id long, text string")
+    got = {}
+    for size in (4000, 4):
+        monkeypatch.setattr(decontamination, "SHARD_ITEMS", size)
+        got[size] = sorted(tuple(r) for r in decontamination.leaks(docs, items, 0.2, 0.2).collect())
+        indexes = list(decontamination.shards(items.select("item_id", "text"), shared.Scratch(spark)))
+        assert sum(len(x.ids) for x in indexes) == 13 and (len(indexes) > 1) == (size == 4)
+    assert got[4000] == got[4] and {(1, 5), (4, 3)} <= {r[:2] for r in got[4]}
+
+
+def test_repeated_items_make_no_shard_of_their_own(spark, monkeypatch):
+    monkeypatch.setattr(decontamination, "SHARD_ITEMS", 1000)
+    items = spark.createDataFrame([(1, "the very same item of a benchmark")] * 9001, "item_id long, text string")
+    assert [len(x.ids) for x in decontamination.shards(items, shared.Scratch(spark))] == [1]
+
+
+def brute_score(passage, item, all_items):
+    """Share of an item's BM25 weight that the words of a passage carry."""
+    words = [decontamination.terms_of(t.encode()) for t in all_items]
+    average, n, own = sum(map(len, words)) / len(words), len(words), decontamination.terms_of(item.encode())
+    weight = {}
+    for w in set(own):
+        df, f = sum(w in x for x in words), own.count(w)
+        weight[w] = math.log(1 + (n - df + 0.5) / (df + 0.5)) * f * 2.2 / (f + 1.2 * (0.25 + 0.75 * len(own) / average))
+    return sum(x for w, x in weight.items() if w in set(passage)) / sum(weight.values())
+
+
+@settings(max_examples=12, deadline=None, suppress_health_check=list(HealthCheck))
+@given(st.lists(st.lists(st.sampled_from("alpha beta gamma delta eta theta iota kappa".split()), min_size=3, max_size=9), min_size=1, max_size=6, unique_by=tuple), st.lists(st.lists(st.sampled_from("alpha beta gamma delta eta theta iota kappa other".split()), max_size=60), min_size=1, max_size=4))
+def test_leaks_equal_scoring_every_passage(spark, items, texts):
+    """Every pair above the threshold that is verified, found by scoring all passages against all items."""
+    items, texts = [" ".join(x) for x in items], [" ".join(x) for x in texts]
+    want, half = {}, max(16, max(len(x.split()) for x in items))
+    for d, t in enumerate(texts):
+        words = t.encode().split()
+        for i, item in enumerate(items):
+            question, answer = decontamination.halves(item)
+            for a in range(0, len(words), half):
+                p = words[a : a + 2 * half]
+                grams = {n: {tuple(p[k : k + n]) for k in range(len(p) - n + 1)} for n in (1, 2, 3)}
+                score = brute_score(p, item, items)
+                if score >= 0.5 - 1e-9 and min(decontamination.overlap(x, grams) for x in (question, answer)) >= 0.6:
+                    want[d, i] = max(want.get((d, i), 0.0), score)
+    frames = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"), spark.createDataFrame(list(enumerate(items)), "item_id long, text string")
+    got = {(r["doc_id"], r["item_id"]): r["score"] for r in decontamination.leaks(*frames).collect()}
+    assert got.keys() == want.keys() and all(abs(got[k] - want[k]) < 1e-9 for k in got)
 
 
 def brute_char_winnow(text: str) -> list[int]:

@@ -13,10 +13,14 @@ Retrieved pairs are verified on word n-grams: the item's question (all but its l
 sentence, or the last fifth of a single one) must each stand in the passage to ``OVERLAP``.  A pair counts once a document,
 with its best passage.
 
-Items are indexed in shards of at most ``SHARD_ITEMS`` items and ``SHARD_BYTES`` of text (a single longer item makes a
-shard of its own size), each sent to the executors, with document frequencies of the whole benchmark.  Null, empty or
-wordless items and texts match nothing.  Items and documents with null ids are compared like others; rows that share an id
-give one row per pair of ids.
+Equal items (id and text) count once.  Items are indexed in shards of about ``SHARD_ITEMS`` items and ``SHARD_BYTES`` of
+text (a single longer item makes a shard of its own size), with document frequencies of the whole benchmark, counted by the
+same function for any number of shards: scores don't depend on sharding.  ``TOGETHER`` shards are sent to the executors at
+once and every text is split into words once for all of them, so documents are read once for as many items.
+
+Null, empty or wordless items and texts match nothing.  Items and documents with null ids are compared like others; rows
+that share an id give one row per pair of ids, with the best passage (of equal scores the first).  Texts of any length are
+matched whole.  An empty table gives an empty result; other columns are ignored, whatever their names.
 """
 
 from __future__ import annotations
@@ -24,7 +28,7 @@ from __future__ import annotations
 import math
 import re
 from collections.abc import Iterator
-from itertools import repeat
+from itertools import islice, repeat
 
 import numpy as np
 import pyarrow as pa
@@ -34,7 +38,7 @@ from pyspark.sql import functions as F
 from . import shared
 
 K1, B, THRESHOLD, OVERLAP, GRAM, BLOCK = 1.2, 0.75, 0.5, 0.6, 3, 64
-SHARD_ITEMS, SHARD_BYTES = 4000, 4 << 20
+SHARD_ITEMS, SHARD_BYTES, TOGETHER = 4000, 4 << 20, 4
 #: A-Z to a-z, ASCII punctuation to a space.
 FOLD = bytes(ord(chr(c).lower()) if chr(c).isalpha() and c < 128 else 32 if c < 128 and not chr(c).isalnum() else c for c in range(256))
 
@@ -196,30 +200,38 @@ class Index:
         return found
 
 
-def shards(items: DataFrame) -> Iterator[Index]:
-    """Indexes that together hold all items."""
-    words = F.filter(F.split(shared.ascii_lower(F.regexp_replace("text", r"[\x00-\x7F&&[^A-Za-z0-9]]", " ")), " "), lambda x: x != "")
+def words_of(items: DataFrame) -> DataFrame:
+    """item_id, text, shard -> w, shard for each distinct word of each item, and one row with a null w and the item's length."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in shared.byte_slices(batches, "text"):
+            words, shard, size = [], [], []
+            for text, k in zip(shared.raw_texts(b.column("text")), b.column("shard").to_pylist(), strict=True):
+                if found := terms_of(text):
+                    own = [None, *sorted(set(found))]
+                    words += own
+                    shard += [k] * len(own)
+                    size += [len(found)] + [0] * (len(own) - 1)
+            yield pa.RecordBatch.from_arrays([pa.array(words, pa.binary()), pa.array(shard, pa.int64()), pa.array(size, pa.int64())], names=["w", "shard", "size"])
+
+    return items.mapInArrow(run, "w binary, shard long, size long")
+
+
+def shards(items: DataFrame, scratch: shared.Scratch) -> Iterator[Index]:
+    """Indexes that together hold all items; one at a time is on the driver."""
+    items = items.distinct()
     size = items.agg(F.count("*"), F.sum(F.octet_length("text"))).first()
     n = max(1, -(-size[0] // SHARD_ITEMS), -(-(size[1] or 0) // SHARD_BYTES))
-    terms = items.select(F.monotonically_increasing_id().alias("i"), words.alias("w")).where("size(w) > 0")
-    stats = terms.agg(F.count("*"), F.avg(F.size("w"))).first()
+    items = scratch.keep(items.withColumn("shard", F.pmod(F.xxhash64("item_id", "text"), F.lit(n))), "items")
+    words = scratch.keep(words_of(items), "item_words")
+    whole = words.where("w is null").agg(F.count("*"), F.avg("size")).first()
+    frequencies = scratch.keep(words.where("w is not null").groupBy("w").agg(F.count("*").alias("n")), "frequencies")
     for k in range(n):
-        own = items.where(F.pmod(F.xxhash64("item_id", "text"), F.lit(n)) == k).orderBy("item_id", "text").collect()
-        rows = [(r["item_id"], r["text"]) for r in own if terms_of(r["text"].encode())]
-        if not rows:
-            continue
-        if n == 1:
-            df: dict[bytes, int] = {}
-            for _, t in rows:
-                for w in set(terms_of(t.encode())):
-                    df[w] = df.get(w, 0) + 1
-            yield Index(rows, df, len(rows), sum(len(terms_of(t.encode())) for _, t in rows) / len(rows))
-        else:
-            spark = items.sparkSession
-            wanted = spark.createDataFrame([(w.decode(),) for w in {w for _, t in rows for w in terms_of(t.encode())}], "w string")
-            counts = terms.select(F.explode(F.array_distinct("w")).alias("w")).join(F.broadcast(wanted), "w").groupBy("w").agg(F.count("*").alias("n")).collect()
-            known = {r["w"].encode(): r["n"] for r in counts}
-            yield Index(rows, {w: known.get(w, 1) for _, t in rows for w in terms_of(t.encode())}, stats[0], stats[1])
+        rows = [(r["item_id"], r["text"]) for r in items.where(F.col("shard") == k).orderBy("item_id", "text").collect()]
+        rows = [(i, t) for i, t in rows if terms_of(t.encode())]
+        if rows:
+            own = words.where((F.col("shard") == k) & F.col("w").isNotNull()).select("w").distinct()
+            yield Index(rows, {bytes(r["w"]): r["n"] for r in frequencies.join(own, "w").collect()}, whole[0], whole[1])
 
 
 HITS = "doc_id long, item_id long, score double, passage_start long, question_overlap double, answer_overlap double"
@@ -229,9 +241,9 @@ def leaks(docs: DataFrame, items: DataFrame, threshold: float = THRESHOLD, least
     """One row per verified pair of document and test item."""
     docs = shared.keyed_text(docs, id_col, text_col)
     items = shared.keyed_text(items, "item_id", "text").select(F.col("doc_id").alias("item_id"), "text").where("text is not null")
-    found = None
-    for index in shards(items):
-        hits = docs.mapInArrow(searcher(index, threshold, least), HITS)
+    found, indexes = None, shards(items, shared.Scratch(docs.sparkSession))
+    while batch := list(islice(indexes, TOGETHER)):
+        hits = docs.mapInArrow(searcher(batch, threshold, least), HITS)
         found = hits if found is None else found.unionByName(hits)
     if found is None:
         return docs.sparkSession.createDataFrame([], HITS)
@@ -239,13 +251,15 @@ def leaks(docs: DataFrame, items: DataFrame, threshold: float = THRESHOLD, least
     return found.groupBy("doc_id", "item_id").agg(best).select("doc_id", "item_id", "m.score", (-F.col("m.p")).alias("passage_start"), "m.question_overlap", "m.answer_overlap")
 
 
-def searcher(index: Index, threshold: float, least: float):
+def searcher(indexes: list[Index], threshold: float, least: float):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in shared.byte_slices(batches, "text"):
             out = []
             for doc_id, text in zip(b.column("doc_id").to_pylist(), shared.raw_texts(b.column("text")), strict=True):
-                for item, hit in index.match(terms_of(text), threshold, least).items():
-                    out.append((doc_id, index.ids[item], *hit))
+                words = terms_of(text)
+                for index in indexes:
+                    for item, hit in index.match(words, threshold, least).items():
+                        out.append((doc_id, index.ids[item], *hit))
             if out:
                 columns = list(zip(*out, strict=True))
                 yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, (pa.int64(), pa.int64(), pa.float64(), pa.int64(), pa.float64(), pa.float64()), strict=True)], names=["doc_id", "item_id", "score", "passage_start", "question_overlap", "answer_overlap"])
