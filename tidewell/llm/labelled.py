@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -24,5 +26,14 @@ def learnable(labels: DataFrame, column: str) -> DataFrame:
 
 
 def bounded(rows: DataFrame, most: int) -> DataFrame:
-    """At most ``most`` rows, those with the smallest hashes of their ids; all rows, if there are no more."""
-    return rows.orderBy(F.xxhash64("doc_id"), "doc_id").limit(most)
+    """At most ``most`` rows, those with the smallest hashes of their ids (ties by id); all rows, if there are no more.
+
+    Rows are counted first, so that a cut-off on the hash leaves little more than ``most`` to sort: a task doesn't send on
+    more rows than its share.  The cut-off is 10 standard deviations above what is needed.
+    """
+    n = rows.select("doc_id").count()
+    share = min(1.0, (most + 10 * math.sqrt(most) + 100) / max(1, n))
+    rank = F.xxhash64("doc_id")
+    if share < 1:
+        rows = rows.where(F.shiftrightunsigned(rank.bitwiseXOR(F.lit(-(2**63))), 24) < math.ceil(share * (1 << 40)))
+    return rows.orderBy(rank, "doc_id").limit(most)

@@ -4,16 +4,19 @@ Trusted positives are the learnable rows labelled 1; every document is unlabelle
 
 1. One pass over all texts makes dense features (shares of character classes, word statistics, repetition).
 2. A linear model on quantile bins of the features tells positives from unlabelled text; histograms of its score over
-   the positives kept for calibration (fold 3, never fitted on) and over all documents give the class prior: the least
-   ratio of the share of all documents above a score to that of the positives.
+   the positives kept for calibration (fold 3, never fitted on, plus the fitted ones with the weight of ``VIRTUAL`` rows in
+   all, at every size) and over all documents give the class prior: the least ratio of the share of all documents above
+   a score to that of the positives.
 3. The same kind of model minimises the non-negative unbiased risk
    ``pi * R_p(+) + max(0, R_u(-) - pi * R_p(-))`` with logistic loss.
 4. Its value becomes a probability by the same two histograms: the ratio of positives to documents per cell, made
    non-decreasing, times the prior that they imply, which is the share of positives among documents of that value.
 
 The models are fitted on at most ``SAMPLE`` positives and as many unlabelled rows (those with the smallest hashes of
-their ids); histograms cover every row.  Null texts are scored as empty ones.  Without any positives every score is the
-neutral 0.5.  Every input row gives one output row.
+their ids, ties by id); histograms cover every row.  Null and empty texts are scored alike.  Without any positives every
+score is the neutral 0.5.  A score depends on the text alone, so repeated rows and copies score the same; of an id with
+several label rows the larger label counts.  Texts of any length are measured whole, one slice of about 8 MB (or one text)
+at a time.  Every input row gives one output row, an empty table none; other columns are ignored, whatever their names.
 """
 
 from __future__ import annotations
@@ -31,7 +34,7 @@ from .labelled import bounded, held_out, learnable
 
 SAMPLE, BINS, STEPS, RATE, RIDGE, THRESHOLD = 12000, 12, 200, 0.1, 0.5, 0.7
 #: Scores per histogram, and the least share of positives above a score that is used for the prior.
-CELLS, LEAST_ABOVE = 512, 0.2
+CELLS, LEAST_ABOVE, VIRTUAL = 512, 0.2, 20
 
 
 def classes() -> np.ndarray:
@@ -210,8 +213,8 @@ def train(rows: DataFrame, labels: DataFrame):
     kept = positives.where("fold = 3")
 
     def histograms(model: Additive) -> tuple[np.ndarray, np.ndarray]:
-        own = histogram(kept, model)
-        return (own if own.sum() >= 20 else histogram(positives, model)), histogram(others, model)
+        fit = histogram(fitted, model)
+        return histogram(kept, model) + VIRTUAL * fit / fit.sum(), histogram(others, model)
 
     model = fit_nnpu(p, u, prior_of(*histograms(fit_separator(p, u))))
     curve = curve_of(*histograms(model))
