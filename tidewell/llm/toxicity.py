@@ -1,8 +1,9 @@
 """Toxicity: gradient-boosted trees over dense features, with isotonic calibration.
 
 1. The lexicon is learned: words and word beginnings of four and five characters, with their document frequencies in
-   toxic and in other labelled texts (of whole-text copies with one label, the one with the smallest id); those far more frequent in toxic ones stay, at
-   most ``LEXICON`` of them.
+   toxic and in other labelled texts (of whole-text copies with one label, the one with the smallest id); those far more
+   frequent in toxic ones stay, all of them: odds of ``ODDS`` to 1 and a log-likelihood of ``EVIDENCE`` or more, tested where
+   the counts are, so only terms that pass reach the driver.
 2. Dense features per text: densities and counts of lexicon words, densest stretch, nearness to the second person,
    capitals, punctuation, obfuscated words (digits or marks inside a word) and lexicon words found only after
    undoing the obfuscation.
@@ -11,7 +12,10 @@
 
 All learning is on at most ``SAMPLE`` labelled rows outside the held-out part (those with the smallest hashes of their
 ids).  Null texts are scored as empty ones; without toxic or without other labelled rows every score is the
-share of toxic ones (0 without any).  Every input row gives one output row.
+share of toxic ones (0 without any).  A score depends on the text alone, so repeated rows and copies score the same; of an
+id with several label rows the larger label counts; of a labelled id's rows each different text is a training row.  Texts of any
+length are read whole, one slice of about 8 MB (or one text) at a time.  Every input row gives one output row, an empty
+table none; other columns are ignored, whatever their names.  No step depends on the order or the partitions of the rows.
 """
 
 from __future__ import annotations
@@ -21,14 +25,14 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from . import shared
 from .labelled import bounded, held_out, learnable
 from .quality import CLASSES
 
-SAMPLE, LEXICON, THRESHOLD, EVIDENCE = 16000, 4000, 0.3, 10.0
+SAMPLE, THRESHOLD, EVIDENCE, ODDS = 16000, 0.3, 10.0, 30.0
 TREES, DEPTH, RATE, CELLS, LEAST_LEAF, RIDGE = 60, 3, 0.2, 64, 5, 1.0
 #: Second-person words of the four languages (fixed values).
 SECOND_PERSON = "you your yours yourself u ur tú tu tus te ti usted ustedes vosotros vous votre vos toi du dich dir dein deine ihr euch euer".split()
@@ -101,10 +105,11 @@ def term_counts(rows: DataFrame) -> DataFrame:
     return rows.mapInArrow(run, "term string, half int, toxic long, other long").groupBy("term").agg(*[F.sum(F.when(F.col("half") == h, F.col(c)).otherwise(0)).alias(f"{c}{h}") for h in (0, 1) for c in ("toxic", "other")])
 
 
-def lexicon_from(counts: list[tuple[str, int, int]], n_toxic: int, n_other: int) -> frozenset[str]:
-    """Terms whose smoothed odds in toxic texts are 30 times those elsewhere, with evidence (log-likelihood) beyond chance."""
+def telling(a: Column, b: Column, n_toxic: int, n_other: int) -> Column:
+    """Does a term of ``a`` toxic and ``b`` other texts have ODDS times smoothed odds, with EVIDENCE beyond chance?"""
     share = n_toxic / max(1, n_toxic + n_other)
-    return frozenset(t for t, a, b in counts if a and (a + 0.5) / (n_toxic + 1) >= 30 * (b + 0.1) / (n_other + 1) and a * np.log(a / (a + b) / share) >= EVIDENCE)
+    odds = (a + 0.5) / (n_toxic + 1) >= ODDS * (b + 0.1) / (n_other + 1)
+    return (a > 0) & odds & (a * F.log(a / (a + b) / share) >= EVIDENCE) if share else F.lit(False)
 
 
 class Boosted:
@@ -200,7 +205,7 @@ def train(docs: DataFrame, labels: DataFrame) -> Model:
     """docs: doc_id, text."""
     scratch = shared.Scratch(docs.sparkSession)
     chosen = bounded(learnable(labels, "toxic"), SAMPLE).withColumn("half", F.pmod(F.xxhash64("doc_id", F.lit(1)), F.lit(2)).cast("int"))
-    rows = scratch.keep(docs.join(chosen, "doc_id").select("doc_id", "text", "y", "half"), "sample")
+    rows = scratch.keep(docs.join(chosen, "doc_id").select("doc_id", "text", "y", "half").dropDuplicates(["doc_id", "text"]), "sample")
     sizes = {(r["half"], r["y"]): r["n"] for r in rows.groupBy("half", "y").agg(F.count("*").alias("n")).collect()}
     n = [[sizes.get((h, y), 0) for y in (0, 1)] for h in (0, 1)]
     toxic, other = n[0][1] + n[1][1], n[0][0] + n[1][0]
@@ -212,10 +217,11 @@ def train(docs: DataFrame, labels: DataFrame) -> Model:
     m = [[distinct.get((h, y), 0) for y in (0, 1)] for h in (0, 1)]
     m_toxic, m_other = m[0][1] + m[1][1], m[0][0] + m[1][0]
     single = rows.withColumn("_copy", F.sha2(F.encode(F.coalesce("text", F.lit("")), "UTF-8"), 256)).join(texts, (F.col("doc_id") == F.col("_id")) & (F.col("y") == F.col("_y")) & (F.col("_copy") == F.col("copy"))).dropDuplicates(["copy", "y"]).select("text", "y", "half")
-    counts = term_counts(single).where("toxic0 + toxic1 >= 2").where("(toxic0 + toxic1) > 8 * (other0 + other1) * " + repr(m_toxic / (m_toxic + m_other)))
-    listed = [(r["term"], r["toxic0"], r["other0"], r["toxic1"], r["other1"]) for r in counts.orderBy(F.desc(F.col("toxic0") + F.col("toxic1")), "term").limit(LEXICON).collect()]
-    whole = lexicon_from([(t, a + c, b + d) for t, a, b, c, d in listed], m_toxic, m_other)
-    apart = [lexicon_from([(t, c, d) for t, _, _, c, d in listed], m[1][1], m[1][0]), lexicon_from([(t, a, b) for t, a, b, _, _ in listed], m[0][1], m[0][0])]  # for half 0: from half 1
+    # A half's training features use terms that tell in the other half, unseen of its own counts.
+    c = {name: F.col(name) for h in (0, 1) for name in (f"toxic{h}", f"other{h}")}
+    tests = [telling(c["toxic0"] + c["toxic1"], c["other0"] + c["other1"], m_toxic, m_other), telling(c["toxic1"], c["other1"], m[1][1], m[1][0]), telling(c["toxic0"], c["other0"], m[0][1], m[0][0])]
+    counts = term_counts(single).select("term", *[t.alias(f"t{k}") for k, t in enumerate(tests)]).where("t0 or t1 or t2").collect()
+    whole, *apart = (frozenset(r["term"] for r in counts if r[f"t{k}"]) for k in range(3))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         readers = [Reader(x) for x in apart]
