@@ -4,11 +4,16 @@ from __future__ import annotations
 
 import random
 import zlib
+from collections import Counter
 
 import numpy as np
 import pytest
+from hypothesis import given, settings
+from hypothesis import strategies as st
+from pyspark.sql import functions as F
 
 from tidewell.llm import language_id, quality, toxicity, url_filter
+from tidewell.llm.labelled import bounded
 from tidewell.llm.queries import queries
 
 from .conftest import vocabulary
@@ -72,10 +77,97 @@ def test_toxicity_behind_a_common_banner(spark, labelled):
     assert "=zork" not in toxicity.train(behind.unionByName(copies), labels.unionByName(marked)).lexicon
 
 
-def test_isotonic_is_monotone():
-    z, y = np.array([0.1, 0.2, 0.2, 0.5, 0.9]), np.array([0.0, 1.0, 0.0, 0.0, 1.0])
+def max_min(values, weights):
+    """Non-decreasing weighted least squares, by its max-min formula."""
+    n = len(values)
+    mean = lambda a, b: np.dot(values[a : b + 1], weights[a : b + 1]) / weights[a : b + 1].sum()
+    return [max(min(mean(a, b) for b in range(k, n)) for a in range(k + 1)) for k in range(n)]
+
+
+@settings(max_examples=40, deadline=None)
+@given(st.lists(st.tuples(st.integers(0, 9), st.booleans()), min_size=2, max_size=40))
+def test_isotonic_equals_max_min(pairs):
+    z, y = np.array([p[0] for p in pairs], float), np.array([p[1] for p in pairs], float)
     xs, ys = toxicity.isotonic(z, y)
-    assert (np.diff(ys) >= 0).all() and (np.diff(xs) >= 0).all()
+    knots = np.unique(z)
+    n = np.array([(z == k).sum() for k in knots], float)
+    want = np.array(max_min(np.array([y[z == k].mean() for k in knots]), n))
+    got = np.interp(knots, xs, ys)
+    assert (np.diff(ys) >= 0).all() and np.abs(got - want).max() <= 0.03  # each block is drawn to one half by 0.04 virtual rows
+
+
+def test_lexicon_equals_plain_counts(labelled):
+    """Every term that passes both tests is listed, counted by hand; no cap."""
+    docs, labels, truth = labelled
+    rows = {r["doc_id"]: r["text"] for r in docs.collect() if zlib.crc32(str(r["doc_id"]).encode()) % 4 != 2}
+    toxic, other, seen = Counter(), Counter(), {}
+    for i in sorted(rows):
+        seen.setdefault((rows[i], truth[i][1]), i)
+    for (text, y), _ in seen.items():
+        (toxic if y else other).update({t for w in text.split() for t in toxicity.terms(toxicity.clean(w))})
+    n1 = sum(y for _, y in seen)
+    n0, share = len(seen) - n1, n1 / len(seen)
+    want = {t for t, a in toxic.items() if (a + 0.5) / (n1 + 1) >= toxicity.ODDS * (other[t] + 0.1) / (n0 + 1) and a * np.log(a / (a + other[t]) / share) >= toxicity.EVIDENCE}
+    assert toxicity.train(docs, labels).lexicon == want and "=blargh" in want
+
+
+def test_trees_split_like_a_plain_search():
+    """The root's split is the best of all cuts of all features, by gain."""
+    r = np.random.default_rng(3)
+    x = r.integers(0, 6, (80, 3)).astype(float)
+    y = (x[:, 1] + r.normal(0, 0.5, 80) > 2.5).astype(float)
+    model = toxicity.Boosted(x, y)
+    p = 1 / (1 + np.exp(-model.base))
+    g, h = p - y, np.full(80, p * (1 - p))
+    best = max((sum(g[m].sum() ** 2 / (h[m].sum() + toxicity.RIDGE) for m in (x[:, f] < c, x[:, f] >= c)), f, c) for f in range(3) for c in range(1, 6) if min((x[:, f] < c).sum(), (x[:, f] >= c).sum()) >= toxicity.LEAST_LEAF)
+    feature, cell, _ = model.trees[0][0]
+    assert (feature, np.ceil(model.edges[feature][cell])) == best[1:]
+
+
+@settings(max_examples=30, deadline=None)
+@given(st.lists(st.integers(0, 5), min_size=6, max_size=6), st.lists(st.integers(0, 5), min_size=6, max_size=6))
+def test_quality_curve_and_prior_equal_plain_ones(positive, unlabelled):
+    """Curve: the monotone regression of the ratio of both histograms, times the least ratio of the shares above a score."""
+    positive[5] += 1
+    p, u = np.zeros(quality.CELLS), np.zeros(quality.CELLS)
+    at = np.arange(6) * 80
+    p[at], u[at] = positive, np.array(unlabelled) + 1
+    ps, us = p[at] / p.sum(), u[at] / u.sum()
+    prior = np.clip(min(us[k:].sum() / ps[k:].sum() for k in range(6) if ps[k:].sum() >= quality.LEAST_ABOVE), 0.05, 0.98)
+    assert abs(quality.prior_of(p, u) - prior) < 1e-9
+    assert np.allclose(quality.curve_of(p, u)[at], np.clip(np.array(max_min(ps / us, us)) * prior, 0, 1), atol=1e-9)
+
+
+@settings(max_examples=80, deadline=None)
+@given(st.text("aZé9 \n\t.,!# ", max_size=60))
+def test_quality_features_equal_plain_ones(text):
+    raw, words = text.encode(), text.encode().split()
+    got = dict(zip(quality.NAMES, quality.features(raw), strict=True))
+    if not raw:
+        assert not any(got.values())
+        return
+    share = lambda f: sum(map(f, raw)) / len(raw)
+    lines, counts = [x for x in raw.split(b"\n") if x], Counter(words)
+    mark = lambda c: 32 < c < 128 and not chr(c).isalnum()
+    want = {"upper": share(lambda c: 65 <= c <= 90), "digit": share(lambda c: 48 <= c <= 57), "high": share(lambda c: c > 127), "newline": share(lambda c: c == 10), "distinct": len(counts) / max(1, len(words)), "top_word": max(counts.values(), default=0) / max(1, len(words)), "word_length": np.mean([len(w) for w in words]) if words else 0.0, "word_length_spread": np.std([len(w) for w in words]) if words else 0.0, "line_repeats": 1 - len(set(lines)) / max(1, len(lines)), "capitalised": np.mean([65 <= w[0] <= 90 for w in words]) if words else 0.0, "ends_in_mark": np.mean([mark(w[-1]) for w in words]) if words else 0.0, "doubled_marks": np.mean([a == b and mark(b) for a, b in zip(raw, raw[1:], strict=False)]) if len(raw) > 1 else 0.0, "stops": raw.count(b". ") / max(1, len(words))}
+    assert all(abs(got[k] - v) < 1e-9 for k, v in want.items())
+
+
+@pytest.mark.parametrize("model", [quality, toxicity])
+def test_scores_do_not_depend_on_partitions(labelled, model):
+    """Another order and other partitions, and every row twice: the same scores."""
+    docs, labels, _ = labelled
+    one, two, twice = ({(r["doc_id"], r["score"]) for r in model.scored(d, labels).collect()} for d in (docs.coalesce(1), docs.orderBy("text").repartition(7, "text"), docs))
+    assert one == two == twice
+    rows = model.scored(docs.unionByName(docs), labels).collect()
+    assert len(rows) == 1800 and len({(r["doc_id"], r["score"]) for r in rows}) == 900
+
+
+@pytest.mark.parametrize("n", [0, 3, 1000])
+def test_bounded_is_the_smallest_hashes(spark, n):
+    rows = spark.range(1000).select(F.col("id").alias("doc_id"))
+    want = [r[0] for r in rows.orderBy(F.xxhash64("doc_id")).limit(n).collect()]
+    assert [r[0] for r in bounded(rows, n).collect()] == want
 
 
 def judge_by_hand(url):
@@ -140,6 +232,70 @@ def test_languages(spark, empty):
     assert language_id.identify(pages.limit(0), docs.limit(0)).count() == 0
 
 
+def brute_languages(rows, langs, model):
+    """Posterior of every row from the definition: own evidence, and priors from all other rows' evidence by level."""
+    evidence = []
+    both = [(d, t) for t, d, _ in rows if t and t.strip() and d]
+    ll = lambda t: [sum(model[k][g] for g in language_id.trigrams(t.encode())) * min(1.0, language_id.EVIDENCE / (len(t.encode()) )) if t and t.strip() else 0.0 for k in range(len(langs))]
+    best = lambda v: langs[int(np.argmax(v))]
+    right = min(0.99, max(0.5, (sum(d == best(ll(t)) for d, t in both) + 3) / (len(both) + 4)))
+    for t, d, (suffix, _, _) in rows:
+        e = np.array(ll(t))
+        for said, p in ((d, right), (language_id.COUNTRY.get(suffix), 0.6)):
+            if said in langs:
+                e += [np.log(p) if x == said else np.log((1 - p) / max(1, len(langs) - 1)) for x in langs]
+        evidence.append(e)
+    p = [np.exp(e - e.max()) / np.exp(e - e.max()).sum() for e in evidence]
+    out = []
+    for i, (_, _, place) in enumerate(rows):
+        prior = np.full(len(langs), 1 / len(langs))
+        for depth, strength in ((0, len(langs)), (1, 5.0), (2, 5.0), (3, 5.0)):
+            own = sum((p[j] for j in range(len(rows)) if j != i and rows[j][2][:depth] == place[:depth]), np.zeros(len(langs)))
+            prior = (own + strength * prior) / (own.sum() + strength)
+        q = p[i] * prior
+        out.append(q / q.sum())
+    return out
+
+
+@pytest.mark.parametrize("heavy", [1e-3, 0.2, 2.0])
+def test_fusion_equals_brute_force(spark, heavy, monkeypatch):
+    """Few rows on hosts of several sizes, with and without text and declarations, heavy hosts or none; a row's own evidence counts once."""
+    monkeypatch.setattr(language_id, "HEAVY", heavy)
+    r = random.Random(6)
+    vocab = {x: vocabulary(20 + k, 60) for k, x in enumerate(("de", "en", "fr"))}
+    docs = [(i, " ".join(r.choice(vocab[x]) for _ in range(r.randint(1, 12))), x, f"src{i % 2}") for i, x in enumerate(["de", "en", "fr"] * 8)]
+    hosts = ["a.b.co.de", "b.co.de", "x.org", "www.x.org", None]
+    pages = []
+    for i in range(24):
+        x, host = r.choice(list(vocab)), r.choice(hosts)
+        text = " ".join(r.choice(vocab[x]) for _ in range(r.choice([0, 1, 2, 5])))
+        declared = r.choice(["", f' lang="{r.choice(list(vocab))}"', ' data-lang="fr"'])
+        pages.append((i, f"http://{host}/p" if host else None, f"<html{declared}><body>{text}</body></html>"))
+    doc_frame = spark.createDataFrame(docs, "doc_id long, text string, lang string, source string")
+    page_frame = spark.createDataFrame([*pages, pages[0]], "page_id long, url string, html string")
+    langs, model = language_id.train(doc_frame)
+    rows = [(t, None, (None, None, s)) for _, t, _, s in docs]
+    for _, url, html in [*pages, pages[0]]:
+        host = url.split("/")[2] if url else None
+        declared = html.split(' lang="')[1][:2] if ' lang="' in html else None
+        rows.append((html.replace("<html" + html.split("<html")[1].split(">")[0] + ">", " ").replace("<body>", " ").replace("</body>", " ").replace("</html>", " "), declared, (host.split(".")[-1], ".".join(host.split(".")[-3:]), host) if host else (None, None, None)))
+    want = Counter((langs[int(np.argmax(q))], round(float(q.max()), 6)) for q in brute_languages(rows, langs, model))
+    got = language_id.identify(page_frame, doc_frame).collect()
+    assert Counter((r["lang"], round(r["confidence"], 6)) for r in got) == want
+
+
+def test_markup_and_white_space(spark, labelled):
+    html = ['<html data-lang="de" lang="en-GB">', "<HTML class='a b' xml:lang=fr\n LANG = es>", '<html title=" lang=de ">', "<html><p lang=fr>", "<htmlx lang=de>", "<html lang='english'>", "<html lang=fr>", None, ""]
+    frame = spark.createDataFrame([(i, h) for i, h in enumerate(html)], "i int, h string")
+    got = [r[0] for r in frame.orderBy("i").select(language_id.declared_of(F.col("h"))).collect()]
+    assert got == ["en", "es", None, None, None, None, "fr", None, None]
+    docs = spark.createDataFrame([(1, "some words here", "aa", "s"), (2, "\n\t\n", "bb", "s"), (2, "\n\t\n", "bb", "s"), (3, "\u00a0", "bb", "s"), (4, "other text " * 50000, "bb", "s")], "doc_id long, text string, lang string, source string")
+    pages = spark.createDataFrame([(1, "http://a.test", "<html lang=bb>" + "<p>other</p>" * 20000, "clash", 0.5)], "page_id long, url string, html string, lang string, confidence double")
+    rows = language_id.identify(pages, docs).collect()
+    assert len(rows) == 6 and all(r["text_lang"] is None for r in rows if r["doc_id"] == 2)
+    assert {r["lang"] for r in rows if r["doc_id"] == 4 or r["page_id"] == 1} == {"bb"}
+
+
 def test_every_language_is_a_class(spark):
     langs = [f"{a}{b}" for a in "abcdefg" for b in "abcdefghij"]
     r = random.Random(4)

@@ -9,12 +9,17 @@ For each row the log-likelihoods of four sources add up:
 * address suffix: the suffix is the top level of a hierarchy of priors; a suffix that is itself a language's country code
   also counts as a weak declaration;
 * host: priors from grouped aggregation over all rows, smoothed from suffix to domain to host (each level adds its counts
-  to ``STRENGTH`` virtual rows of the level above, the suffix to those of the whole table).
+  to ``STRENGTH`` virtual rows of the level above, the suffix to those of the whole table).  A row's own evidence is taken out of
+  the counts of all four levels first, so that it counts once.
 
-Hosts are aggregated before they are joined, so a host with a third of all rows is one row per task in the shuffle.
+Hosts are aggregated in the tasks that read them.  Those with more than ``HEAVY`` of all rows (at most 1 / HEAVY hosts)
+are joined by broadcast, all others by key, so a host with a third of all rows makes no task of its own.
 Every language that occurs in the training table is a class; over ``MOST_CLASSES`` values raise an error.
-Rows without text, declaration or host use what they have; one without anything gets the table's prior.  Every
-input row gives one output row; an empty training table or input gives null languages or an empty result.
+
+Rows without text (white space only counts as none), declaration or host use what they have; one without anything gets the
+table's prior.  Of equally likely languages the alphabetically first wins.  Rows are judged one by one, so repeated rows
+get equal answers, each counting once for its host.  Texts and pages of any length are read whole.  Every input row gives one
+output row; an empty training table gives null languages, an empty input an empty result.  Other columns are ignored.
 """
 
 from __future__ import annotations
@@ -27,8 +32,9 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from . import shared
+from .winnowing import let
 
-BUCKETS, SAMPLE, EVIDENCE, STRENGTH = 1 << 15, 400, 60.0, 5.0
+BUCKETS, SAMPLE, EVIDENCE, STRENGTH, HEAVY = 1 << 15, 400, 60.0, 5.0, 1e-3
 #: More values of documents.lang than this are an error, never a cut (ISO 639-1 has fewer codes).
 MOST_CLASSES = 256
 #: Country suffixes that go with a language (fixed values).
@@ -95,8 +101,8 @@ def text_of(html: Column) -> Column:
 
 
 def declared_of(html: Column) -> Column:
-    """Primary subtag of the html element's lang attribute, lower-cased."""
-    return F.nullif(F.lower(F.regexp_extract(html, r"""(?is)<html\b[^>]*?\blang\s*=\s*["']?([A-Za-z]{2,3})""", 1)), F.lit(""))
+    """Primary subtag of the html element's own lang attribute (not data-lang, xml:lang or a part of a value), lower-cased."""
+    return F.nullif(F.lower(F.regexp_extract(html, r"""(?is)<html(?=\s)(?:\s+(?!lang[\s=])[^\s=>]+(?:\s*=\s*(?:"[^"]*"|'[^']*'|[^\s>"']+))?)*\s+lang\s*=\s*["']?\s*([A-Za-z]{2,3})(?![A-Za-z])""", 1)), F.lit(""))
 
 
 def softmax(values: Column) -> Column:
@@ -105,14 +111,25 @@ def softmax(values: Column) -> Column:
     return F.transform(powers, lambda v: v / F.aggregate(powers, F.lit(0.0), lambda a, b: a + b))
 
 
-def smoothed(rows: DataFrame, langs: list[str], levels: list[str], name: str) -> DataFrame:
-    """levels..., prior: smoothed shares of languages by the last of ``levels``; rows: levels and p (probabilities)."""
-    sums = [F.sum(F.col("p")[i]).alias(f"s{i}") for i in range(len(langs))]
-    table = rows.groupBy(*levels).agg(*sums) if levels else rows.agg(*[F.coalesce(s, F.lit(0.0)).alias(f"s{i}") for i, s in enumerate(sums)])
-    own = F.array(*[F.col(f"s{i}") for i in range(len(langs))])
-    if not levels:
-        return table.select(F.transform(own, lambda v: (v + 1.0) / (F.aggregate(own, F.lit(0.0), lambda a, b: a + b) + float(len(langs)))).alias("prior"))
-    return table.select(*levels, own.alias("own"))
+LEVELS = ("suffix", "domain", "host")
+
+
+def host_counts(rows: DataFrame, n: int, scratch: shared.Scratch) -> DataFrame:
+    """suffix, domain, host, rows and the sums of p over each of the three levels (s1, s2, s3); one row per host."""
+    at = lambda c: F.array(*[F.sum(F.col(c)[i]) for i in range(n)])
+    hosts = scratch.keep(rows.groupBy(*LEVELS).agg(F.count("*").alias("rows"), at("p").alias("s3")), "hosts")
+    for depth in (2, 1):
+        keys = LEVELS[:depth]
+        above = hosts.groupBy(*[F.col(k).alias(f"_{k}") for k in keys]).agg(at("s3").alias(f"s{depth}"))
+        hosts = hosts.join(above, [F.col(k).eqNullSafe(F.col(f"_{k}")) for k in keys]).drop(*[f"_{k}" for k in keys])
+    return scratch.keep(hosts.withColumnsRenamed({k: f"_{k}" for k in LEVELS}), "counts")
+
+
+def without_own(sums: Column, p: Column, prior: Column, strength: float) -> Column:
+    """Shares from ``sums`` without the row's own ``p``, smoothed by ``strength`` virtual rows of ``prior``."""
+    own = F.zip_with(sums, p, lambda s, x: F.greatest(s - x, F.lit(0.0)))
+    total = lambda v: F.aggregate(v, F.lit(0.0), lambda a, b: a + b)
+    return let(own, lambda o: F.zip_with(o, prior, lambda s, x: (s + strength * x) / (total(o) + strength)))
 
 
 def fused(rows: DataFrame, langs: list[str], scratch: shared.Scratch) -> DataFrame:
@@ -122,30 +139,30 @@ def fused(rows: DataFrame, langs: list[str], scratch: shared.Scratch) -> DataFra
     best = lambda v: F.element_at(lang, F.array_position(v, F.array_max(v)).cast("int"))
     both = rows.where("has_text and declared is not null").agg(F.sum((F.col("declared") == best(F.col("ll"))).cast("double")).alias("k"), F.count("*").alias("n")).first()
     right = min(0.99, max(0.5, ((both["k"] or 0.0) + 3.0) / (both["n"] + 4.0)))
-    said = lambda c, p: F.transform(lang, lambda x: F.when(c.isNull() | ~F.array_contains(lang, c), 0.0).when(x == c, float(np.log(p))).otherwise(float(np.log((1 - p) / max(1.0, n - 1)))))
+
+    def said(c: Column, p: float) -> Column:
+        wrong = float(np.log((1 - p) / max(1.0, n - 1)))
+        return F.transform(lang, lambda x: F.when(c.isNull() | ~F.array_contains(lang, c), 0.0).when(x == c, float(np.log(p))).otherwise(wrong))
+
     country = F.lit(None).cast("string")
     for suffix, x in COUNTRY.items():
         country = F.when(F.col("suffix") == suffix, F.lit(x)).otherwise(country)
     evidence = F.zip_with(F.zip_with("ll", said(F.col("declared"), right), lambda a, b: a + b), said(country, 0.6), lambda a, b: a + b)
     rows = rows.withColumn("evidence", evidence).withColumn("p", softmax(F.col("evidence")))
-    whole = smoothed(rows, langs, [], "all").first()["prior"]  # one row
-    up = F.array(*[F.lit(v) for v in whole])
-    levels, tables = ["suffix", "domain", "host"], {}
-    counts = scratch.keep(rows.groupBy(*levels).agg(*[F.sum(F.col("p")[i]).alias(f"s{i}") for i in range(len(langs))]), "hosts")
-    blend = lambda own, prior: F.transform(F.zip_with(own, prior, lambda a, b: a + STRENGTH * b), lambda v: v / (F.aggregate(own, F.lit(0.0), lambda a, b: a + b) + STRENGTH))
+    counts = host_counts(rows, len(langs), scratch)
+    whole = counts.agg(F.sum("rows").alias("rows"), *[F.sum(F.col("s3")[i]).alias(f"s{i}") for i in range(len(langs))]).first()
+    even = F.array(*[F.lit(1.0 / n) for _ in langs])
+    everything = F.array(*[F.lit(float(whole[f"s{i}"] or 0.0)) for i in range(len(langs))])
+    heavy = counts.where(F.col("rows") > HEAVY * (whole["rows"] or 0))  # at most 1 / HEAVY rows
+    rest = counts.join(F.broadcast(heavy.select(*[F.col(f"_{k}").alias(f"h_{k}") for k in LEVELS])), [F.col(f"_{k}").eqNullSafe(F.col(f"h_{k}")) for k in LEVELS], "left_anti")
+    on = [F.col(k).eqNullSafe(F.col(f"_{k}")) for k in LEVELS]
+    out = rows.join(F.broadcast(heavy), on).unionByName(rows.join(F.broadcast(heavy), on, "left_anti").join(rest, on))
+    prior = without_own(everything, F.col("p"), even, n)
     for depth in (1, 2, 3):
-        keys = levels[:depth]
-        own = counts.groupBy(*keys).agg(*[F.sum(f"s{i}").alias(f"s{i}") for i in range(len(langs))]).select(*keys, F.array(*[F.col(f"s{i}") for i in range(len(langs))]).alias("own"))
-        if depth == 1:
-            tables[1] = own.select(*keys, blend(F.col("own"), up).alias("prior"))
-        else:
-            above = tables[depth - 1].select(*[F.col(k).alias(f"_{k}") for k in keys[:-1]], F.col("prior").alias("above"))
-            on = [F.col(k).eqNullSafe(F.col(f"_{k}")) for k in keys[:-1]]
-            tables[depth] = own.join(above, on).select(*keys, blend(F.col("own"), F.col("above")).alias("prior"))
-    hosts = scratch.keep(tables[3].select(*[F.col(k).alias(f"_{k}") for k in levels], "prior"), "priors")
-    out = rows.join(hosts, [F.col(k).eqNullSafe(F.col(f"_{k}")) for k in levels], "left")
-    out = out.withColumn("p", softmax(F.zip_with("evidence", F.coalesce("prior", up), lambda a, b: a + F.log(b))))
-    return out.withColumn("lang", best(F.col("p"))).withColumn("confidence", F.array_max("p")).withColumn("text_lang", F.when(F.col("has_text"), best(F.col("ll"))))
+        out = out.withColumn(f"prior{depth}", without_own(F.col(f"s{depth}"), F.col("p"), prior, STRENGTH))
+        prior = F.col(f"prior{depth}")
+    out = out.withColumn("q", softmax(F.zip_with("evidence", prior, lambda a, b: a + F.log(b))))
+    return out.withColumn("lang", best(F.col("q"))).withColumn("confidence", F.array_max("q")).withColumn("text_lang", F.when(F.col("has_text"), best(F.col("ll"))))
 
 
 def identify(pages: DataFrame, documents: DataFrame) -> DataFrame:
@@ -157,7 +174,7 @@ def identify(pages: DataFrame, documents: DataFrame) -> DataFrame:
     null = F.lit(None)
     of_pages = pages.select(null.cast("long").alias("doc_id"), F.col("page_id").cast("long").alias("page_id"), text_of(F.col("html")).alias("text"), declared_of(F.col("html")).alias("declared"), F.element_at(F.split(host, r"\."), -1).alias("suffix"), F.regexp_extract(host, r"([^.]+\.[^.]+\.[^.]+|[^.]+\.[^.]+|[^.]+)$", 1).alias("domain"), host.alias("host"))
     of_documents = documents.select(F.col("doc_id").cast("long").alias("doc_id"), null.cast("long").alias("page_id"), F.col("text").cast("string").alias("text"), null.cast("string").alias("declared"), null.cast("string").alias("suffix"), null.cast("string").alias("domain"), F.col("source").cast("string").alias("host"))
-    rows = of_documents.unionByName(of_pages).withColumn("has_text", F.coalesce(F.trim("text") != "", F.lit(False)))
+    rows = of_documents.unionByName(of_pages).withColumn("has_text", F.coalesce(F.col("text").rlike(shared.WORD_PATTERN), F.lit(False)))
     columns = ["doc_id", "page_id", "lang", "confidence", "text_lang", "declared"]
     if not langs:
         return rows.select("doc_id", "page_id", null.cast("string").alias("lang"), null.cast("double").alias("confidence"), null.cast("string").alias("text_lang"), "declared")
