@@ -13,11 +13,18 @@ position in both documents, and only 3 of 7 positions (window 13: runs of 7 word
 3. Windows that touch a shared anchor are extended to their full length: their hashes go to buckets with the
    smallest id that has them in the block; the answer is whether a smaller one exists elsewhere.
 
+Anchors only propose, so 63 bits of hash do.  Windows decide: they are told apart by 127 bits, two independent hashes over
+all their words (themselves told apart by 64 bits), so that 10^14 different windows hold no false match but for a chance of
+10^-9.
+
 A very common passage counts once per block, however often it occurs, and a block gets bits, not lists of partners.
-Buckets follow the amount of text, so each stays at about ``BUCKET_BYTES`` of text.
+Buckets follow the amount of text, so each stays at about ``BUCKET_BYTES`` of text; a block is cut by the buckets that it
+has hashes for, so the rows sent never outnumber the hashes.
 
-Null texts have no words.  A null id counts as larger than all others.  Rows that share an id are one document as far as
-"smaller id" goes: they don't remove each other's words.  Every input row gives one output row.
+Null texts have no words.  A null id counts as the largest id there can be.  Rows that share an id are one document as far
+as "smaller id" goes: they don't remove each other's words, so repeated rows stay equal.  Texts of any length are judged
+whole; one over ``BLOCK_BYTES`` is a block of its own.  Every input row gives one output row, an empty table none; other
+columns are ignored, whatever their names.
 """
 
 from __future__ import annotations
@@ -46,24 +53,26 @@ def cover_for(window: int) -> tuple[int, tuple[int, ...]]:
 
 
 def lay_down(docs: DataFrame) -> DataFrame:
-    """Blocks: id, ids, tags and byte lengths (-1: null) of the documents as 64-bit arrays, and their texts, compressed."""
+    """Blocks: id, ids, tags and byte lengths (-1: null) of the documents as 64-bit arrays, which ids are null, and the texts, compressed."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         import zstandard
 
         part, made, pack = TaskContext.get().partitionId(), 0, zstandard.ZstdCompressor(level=3)
-        held: list[tuple[int, int, bytes | None]] = []
+        held: list[tuple[int | None, int, bytes | None]] = []
         size = 0
 
         def block() -> pa.RecordBatch:
             ids, tags, texts = zip(*held, strict=True)
             data = pack.compress(b"".join(t or b"" for t in texts))
-            arrays = [np.array(x, np.int64).tobytes() for x in (ids, tags, [-1 if t is None else len(t) for t in texts])]
-            return pa.RecordBatch.from_arrays([pa.array([part << 32 | made], pa.int64()), *[pa.array([x], pa.binary()) for x in (*arrays, data)], pa.array([size], pa.int64())], names=["block", "ids", "tags", "lengths", "data", "bytes"])
+            known = [LAST_ID if i is None else i for i in ids]
+            arrays = [np.array(x, np.int64).tobytes() for x in (known, tags, [-1 if t is None else len(t) for t in texts])]
+            nulls = np.packbits([i is None for i in ids]).tobytes()
+            return pa.RecordBatch.from_arrays([pa.array([part << 32 | made], pa.int64()), *[pa.array([x], pa.binary()) for x in (*arrays, nulls, data)], pa.array([size], pa.int64())], names=["block", "ids", "tags", "lengths", "nulls", "data", "bytes"])
 
         for b in batches:
             for doc_id, tag, text in zip(b.column("doc_id").to_pylist(), b.column("tag").to_pylist(), shared.raw_texts(b.column("text")), strict=True):
-                held.append((LAST_ID if doc_id is None else doc_id, tag, text))
+                held.append((doc_id, tag, text))
                 size += len(text or b"") + 64
                 if size >= BLOCK_BYTES:
                     yield block()
@@ -71,7 +80,7 @@ def lay_down(docs: DataFrame) -> DataFrame:
         if held:
             yield block()
 
-    return docs.mapInArrow(run, "block long, ids binary, tags binary, lengths binary, data binary, bytes long")
+    return docs.mapInArrow(run, "block long, ids binary, tags binary, lengths binary, nulls binary, data binary, bytes long")
 
 
 class Block:
@@ -82,6 +91,7 @@ class Block:
 
         self.id, self.window = row["block"], window
         self.ids, self.tags, lengths = (np.frombuffer(row[c], np.int64) for c in ("ids", "tags", "lengths"))
+        self.nulls = np.unpackbits(np.frombuffer(row["nulls"], np.uint8), count=len(self.ids)).astype(bool)
         data, at = zstandard.ZstdDecompressor().decompress(row["data"]), 0
         self.hashes, self.texts = [], []
         for n in np.maximum(lengths, 0).tolist():
@@ -102,13 +112,13 @@ class Block:
             found.append(shared.ngram_hashes(h, width)[at] if n > 0 else np.zeros(0, np.uint64))
         return np.concatenate(found), np.repeat(np.arange(len(places)), [len(p) for p in places]), places
 
-    def candidates(self, bits: np.ndarray) -> tuple[np.ndarray, np.ndarray, list[np.ndarray]]:
-        """Hashes of all windows that touch a shared anchor, the document of each, and their starts by document; ``bits``: the answers for the distinct anchors."""
+    def candidates(self, bits: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, list[np.ndarray]]:
+        """Two hashes of all windows that touch a shared anchor, the document of each, and their starts by document; ``bits``: the answers for the distinct anchors."""
         period, _ = cover_for(self.window)
         hashes, _, places = self.anchors()
         _, code = np.unique(hashes >> np.uint64(1), return_inverse=True)
         shared_anchor, at = bits[code] if len(code) else np.zeros(0, bool), 0
-        found, starts = [], []
+        found, second, starts = [], [], []
         for h, p in zip(self.hashes, places, strict=True):
             hit = p[shared_anchor[at : at + len(p)]]
             at += len(p)
@@ -120,27 +130,45 @@ class Block:
                 first = np.arange(n)
                 first = first[near[np.minimum(first + period, len(h))] > near[first]]
                 starts.append(first)
-                found.append(shared.ngram_hashes(h, self.window)[first])
+                found.append(window_hashes(h, first, self.window, _FACTORS[0]))
+                second.append(window_hashes(h, first, self.window, _FACTORS[1]))
             else:
                 starts.append(np.zeros(0, np.int64))
-                found.append(np.zeros(0, np.uint64))
-        return np.concatenate(found), np.repeat(np.arange(len(starts)), [len(s) for s in starts]), starts
+        none = [np.zeros(0, np.uint64)]
+        return np.concatenate(found or none) >> np.uint64(1), np.concatenate(second or none), np.repeat(np.arange(len(starts)), [len(s) for s in starts]), starts
+
+
+_FACTORS = np.array([0x9E3779B97F4A7C15, 0xD1342543DE82EF95], np.uint64)
+
 
+def window_hashes(h: np.ndarray, starts: np.ndarray, window: int, factor: np.uint64) -> np.ndarray:
+    """Hashes of the windows at ``starts``, from the words' hashes; another ``factor`` gives independent ones."""
+    out = shared.mix64(h[starts] ^ factor)
+    for k in range(1, window):
+        out = shared.mix64(out * factor + h[starts + k])
+    return out
 
-def lowest(hashes: np.ndarray, owner: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Distinct values of ``hashes``, sorted, with the smallest and the largest owner of each."""
-    order = np.lexsort((owner, hashes))
+
+def lowest(hashes: np.ndarray, second: np.ndarray | None, owner: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Distinct pairs of ``hashes`` and ``second`` (None: 0), sorted, with the smallest and the largest owner of each, and each row's place among them."""
+    order = np.lexsort((owner, hashes) if second is None else (owner, second, hashes))
     h, o = hashes[order], owner[order]
-    first = np.flatnonzero(np.r_[True, h[1:] != h[:-1]]) if len(h) else np.zeros(0, np.int64)
+    s = np.zeros(len(h), np.uint64) if second is None else second[order]
+    new = np.r_[True, (h[1:] != h[:-1]) | (s[1:] != s[:-1])] if len(h) else np.zeros(0, bool)
+    first = np.flatnonzero(new)
     last = np.r_[first[1:], len(h)] - 1 if len(h) else first
-    return h[first], o[first], o[last]
+    place = np.empty(len(h), np.int64)
+    place[order] = np.cumsum(new) - 1
+    return h[first], s[first], o[first], o[last], place
 
 
 def slices(values: np.ndarray, buckets: int) -> list[tuple[int, int, int]]:
-    """(bucket, start, end) of sorted 63-bit values, dealt by their upper bits."""
-    edges = np.searchsorted(values, (np.arange(buckets + 1, dtype=np.uint64) << np.uint64(63 - buckets.bit_length() + 1)))
-    edges[-1] = len(values)
-    return [(k, int(a), int(b)) for k, (a, b) in enumerate(zip(edges, edges[1:], strict=False)) if b > a]
+    """(bucket, start, end) of sorted 63-bit values, dealt by their upper bits (``buckets`` is a power of 2); only buckets that have values."""
+    if not len(values):
+        return []
+    bucket = (values >> np.uint64(63 - buckets.bit_length() + 1)).astype(np.int64)
+    cuts = np.r_[0, np.flatnonzero(np.diff(bucket)) + 1, len(values)]
+    return list(zip(bucket[cuts[:-1]].tolist(), cuts[:-1].tolist(), cuts[1:].tolist(), strict=True))
 
 
 def unpacked(answers: list[dict] | None, n: int) -> np.ndarray:
@@ -149,7 +177,7 @@ def unpacked(answers: list[dict] | None, n: int) -> np.ndarray:
     return np.concatenate(parts) if parts else np.zeros(n, bool)
 
 
-ASKED = "block long, bucket int, hashes binary, ids binary"
+ASKED = "block long, bucket int, hashes binary, second binary, ids binary"
 ANSWER = "block long, bucket int, n int, bits binary"
 
 
@@ -162,13 +190,18 @@ def ask(rows: DataFrame, buckets: int, window: int, extend: bool) -> DataFrame:
             for i in range(b.num_rows):
                 row = b.slice(i, 1).to_pylist()[0]
                 block = Block(row, hashes, window)
-                h, doc, _ = block.candidates(unpacked(row["shared"], 0)) if extend else block.anchors()
-                h, least, most = lowest(h >> np.uint64(1), block.ids[doc])
+                if extend:
+                    h, second, doc, _ = block.candidates(unpacked(row["shared"], 0))
+                else:
+                    h, doc, _ = block.anchors()
+                    h, second = h >> np.uint64(1), None
+                h, second, least, most, _ = lowest(h, second, block.ids[doc])
                 sent = slices(h, buckets)
                 if not extend:
                     h = h << np.uint64(1) | (least != most).astype(np.uint64)
                 if sent:
-                    yield pa.RecordBatch.from_arrays([pa.array([block.id] * len(sent), pa.int64()), pa.array([k for k, _, _ in sent], pa.int32()), pa.array([h[x:y].tobytes() for _, x, y in sent], pa.binary()), pa.array([least[x:y].tobytes() if extend else None for _, x, y in sent], pa.binary())], names=["block", "bucket", "hashes", "ids"])
+                    parts = [pa.array([x[a:b].tobytes() if wanted else None for _, a, b in sent], pa.binary()) for x, wanted in ((h, True), (second, extend), (least, extend))]
+                    yield pa.RecordBatch.from_arrays([pa.array([block.id] * len(sent), pa.int64()), pa.array([k for k, _, _ in sent], pa.int32()), *parts], names=["block", "bucket", "hashes", "second", "ids"])
 
     return rows.mapInArrow(run, ASKED)
 
@@ -186,11 +219,8 @@ def answer(asked: DataFrame, extend: bool) -> DataFrame:
                 h, sizes = np.concatenate(blobs), [len(x) for x in blobs]
                 if extend:
                     ids = np.concatenate([np.frombuffer(x, np.int64) for x in g.column("ids").to_pylist()])
-                    order = np.lexsort((ids, h))
-                    first = np.r_[True, h[order][1:] != h[order][:-1]]
-                    least = ids[order][np.maximum.accumulate(np.where(first, np.arange(len(h)), 0))]
-                    bit = np.zeros(len(h), bool)
-                    bit[order] = least < ids[order]
+                    _, _, least, _, place = lowest(h, np.concatenate([np.frombuffer(x, np.uint64) for x in g.column("second").to_pylist()]), ids)
+                    bit = least[place] < ids
                 else:
                     key, multi = h >> np.uint64(1), (h & np.uint64(1)).astype(bool)
                     order = np.argsort(key, kind="stable")
@@ -220,11 +250,9 @@ def cut(rows: DataFrame, window: int, with_text: bool) -> DataFrame:
             for i in range(b.num_rows):
                 row = b.slice(i, 1).to_pylist()[0]
                 block = Block(row, hashes, window)
-                h, doc, starts = block.candidates(unpacked(row["shared"], 0))
-                values, least, _ = lowest(h >> np.uint64(1), block.ids[doc])
-                earlier = unpacked(row["earlier"], 0)
-                code = np.searchsorted(values, h >> np.uint64(1))
-                gone = earlier[code] | (least[code] < block.ids[doc]) if len(h) else np.zeros(0, bool)
+                h, second, doc, starts = block.candidates(unpacked(row["shared"], 0))
+                _, _, least, _, place = lowest(h, second, block.ids[doc])
+                gone = unpacked(row["earlier"], 0)[place] | (least[place] < block.ids[doc]) if len(h) else np.zeros(0, bool)
                 at, out = 0, []
                 for k, (text, first) in enumerate(zip(block.texts, starts, strict=True)):
                     first, words = first[gone[at : at + len(first)]], text.split()
@@ -235,7 +263,7 @@ def cut(rows: DataFrame, window: int, with_text: bool) -> DataFrame:
                     else:
                         kept = words
                     joined = b" ".join(kept)
-                    out.append((None if block.ids[k] == LAST_ID else int(block.ids[k]), int(block.tags[k]), len(words), len(words) - len(kept), hashlib.sha256(joined).hexdigest(), joined if with_text else None))
+                    out.append((None if block.nulls[k] else int(block.ids[k]), int(block.tags[k]), len(words), len(words) - len(kept), hashlib.sha256(joined).hexdigest(), joined if with_text else None))
                 cols = list(zip(*out, strict=True))
                 yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, (pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.string()), strict=False)] + [pa.array(cols[5], pa.binary()).cast(pa.string())], names=["doc_id", "tag", "n_words", "n_removed", "kept_sha256", "kept_text"])
 
