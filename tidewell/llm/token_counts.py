@@ -9,8 +9,14 @@ The vocabulary is a public sentencepiece file, named by parameter and read where
 vocabulary carry ranks, not probabilities: a piece of rank r gets the log-probability ``-ln(r + 2)``.  A
 character that no piece covers costs its UTF-8 bytes as byte tokens, each rarer than any piece.
 
-Null and blank texts have no tokens.  Every input row gives one output row.  The trie is kept between batches, up to
-``NODES`` nodes, then begun anew; that changes no count.
+The trie takes the first ``DEEP`` characters of a pre-token; what follows is segmented by the same recursion with only
+the last few prefixes in memory (as many as the longest piece has characters), so a text without any space is counted in
+memory that doesn't grow with it.  The trie is kept between batches up to ``NODES`` nodes, then begun anew; neither
+changes a count.
+
+Null and blank texts have no tokens.  A word's count depends on the word alone: equal words and rows are counted alike, and
+of equally likely segmentations the one with fewer tokens counts.  Every input row gives one output row, an empty table
+none; other columns are ignored, whatever their names.
 """
 
 from __future__ import annotations
@@ -23,7 +29,7 @@ from pyspark.sql import DataFrame
 
 from . import shared
 
-VOCABULARY, MARK, NODES = "piece_bpe_32k.model", "▁", 2_000_000
+VOCABULARY, MARK, NODES, DEEP = "piece_bpe_32k.model", "▁", 2_000_000, 512
 
 
 def log_probabilities(path: str) -> dict[str, float]:
@@ -46,29 +52,45 @@ class Trie:
         self.child: dict[tuple[int, str], int] = {}
         self.best, self.count = [0.0], [0]
 
+    def reached(self, word: str, j: int, before) -> tuple[float, int]:
+        """Score and tokens of the best segmentation of the first ``j`` characters; ``before(i)`` gives those of the first i."""
+        ch = word[j - 1]
+        n = len(ch.encode("utf-8", "surrogatepass"))
+        top, fewest = before(j - 1)
+        top, fewest = top + n * self.byte, fewest + n
+        for i in range(max(0, j - self.longest), j):
+            s = self.scores.get(word[i:j])
+            if s is not None:
+                value, tokens = before(i)
+                value, tokens = value + s, tokens + 1
+                if value > top or value == top and tokens < fewest:
+                    top, fewest = value, tokens
+        return top, fewest
+
     def tokens(self, word: str) -> int:
         """Number of tokens of the best segmentation of ``word``."""
         if len(self.best) > NODES:
             self.begin()
         node, path = 0, [0]
-        child, best, count, scores = self.child, self.best, self.count, self.scores
-        for j, ch in enumerate(word, 1):
+        child, best, count = self.child, self.best, self.count
+        for j, ch in enumerate(word[:DEEP], 1):
             below = child.get((node, ch))
             if below is None:
-                n = len(ch.encode("utf-8", "surrogatepass"))
-                top, fewest = best[node] + n * self.byte, count[node] + n
-                for i in range(max(0, j - self.longest), j):
-                    s = scores.get(word[i:j])
-                    if s is not None:
-                        value, tokens = best[path[i]] + s, count[path[i]] + 1
-                        if value > top or value == top and tokens < fewest:
-                            top, fewest = value, tokens
+                top, fewest = self.reached(word, j, lambda i: (best[path[i]], count[path[i]]))
                 below = child[node, ch] = len(best)
                 best.append(top)
                 count.append(fewest)
             node = below
             path.append(node)
-        return count[node]
+        if len(word) <= DEEP:
+            return count[node]
+        ring = self.longest + 1  # prefixes still within reach of a piece
+        last = [(0.0, 0)] * ring
+        for i in range(max(0, DEEP - self.longest), DEEP + 1):
+            last[i % ring] = best[path[i]], count[path[i]]
+        for j in range(DEEP + 1, len(word) + 1):
+            last[j % ring] = self.reached(word, j, lambda i: last[i % ring])
+        return last[len(word) % ring][1]
 
 
 class Counts(dict):
@@ -81,7 +103,9 @@ class Counts(dict):
     def __missing__(self, word: bytes) -> int:
         if len(self) >= 500_000:
             self.clear()
-        self[word] = n = self.trie.tokens(MARK + word.decode("utf-8", "replace"))
+        n = self.trie.tokens(MARK + word.decode("utf-8", "replace"))
+        if len(word) <= DEEP:
+            self[word] = n
         return n
 
 
