@@ -173,6 +173,34 @@ def test_substring_dedup(docs, rows, window, monkeypatch):
     assert sorted(got, key=str) == brute_removed(rows, window)
 
 
+def test_substring_dedup_at_the_ends_of_ids(spark):
+    """The largest id stays itself; null counts as that id; repeated rows don't cut each other; two hashes decide."""
+    passage = " ".join(f"p{k}" for k in range(15))
+    rows = [(2**63 - 1, "a " + passage), (None, "b " + passage), (-(2**63), passage + " c"), (2**63 - 1, "a " + passage), (7, "x y")]
+    got = [tuple(r) for r in substring_dedup.deduplicate(spark.createDataFrame(rows, "doc_id long, text string")).select("doc_id", "n_words", "n_removed").collect()]
+    assert sorted(got, key=str) == sorted([(2**63 - 1, 16, 15), (None, 16, 15), (-(2**63), 16, 0), (2**63 - 1, 16, 15), (7, 2, 0)], key=str)
+
+
+@settings(max_examples=60, deadline=None)
+@given(st.lists(st.integers(0, 2**63 - 1), max_size=60), st.sampled_from([1, 2, 16, 1 << 20]))
+def test_slices_cover_values_in_order(values, buckets):
+    values = np.array(sorted(values), np.uint64)
+    got = substring_dedup.slices(values, buckets)
+    assert [v for _, a, b in got for v in values[a:b].tolist()] == values.tolist() and all(b > a for _, a, b in got)
+    assert all({v * buckets >> 63 for v in values[a:b].tolist()} == {k} for k, a, b in got)
+
+
+@settings(max_examples=60, deadline=None)
+@given(st.lists(st.tuples(st.integers(0, 3), st.integers(0, 2), st.integers(0, 5)), max_size=40))
+def test_lowest_by_pairs(rows):
+    h, second, owner = (np.array([r[k] for r in rows], np.int64) for k in range(3))
+    a, b, least, most, place = substring_dedup.lowest(h, second, owner)
+    assert list(zip(a.tolist(), b.tolist(), strict=True)) == sorted({r[:2] for r in rows})
+    for k, r in enumerate(rows):
+        own = [x[2] for x in rows if x[:2] == r[:2]]
+        assert (least[place[k]], most[place[k]]) == (min(own), max(own))
+
+
 def test_substring_dedup_empty(empty):
     assert substring_dedup.deduplicate(empty).count() == 0
 

@@ -250,10 +250,10 @@ def test_registered_fingerprints_are_of_characters(spark, rows, tmp_path):
 
 
 def viterbi(word: str, scores: dict[str, float], byte: float) -> int:
-    best = [(0.0, 0)]
+    best, longest = [(0.0, 0)], max(map(len, scores))
     for j in range(1, len(word) + 1):
         n = len(word[j - 1].encode())
-        options = [(best[j - 1][0] + n * byte, -best[j - 1][1] - n)] + [(best[i][0] + scores[word[i:j]], -best[i][1] - 1) for i in range(j) if word[i:j] in scores]
+        options = [(best[j - 1][0] + n * byte, -best[j - 1][1] - n)] + [(best[i][0] + scores[word[i:j]], -best[i][1] - 1) for i in range(max(0, j - longest), j) if word[i:j] in scores]
         top = max(options)
         best.append((top[0], -top[1]))
     return best[-1][1]
@@ -264,11 +264,20 @@ def test_token_counts(docs, rows):
 
     scores = token_counts.log_probabilities(public_tokenizers.path(token_counts.VOCABULARY))
     trie = token_counts.Trie(scores)
-    short = [(i, t) for i, t in rows if len(t or "") < 2000]
-    want = sorted(((i, len((t or "").encode().split()), sum(viterbi("▁" + w.decode(), scores, trie.byte) for w in (t or "").encode().split())) for i, t in short), key=str)
-    got = token_counts.counted(docs.where("length(coalesce(text, '')) < 2000")).collect()
-    assert sorted(map(tuple, got), key=str) == want
-    assert token_counts.counted(docs).count() == len(rows)
+    want = sorted(((i, len((t or "").encode().split()), sum(viterbi("▁" + w.decode(), scores, trie.byte) for w in (t or "").encode().split())) for i, t in rows), key=str)
+    assert sorted(map(tuple, token_counts.counted(docs).collect()), key=str) == want
+
+
+def test_long_words_in_bounded_memory(monkeypatch):
+    """Words beyond DEEP, counted as the plain recursion does, without a node for each character."""
+    import public_tokenizers
+
+    scores = token_counts.log_probabilities(public_tokenizers.path(token_counts.VOCABULARY))
+    monkeypatch.setattr(token_counts, "DEEP", 20)
+    trie = token_counts.Trie(scores)
+    for word in ("▁" + "internationalisation" * 40, "▁" + "x" * 999, "▁" + "".join(chr(0x4E00 + k * 31 % 3000) for k in range(300)), "▁short", "▁" + "a" * 19):
+        assert trie.tokens(word) == viterbi(word, scores, trie.byte)
+    assert len(trie.best) <= 1 + 5 * 20
 
 
 def test_token_counts_empty(empty):
