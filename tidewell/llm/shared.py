@@ -7,7 +7,8 @@ bytes and :meth:`bytes.lower` lower-cases exactly A-Z, so Python stages work on
 Intermediate tables.  :class:`Scratch` writes them as Parquet below
 ``spark.checkpoint.dir``, the one folder that the driver and all executors share, and
 reads them again: that cuts lineage, survives the loss of an executor and fixes the
-rows for every later pass.
+rows for every later pass.  A result reads some of them when it is computed, so what an operator hasn't dropped itself
+stays as long as the application; its end removes all.
 """
 
 from __future__ import annotations
@@ -62,6 +63,9 @@ class Scratch:
                 raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and the executors share")
         self.root = f"{root.rstrip('/')}/{uuid.uuid4().hex}"
         self.paths: dict[str, str] = {}
+        if jvm := getattr(spark, "_jvm", None):
+            where = jvm.org.apache.hadoop.fs.Path(self.root)
+            where.getFileSystem(spark._jsc.hadoopConfiguration()).deleteOnExit(where)
 
     def keep(self, df: DataFrame, name: str) -> DataFrame:
         path = f"{self.root}/{name}"
