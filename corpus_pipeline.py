@@ -1,4 +1,10 @@
-"""A corpus, cleaned and packed: quality, near duplicates, repeated passages, benchmark leaks, sequences."""
+"""A corpus, cleaned and packed: quality, near duplicates, repeated passages, benchmark leaks, sequences.
+
+What every stage makes of unusual rows: a null text counts as an empty one where it is judged and is passed on as null; rows
+with a null id are judged like others, but are never near duplicates; equal rows are judged alike, so all of them stay or
+all go, but for near duplicates, where ids decide and rows that share an id are one document; texts of any length are taken
+whole; an empty table gives an empty one; columns beyond those of ``documents`` are left behind, whatever their names.
+"""
 
 from __future__ import annotations
 
@@ -11,31 +17,39 @@ COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
 
 
 def keep_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents of accepted quality; each row is judged by its own text."""
+    """Documents that score quality.THRESHOLD or more; each row is judged by its own text, an empty or null one like the empty text."""
     return quality.accepted(docs.select(*COLUMNS), shared.tables(spark, sf_dir, "labels"))
 
 
 def keep_one_of_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The document with the smallest id of each group of near duplicates (shingles of five words)."""
+    """The document with the smallest id of each group of near duplicates (shingles of five words, similarity 0.8).
+
+    Texts without words, and rows with null ids, are in no group and stay."""
     gone = near_dup.near_duplicates(docs, words=5, percent=80).where("not kept").select("doc_id").distinct()
     return docs.join(gone, "doc_id", "left_anti").select(*COLUMNS)
 
 
 def cut_repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Texts without the passages of 13 words or more that a document with a smaller id has; other texts stay as they are."""
-    found = substring_dedup.deduplicate(docs, with_text=True).where("n_removed > 0").select(F.col("doc_id").alias("_id"), F.col("tag").alias("_tag"), F.col("kept_text").alias("_kept")).dropDuplicates(["_id", "_tag"])
-    joined = docs.join(found, F.col("doc_id").eqNullSafe(F.col("_id")) & (F.xxhash64("text") == F.col("_tag")), "left")
-    return joined.select("doc_id", F.coalesce("_kept", "text").alias("text"), "lang", "source", F.when(F.col("_kept").isNull(), F.col("n_chars")).otherwise(F.char_length("_kept").cast("long")).alias("n_chars"))
+    """Texts without the passages of 13 words or more that a document with a smaller id has; other texts stay as they are.
+
+    A null id counts as the largest; rows that share an id don't cut each other; a text cut to nothing stays as an empty one.
+    """
+    found = substring_dedup.deduplicate(docs, with_text=True).where("n_removed > 0")
+    # Rows of one id and text are cut alike: one of them will do.
+    found = found.select(F.col("doc_id").alias("_id"), F.col("tag").alias("_tag"), F.col("kept_text").alias("_kept")).dropDuplicates(["_id", "_tag"])
+    same = F.col("doc_id").eqNullSafe(F.col("_id")) & (F.xxhash64("text") == F.col("_tag"))
+    n_chars = F.when(F.col("_kept").isNull(), F.col("n_chars")).otherwise(F.char_length("_kept").cast("long"))
+    return docs.select(*COLUMNS).join(found, same, "left").select("doc_id", F.coalesce("_kept", "text").alias("text"), "lang", "source", n_chars.alias("n_chars"))
 
 
 def drop_leaks(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents without a verified test item."""
+    """Documents without a verified test item; all rows of an id that has one go, null ids as one id."""
     leaked = decontamination.leaks(docs, shared.tables(spark, sf_dir, "benchmark")).select("doc_id").distinct()
     return docs.join(leaked, docs.doc_id.eqNullSafe(leaked.doc_id), "left_anti").select(*COLUMNS)
 
 
 def pack_sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Token pieces with their places in sequences."""
+    """Token pieces with their places in sequences; a null or empty text is one piece, its end token."""
     return packing.pack(docs)
 
 
