@@ -86,19 +86,19 @@ def lay_down(docs: DataFrame) -> DataFrame:
 class Block:
     """One block's documents as word hashes, and the hashes of its anchors and candidate windows."""
 
-    def __init__(self, row: dict, hashes: shared.WordHashes, window: int):
+    def __init__(self, row: dict, hashes: shared.WordHashes, window: int, keep_words: bool = False):
         import zstandard
 
         self.id, self.window = row["block"], window
         self.ids, self.tags, lengths = (np.frombuffer(row[c], np.int64) for c in ("ids", "tags", "lengths"))
         self.nulls = np.unpackbits(np.frombuffer(row["nulls"], np.uint8), count=len(self.ids)).astype(bool)
         data, at = zstandard.ZstdDecompressor().decompress(row["data"]), 0
-        self.hashes, self.texts = [], []
+        self.hashes, self.words = [], []
         for n in np.maximum(lengths, 0).tolist():
-            text = data[at : at + n]
+            words = data[at : at + n].split()
             at += n
-            self.texts.append(text)
-            self.hashes.append(hashes.of(text.split()))
+            self.words.append(words if keep_words else len(words))
+            self.hashes.append(hashes.of(words))
 
     def anchors(self) -> tuple[np.ndarray, np.ndarray, list[np.ndarray]]:
         """Hashes of all anchors, the document of each, and their positions by document."""
@@ -130,8 +130,9 @@ class Block:
                 first = np.arange(n)
                 first = first[near[np.minimum(first + period, len(h))] > near[first]]
                 starts.append(first)
-                found.append(window_hashes(h, first, self.window, _FACTORS[0]))
-                second.append(window_hashes(h, first, self.window, _FACTORS[1]))
+                one, two = window_hashes(h, first, self.window)
+                found.append(one)
+                second.append(two)
             else:
                 starts.append(np.zeros(0, np.int64))
         none = [np.zeros(0, np.uint64)]
@@ -141,17 +142,21 @@ class Block:
 _FACTORS = np.array([0x9E3779B97F4A7C15, 0xD1342543DE82EF95], np.uint64)
 
 
-def window_hashes(h: np.ndarray, starts: np.ndarray, window: int, factor: np.uint64) -> np.ndarray:
-    """Hashes of the windows at ``starts``, from the words' hashes; another ``factor`` gives independent ones."""
-    out = shared.mix64(h[starts] ^ factor)
-    for k in range(1, window):
-        out = shared.mix64(out * factor + h[starts + k])
-    return out
+def window_hashes(h: np.ndarray, starts: np.ndarray, window: int) -> tuple[np.ndarray, np.ndarray]:
+    """Two independent hashes of the windows at ``starts``, from the words' hashes."""
+    one = two = np.zeros(len(starts), np.uint64)
+    for k in range(window):
+        word = h[starts + k]
+        one, two = shared.mix64((one ^ _FACTORS[0]) * _FACTORS[0] + word), (two + word) * _FACTORS[1]
+        two ^= two >> np.uint64(32)
+    return one, shared.mix64(two)
 
 
 def lowest(hashes: np.ndarray, second: np.ndarray | None, owner: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """Distinct pairs of ``hashes`` and ``second`` (None: 0), sorted, with the smallest and the largest owner of each, and each row's place among them."""
-    order = np.lexsort((owner, hashes) if second is None else (owner, second, hashes))
+    order = np.lexsort((owner, hashes))
+    if second is not None and ((hashes[order][1:] == hashes[order][:-1]) & (second[order][1:] != second[order][:-1])).any():
+        order = np.lexsort((owner, second, hashes))  # only where the first hash alone doesn't tell them apart
     h, o = hashes[order], owner[order]
     s = np.zeros(len(h), np.uint64) if second is None else second[order]
     new = np.r_[True, (h[1:] != h[:-1]) | (s[1:] != s[:-1])] if len(h) else np.zeros(0, bool)
@@ -249,13 +254,13 @@ def cut(rows: DataFrame, window: int, with_text: bool) -> DataFrame:
         for b in batches:
             for i in range(b.num_rows):
                 row = b.slice(i, 1).to_pylist()[0]
-                block = Block(row, hashes, window)
+                block = Block(row, hashes, window, True)
                 h, second, doc, starts = block.candidates(unpacked(row["shared"], 0))
                 _, _, least, _, place = lowest(h, second, block.ids[doc])
                 gone = unpacked(row["earlier"], 0)[place] | (least[place] < block.ids[doc]) if len(h) else np.zeros(0, bool)
                 at, out = 0, []
-                for k, (text, first) in enumerate(zip(block.texts, starts, strict=True)):
-                    first, words = first[gone[at : at + len(first)]], text.split()
+                for k, (words, first) in enumerate(zip(block.words, starts, strict=True)):
+                    first = first[gone[at : at + len(first)]]
                     at += len(starts[k])
                     if len(first):
                         drop = covered(len(words), first, window)
