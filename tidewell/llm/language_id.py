@@ -24,6 +24,7 @@ output row; an empty training table gives null languages, an empty input an empt
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -54,12 +55,18 @@ FOLD = bytes(c if c > 127 or chr(c).isalpha() else 32 for c in range(256))
 def train(documents: DataFrame) -> tuple[list[str], np.ndarray]:
     """Languages and log-probabilities (languages x BUCKETS); documents: doc_id, text, lang."""
     known = documents.where("lang is not null and text is not null and doc_id is not null").select(F.col("doc_id").cast("long").alias("doc_id"), "lang", "text")
-    langs = sorted(r["lang"] for r in known.select("lang").distinct().collect())
+    sizes = {r["lang"]: r["n"] for r in known.groupBy("lang").agg(F.count("*").alias("n")).collect()}
+    langs = sorted(sizes)
     if len(langs) > MOST_CLASSES:
         raise ValueError(f"documents.lang has {len(langs)} values; the model holds at most {MOST_CLASSES} languages, and none is left out silently")
     counts = np.full((len(langs), BUCKETS), 0.05)
-    order = Window.partitionBy("lang").orderBy(F.xxhash64("doc_id"), "doc_id")
-    sample = known.select("lang", "doc_id").distinct().withColumn("r", F.row_number().over(order)).where(F.col("r") <= SAMPLE).drop("r")
+    # A cut-off on the hash leaves little more than SAMPLE ids of each language to rank, whatever its share of the rows.
+    rank, most = F.xxhash64("doc_id"), F.lit(1 << 40)
+    for lang, n in sizes.items():
+        most = F.when(F.col("lang") == lang, F.lit(math.ceil(min(1.0, 2 * SAMPLE / n) * (1 << 40)))).otherwise(most)
+    few = known.where(F.shiftrightunsigned(rank.bitwiseXOR(F.lit(-(2**63))), 24) < most).select("lang", "doc_id").distinct()
+    order = Window.partitionBy("lang").orderBy(rank, "doc_id")
+    sample = few.withColumn("r", F.row_number().over(order)).where(F.col("r") <= SAMPLE).drop("r")
     place = {lang: k for k, lang in enumerate(langs)}
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
