@@ -92,6 +92,29 @@ def test_validate(spark):
     assert sorted(r["errors"][0] for r in bad.collect()) == ["missing: poi_id", "not a JSON object", "not a number: lat", "unknown field: more"]
 
 
+def test_last_row_of_an_id_counts_and_batch_order_numbers(spark, tmp_path):
+    snaps, asked = ingest.Snapshots(spark, str(tmp_path / "s")), str(tmp_path / "asked")
+    rows = [{**GOOD, "poi_id": i, "name": n, "address": a} for i, n, a in (("Z", "first", "x"), ("B", "b", "y"), ("Z", "last", "z"), ("A", "a", ""))]
+
+    def client():
+        def ask(address):
+            with open(asked, "a") as f:
+                f.write(address + "\n")
+            return (0.9, 0.0, 0.0, "Street") if address == "z" else None
+
+        return ask
+
+    said = ingest.ingest(snaps, records(spark, *rows).coalesce(1), client=client)
+    assert (said["accepted"], said["version"], said["unverified_ratio"]) == (4, 1, 0.75)
+    got = {r["poi_id"]: (r["name"], r["row_order"], r["status"]) for r in snaps.read().collect()}
+    assert got == {"Z": ("last", 0, "verified"), "B": ("b", 1, "unverified"), "A": ("a", 2, "unverified")}
+    assert sorted(open(asked).read().split()) == ["x", "y", "z"]  # once each
+    ingest.ingest(snaps, records(spark, {**GOOD, "poi_id": "C"}, {**GOOD, "poi_id": "B", "name": "new"}).coalesce(1))
+    assert {r["poi_id"]: (r["name"], r["row_order"]) for r in snaps.read().collect()} == {"Z": ("last", 0), "B": ("new", 1), "A": ("a", 2), "C": ("A", 3)}
+    assert ingest.backfill_version(snaps, spark.createDataFrame([("A", "active")], "poi_id string, status string")) == 3
+    assert {r["poi_id"]: r["status"] for r in snaps.read().collect()}["A"] == "active"
+
+
 def test_ingest_and_snapshots(spark, tmp_path):
     snaps = ingest.Snapshots(spark, str(tmp_path / "s"))
     served = Served(snaps)

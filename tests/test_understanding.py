@@ -2,57 +2,173 @@
 
 from __future__ import annotations
 
-from hypothesis import given, settings
-from hypothesis import strategies as st
+import itertools
+import json
+
+import pytest
+from pyspark.sql import functions as F
 
 from tidewell.functions.text import fold_text
-from tidewell.plans.lexicon import Lexicon
-from tidewell.plans.rewrite import Rewriter, distance_is_one
-from tidewell.plans.understand import Understanding
-from tidewell.settings import Rewrite
+from tidewell.operators.joins import edit1_pairs
+from tidewell.plans import rewrite, signals
+from tidewell.plans.lexicon import ABBREVIATIONS, Lexicon
+from tidewell.plans.understand import Understanding, negated
+from tidewell.settings import Rewrite, Settings
+from tidewell.sources import corpus
+
+U = Understanding()
+
+
+@pytest.fixture(scope="module")
+def vocabulary(spark):
+    return rewrite.of_lexicon(spark).kept()
+
 
-R, U = Rewriter(), Understanding()
+@pytest.fixture(scope="module")
+def step(spark, vocabulary):
+    """f(step, texts): what a step of the rewriting makes of texts."""
+
+    def run(name, texts, conf=Rewrite()):
+        rows = spark.createDataFrame([(str(k), t) for k, t in enumerate(texts)], "query_id string, text string")
+        make = {"abbreviations": lambda: rows.select("query_id", rewrite.expanded(F.col("text"), ABBREVIATIONS).alias("text")), "accents": lambda: rewrite.restored(rows, vocabulary.forms, conf), "typos": lambda: rewrite.corrected(rows, vocabulary, conf), "all": lambda: rewrite.preprocess(rows, vocabulary, ABBREVIATIONS, conf)}
+        got = {int(r["query_id"]): r["text"] for r in make[name]().collect()}
+        return [got[k] for k in range(len(texts))]
+
+    return run
 
 
 def test_fold():
     assert fold_text("Đà Nẵng 24/7") == "da nang 24/7"
 
 
-def test_abbreviations():
-    assert R.abbreviations("bv gần q1") == "bệnh viện gần quận 1"
-    assert R.abbreviations("q1a") == "q1a"
+def test_abbreviations(step):
+    assert step("abbreviations", ["bv gần q1", "q1a", "KS ĐN", "xbv bv2", ""]) == ["bệnh viện gần quận 1", "q1a", "khách sạn Đà Nẵng", "xbv bv2", ""]
+
+
+def test_accents(step):
+    texts = ["benh vien da nang", "quán cà phê", "a very long english sentence", "khach san 24/7", "", "  "]
+    assert step("accents", texts) == ["bệnh viện đà nẵng", "quán cà phê", "a very long english sentence", "khách sạn 24/7", "", "  "]
+
+
+def test_words_that_do_not_change_are_no_evidence(spark, step, vocabulary):
+    """Words of the lexicon without accents cover nothing: such a text stays, as does one with too few words that change."""
+    assert step("accents", ["view hotel coffee park", "hotel park coffee cafe benh vien"]) == ["view hotel coffee park", "hotel park coffee cafe benh vien"]
+    assert step("accents", ["hotel benh vien"]) == ["hotel bệnh viện"]
+
+
+def test_typos(step):
+    assert step("typos", ["nhà hàg", "nhà hàng", "ab xyzzyx", "(khách sạnn)!", "ha 123 x1y"]) == ["nhà hàng", "nhà hàng", "ab xyzzyx", "(khách sạn)!", "ha 123 x1y"]
+    assert step("typos", ["nhà hàg"], Rewrite(typo_fix=False)) == ["nhà hàg"]
+
+
+def test_trailing_letters(step):
+    assert step("typos", ["nha hangf", "hotelw", "siêu thịj"]) == ["nha hàng", "hotel", "siêu thị"]
+
+
+def plain_fix(core, before, after, words, pairs, known):
+    """One token by the rules, over the whole dictionary."""
+    def one(core):
+        marked = fold_text(core) != core
+        near = lambda a, b: a != b and any(a == v or v2 == b or v == v2 for v in cuts(a) for v2 in cuts(b)) and abs(len(a) - len(b)) <= 1 and distance(a, b) == 1
+        found = {w for w in words if near(core, w)} if marked else {words[w] for w in words if near(fold_text(core), fold_text(w))}
+        if len(found) > 1:
+            found = {w for w in found if (before, fold_text(w)) in pairs or (fold_text(w), after) in pairs}
+        return found.pop() if len(found) == 1 else None
+
+    if len(core) < 3 or not core.isalpha() or fold_text(core) in known:
+        return core
+    fixed = one(core)
+    if fixed is None and len(core) >= 4 and core[-1] in "fjzw":
+        cut = core[:-1]
+        firsts = {fold_text(w): v for w, v in reversed(list(words.items()))}
+        fixed = firsts.get(fold_text(cut), cut) if fold_text(cut) in known else one(cut)
+    return fixed or core
+
+
+def cuts(w):
+    return {w} | {w[:i] + w[i + 1 :] for i in range(len(w))}
 
 
-def test_diacritics():
-    assert R.diacritics("benh vien da nang") == "bệnh viện đà nẵng"
-    assert R.diacritics("quán cà phê") == "quán cà phê"
-    assert R.diacritics("a very long english sentence") == "a very long english sentence"
+def distance(a, b):
+    row = list(range(len(b) + 1))
+    for i, x in enumerate(a, 1):
+        row, last = [i], row
+        for j, y in enumerate(b, 1):
+            row.append(min(last[j] + 1, row[-1] + 1, last[j - 1] + (x != y)))
+    return row[-1]
 
 
-def test_typos():
-    assert R.typos("nhà hàg") == "nhà hàng"
-    assert R.typos("nhà hàng") == "nhà hàng"
-    assert R.typos("ab xyzzyx") == "ab xyzzyx"
-    assert Rewriter(conf=Rewrite(typo_fix=False)).typos("nhà hàg") == "nhà hàg"
+def test_typos_equal_a_plain_search(spark):
+    """Every one-letter change of words of small phrases, in context, against a search of the whole dictionary."""
+    phrases = ["bàn ghế", "bán hàng", "ghe tàu", "hang động", "ban mai"]
+    v = rewrite.vocabulary(spark.createDataFrame(list(enumerate(phrases)), "o long, phrase string")).kept()
+    known = {r["key"] for r in v.known.collect()}
+    firsts = {}
+    for p in phrases:
+        for w in p.split():
+            firsts.setdefault(fold_text(w), w)
+    words = {w: firsts[fold_text(w)] for p in phrases for w in p.split()}
+    pairs = {(fold_text(a), fold_text(b)) for a, b in (p.split() for p in phrases)}
+    texts = []
+    for p in phrases:
+        a, b = p.split()
+        for odd in sorted({*cuts(a), a + "f", a[:-1] + "x", "x" + a, a[:-1] + "fj"} - {""}):
+            texts += [f"{odd} {b}", f"{b} {odd}"]
+    want = []
+    for t in texts:
+        t = t.split()
+        want.append(" ".join(plain_fix(w, fold_text(t[k - 1]) if k else None, fold_text(t[k + 1]) if k + 1 < len(t) else None, words, pairs, known) for k, w in enumerate(t)))
+    rows = spark.createDataFrame(list(enumerate(texts)), "query_id long, text string")
+    got = {r["query_id"]: r["text"] for r in rewrite.corrected(rows, v).collect()}
+    assert [got[k] for k in range(len(texts))] == want
 
 
-def test_trailing_junk():
-    assert R.without_junk("hangf", None, None) is not None
-    assert R.without_junk("han", None, None) is None
+def test_rewriting_is_idempotent(step):
+    parts = "bv q1 ca phe khach san nha hang yen tinh hotel 24/7 view đẹp sài gòn".split()
+    texts = [" ".join(p) for p in itertools.islice(itertools.permutations(parts, 3), 0, 2000, 37)]
+    once = step("all", texts)
+    assert step("all", once) == once
 
 
-@settings(max_examples=30, deadline=None)
-@given(st.lists(st.sampled_from("bv q1 ca phe khach san nha hang yen tinh hotel 24/7 view đẹp sài gòn".split()), max_size=6))
-def test_preprocess_is_idempotent(parts):
-    once = R.preprocess(" ".join(parts))
-    assert R.preprocess(once) == once
+def test_edit_distance(spark):
+    words = ["".join(p) for n in range(1, 4) for p in itertools.product("ab", repeat=n)]
+    rows = spark.createDataFrame([(w,) for w in words], "w string")
+    got = {tuple(r) for r in edit1_pairs(rows.select(F.col("w").alias("token")), rows.select(F.col("w").alias("candidate"))).collect()}
+    assert got == {(a, b) for a in words for b in words if distance(a, b) == 1}
 
 
-@settings(max_examples=200, deadline=None)
-@given(st.text("abc", max_size=5), st.text("abc", max_size=5))
-def test_edit_distance(a, b):
-    edits = {a[:i] + a[i + 1 :] for i in range(len(a))} | {a[:i] + c + a[i:] for i in range(len(a) + 1) for c in "abc"} | {a[:i] + c + a[i + 1 :] for i in range(len(a)) for c in "abc"}
-    assert distance_is_one(a, b) == (b in edits - {a})
+def test_negations():
+    assert [x[2:] for x in negated("khong on ao va khong co cho dau xe rong rai")] == [("khong", "on ao"), ("khong co", "dau xe rong")]
+    assert negated("khong gian dep") == negated("dung o gan") == negated("khong, on ao") == []
+    assert [x[2:] for x in negated("chua, dat khong  qua   dong")] == [("khong qua", "dong")]
+
+
+def test_blanks_do_not_matter():
+    assert [U.plan("khách sạn  đánh   giá  cao  nhất")[k] for k in ("sort_by", "sort_order")] == ["rating", "desc"]
+    assert [U.plan("giá   rẻ    nhất")[k] for k in ("sort_by", "sort_order")] == ["price", "asc"]
+    assert U.plan("bệnh viện đang   mở  cửa")["current_time_open"]
+
+
+def test_folded_attributes(spark):
+    """Attributes are compared without case and accents."""
+    from tidewell.plans import query_plan
+
+    p = query_plan.literal(query="x", attribute_weights={"Yên Tĩnh": 0.5, "view": 0.5})
+    q = query_plan.literal(query="x", attr_concepts=["yen tinh", "đẹp"])
+    place = F.struct(F.array(F.lit("yên tĩnh"), F.lit("ĐẸP")).alias("attributes"))
+    assert tuple(spark.range(1).select(signals.attr(p, place), signals.attr(q, place)).first()) == (0.5, 1.0)
+
+
+def test_lexicon_and_settings_from_files(tmp_path, spark):
+    (tmp_path / "abbreviations.json").write_text(json.dumps({"bx": "bến xe"}))
+    (tmp_path / "landmarks.json").write_text(json.dumps({"hồ x": [1.0, 2.0, "Hà Nội"]}))
+    lexicon = corpus.lexicon_of(spark, str(tmp_path))
+    assert lexicon.abbreviations == {"bx": "bến xe"} and Understanding(lexicon).plan("gần hồ x")["resolved_coord"] == {"lat": 1.0, "lon": 2.0}
+    (tmp_path / "s.json").write_text(json.dumps({"search": {"pool": 9}, "batch_limit": 7, "constraints": {"price_levels": [["re", 1]]}}))
+    conf = Settings.load({"TIDEWELL_SEARCH_MOST": "15", "TIDEWELL_TYPO_FIX": "no"}, path=str(tmp_path / "s.json"))
+    assert (conf.search.pool, conf.search.most, conf.batch_limit, conf.rewrite.typo_fix, conf.constraints.price_levels) == (9, 15, 7, False, (("re", 1),))
+    with pytest.raises(ValueError, match="nope"):
+        Settings.load({}, path=str((tmp_path / "t.json").write_text('{"search": {"nope": 1}}') and tmp_path / "t.json"))
 
 
 def test_sort_and_open():

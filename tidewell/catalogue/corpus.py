@@ -141,7 +141,7 @@ def label_radius(spark, d):
 
 def label_argmax(spark, d):
     e, _ = _vectors(spark, d)
-    q = e.where("vec_id < 100").select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("qvec"))
+    q = e.select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("qvec"))
     return vector.label_argmax(q, vector.centroids(e)).select("query_id", F.col("label").cast("long").alias("label"), "score")
 
 
@@ -190,7 +190,7 @@ _NAMES = "fold_text tokenize_counts letter_words bm25_term_stats bm25_topk poi_c
 QUERIES = {n: globals()[n] for n in _NAMES}
 
 _TOK = f"t as (select doc_id, {words_sql('text')} w from documents)"
-_STATS = f"""{_TOK}, df as (select term, count(*) df from (select doc_id, unnest(list_distinct(w)) term from t) group by term),
+_STATS = f"""{_TOK}, df as materialized (select term, count(*) df from (select doc_id, unnest(list_distinct(w)) term from t) group by term),
 r as (select term, df, ln((select count(*) from t)-df+0.5)-ln(df+0.5) raw from df),
 st as (select term, df, case when raw<0 then 0.25*(select avg(raw) from r) else raw end idf from r)"""
 _CENT = """e as (select vec_id, label, embedding::double[] v from embeddings),
@@ -232,7 +232,7 @@ select k as key, v0 as value, n from (select *, row_number() over (partition by
     "cosine_topk": f"with e as (select vec_id, embedding::double[] v from embeddings), s as (select q.vec_id query_id, e.vec_id, round(list_inner_product(q.v,e.v),6) score from e q cross join e where q.vec_id in (1,2,3)) select * from (select *, {_BEST.format(t='vec_id')} as rank from s) where rank<=10",
     "cosine_prefiltered": POI + f", e as (select vec_id, embedding::double[] v from embeddings), s as (select q.vec_id query_id, poi_id, round(list_inner_product(q.v,e.v),6) score from poi join e using(vec_id) cross join e q where q.vec_id in (1,2,3) and city='en' and category in ('PROMO','LARGE')) select * from (select *, {_BEST.format(t='poi_id')} as rank from s) where rank<=10",
     "label_radius": f"with {_CENT}, s as (select vec_id query_id, c.label::bigint as label, round(list_inner_product(e.v,c.lvec),6) score from e cross join c where vec_id in (1,2,3)) select query_id, label, score from (select *, {_BEST.format(t='label')} r from s where score>=0.05) where r<=2",
-    "label_argmax": f"with {_CENT}, s as (select vec_id query_id, c.label::bigint as label, round(list_inner_product(e.v,c.lvec),6) score from e cross join c where vec_id<100) select query_id, label, score from (select *, {_BEST.format(t='label')} r from s) where r=1",
+    "label_argmax": f"with {_CENT}, s as (select vec_id query_id, c.label::bigint as label, round(list_inner_product(e.v,c.lvec),6) score from e cross join c) select query_id, label, score from (select *, {_BEST.format(t='label')} r from s) where r=1",
     "label_joint_weights": f"""with {_CENT}, s as (select vec_id query_id, case when c.label<5 then 'category' else 'attribute' end namespace, c.label::bigint as label, round(list_inner_product(e.v,c.lvec),6) score from e cross join c where vec_id in (1,2,3)),
 b as (select *, row_number() over (partition by query_id, namespace order by score desc, label) r from s)
 select query_id, namespace, label, round(greatest(0,(score-0.02e0)/(1-0.02e0)),6) weight from b where r<=2 and score>0.02e0""",

@@ -2,14 +2,12 @@
 
 from __future__ import annotations
 
-import tempfile
-
 from pyspark.sql import functions as F
 
 from ..functions.text import ngrams, tokens
-from ..operators import evaluate, joins
+from ..operators import evaluate, joins, vector
 from ..plans import lexicon
-from ..sources import ingest
+from ..sources import ingest, shared
 from ..streaming import windows
 from .shared import POI, places, table
 
@@ -19,7 +17,8 @@ def semi_join(spark, d):
 
 
 def anti_join(spark, d):
-    return table(spark, d, "customer").join(table(spark, d, "orders"), F.col("c_custkey") == F.col("o_custkey"), "left_anti").select("c_custkey", "c_name")
+    """Customers without a large order."""
+    return table(spark, d, "customer").join(table(spark, d, "orders").where("o_totalprice > 300000"), F.col("c_custkey") == F.col("o_custkey"), "left_anti").select("c_custkey", "c_name")
 
 
 def full_outer_join(spark, d):
@@ -98,13 +97,33 @@ def ingest_validate(spark, d):
 
 
 def ingest_upsert(spark, d):
+    """The whole table: three market segments stand, all with money come in a batch (twice, the later row counts); new ones are numbered in its order."""
     c = table(spark, d, "customer")
-    key = F.concat(F.lit("C"), F.lpad(F.col("c_custkey").cast("string"), 7, "0"))
-    old = c.where("c_custkey < 500").select(key.alias("poi_id"), F.col("c_name").alias("name"), F.col("c_custkey").cast("int").alias("row_order"))
-    batch = c.where("c_custkey >= 400 and c_custkey < 700").select(key.alias("poi_id"), F.upper("c_name").alias("name"))
-    out = ingest.upsert(old, batch)
-    top = F.when(F.col("row_order") >= 500, F.lit(500)).otherwise(F.col("row_order"))
-    return out.select("poi_id", "name", top.cast("int").alias("row_order"))
+    key = F.concat(F.lit("C"), F.lpad(F.col("c_custkey").cast("string"), 9, "0"))
+    old = c.where("c_mktsegment in ('BUILDING', 'AUTOMOBILE', 'MACHINERY')").select(key.alias("poi_id"), F.col("c_name").alias("name"), F.col("c_custkey").cast("long").alias("row_order"))
+    come = c.where("c_acctbal > 0")
+    first = come.select(key.alias("poi_id"), F.lit("early").alias("name"), (2 * F.col("c_custkey")).alias("position"))
+    batch = first.unionByName(come.select(key.alias("poi_id"), F.upper("c_name").alias("name"), (2 * F.col("c_custkey") + 1).alias("position")))
+    return ingest.upsert(old, batch, position="position")
+
+
+def seed_order(spark, d):
+    """A first version numbers a whole corpus from 0 on, here by falling account balance."""
+    c = table(spark, d, "customer")
+    rows = c.select(F.col("c_custkey").cast("string").alias("poi_id"), "c_name", (F.lit(10**9) - F.round(F.col("c_acctbal") * 100).cast("long") * 2).alias("position"), "c_custkey")
+    snaps = ingest.Snapshots(spark, f"{shared.folder(spark)}/seed")
+    ingest.seed(snaps, rows.withColumn("position", F.col("position") * 1_000_000 + F.col("c_custkey")).drop("c_custkey"), "position")
+    return snaps.read().select("poi_id", F.col("row_order").cast("long").alias("row_order"))
+
+
+def vector_store(spark, d):
+    """Half the texts are stored, then the rest is appended: every different text has one vector."""
+    docs = table(spark, d, "documents")
+    store = vector.VectorStore(spark, f"{shared.folder(spark)}/vectors")
+    encode = lambda t: F.transform(F.array(F.char_length(t), F.octet_length(t)), lambda n: n.cast("float"))
+    store.recreate(docs.where("doc_id % 2 = 0"), encode)
+    store.append(docs, encode)
+    return store.read().select("digest", F.col("embedding")[0].cast("long").alias("chars"), F.col("embedding")[1].cast("long").alias("bytes"))
 
 
 def status_backfill(spark, d):
@@ -147,7 +166,7 @@ def event_sessions(spark, d):
 
 def event_stream(spark, d):
     """The tumbling windows again, by a stream with a watermark (closed windows only)."""
-    root = _shared(spark)
+    root = shared.folder(spark)
     rows = windows.tumbling(windows.source(spark, f"{d}/events.parquet*"), "6 hours", "event_type")
     windows.run_once(rows, f"{root}/sink", f"{root}/state")
     return _micros(spark.read.schema("start timestamp, end timestamp, event_type string, n long, total double").parquet(f"{root}/sink"))
@@ -157,7 +176,7 @@ def snapshot_reload(spark, d):
     """Two versions; what was bound to the first one still reads it."""
     from ..streaming.reload import Served
 
-    snaps = ingest.Snapshots(spark, f"{_shared(spark)}/snapshots")
+    snaps = ingest.Snapshots(spark, f"{shared.folder(spark)}/snapshots")
     served, n = Served(snaps), table(spark, d, "nation")
     snaps.publish(n.where("n_nationkey < 10").select("n_nationkey", "n_name"))
     served.poll()
@@ -167,18 +186,7 @@ def snapshot_reload(spark, d):
     return first.withColumn("version", F.lit(1)).unionByName(served.current.withColumn("version", F.lit(served.loaded)))
 
 
-def _shared(spark) -> str:
-    import uuid
-
-    root = spark.conf.get("spark.checkpoint.dir", None)
-    if not root:
-        if not spark.sparkContext.master.startswith("local["):
-            raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and the executors share")
-        root = tempfile.mkdtemp(prefix="tidewell-")
-    return f"{root.rstrip('/')}/{uuid.uuid4().hex}"
-
-
-_NAMES = "semi_join anti_join full_outer_join range_join lookup_default edit1_candidates typo_unique surface_matches abbreviation_guard bigram_vocabulary integrity_intersect integrity_except contract_check word_union ingest_validate ingest_upsert status_backfill verify_decision geocode_classify event_windows event_sliding event_sessions event_stream snapshot_reload".split()
+_NAMES = "semi_join anti_join full_outer_join range_join lookup_default edit1_candidates typo_unique surface_matches abbreviation_guard bigram_vocabulary integrity_intersect integrity_except contract_check word_union ingest_validate ingest_upsert seed_order vector_store status_backfill verify_decision geocode_classify event_windows event_sliding event_sessions event_stream snapshot_reload".split()
 QUERIES = {n: globals()[n] for n in _NAMES}
 
 _TYPOS = "t as (select unnest(['rin','blot','gearr','cold','hat','wodget','rode','bolt','el','ned']) token), v as (select distinct unnest(string_split(p_name,' ')) candidate from part), p as (select token, candidate from t cross join v where levenshtein(token,candidate)=1)"
@@ -187,7 +195,7 @@ _OUT = "select epoch_us(start) start, epoch_us(\"end\") as \"end\", * exclude (s
 _WIN = f"{_OUT}({_INNER})"
 SQL = {
     "semi_join": "select c_custkey, c_name from customer where c_custkey in (select o_custkey from orders where o_totalprice>400000)",
-    "anti_join": "select c_custkey, c_name from customer where c_custkey not in (select o_custkey from orders)",
+    "anti_join": "select c_custkey, c_name from customer where c_custkey not in (select o_custkey from orders where o_totalprice>300000)",
     "full_outer_join": "select coalesce(a.k,b.k) nationkey, coalesce(suppliers,0) suppliers, coalesce(customers,0) customers from (select s_nationkey k, count(*) suppliers from supplier group by 1) a full join (select c_nationkey k, count(*) customers from customer where c_acctbal>9000 group by 1) b on a.k=b.k",
     "range_join": POI + " select box, count(*) n, min(poi_id) first_id from poi join (values ('a',10.0,13.5,102.0,105.0),('b',12.0,20.0,104.0,109.0),('c',0.0,0.0,0.0,0.0)) b(box,la,lb,oa,ob) on lat between la and lb and lon between oa and ob group by 1",
     "lookup_default": "select c_custkey, coalesce(n,0) n_orders from customer left join (select o_custkey, count(*) n from orders group by 1) on c_custkey=o_custkey",
@@ -201,7 +209,11 @@ SQL = {
     "contract_check": "select event_type, 'name,zone' missing from events group by 1",
     "word_union": "select lower(p_type) word from part union select unnest(string_split(p_name,' ')) from part",
     "ingest_validate": """with x as (select s_suppkey k, s_name from supplier) select s_name as name, array_to_string(list_filter([case when k%13=0 then 'unknown field: surplus' end, case when k%7=0 then 'missing: poi_id' end, case when k%5=0 then 'missing: city' end, case when k%11=0 then 'not a number: rating' end], lambda e: e is not null),'|') errors from x""",
-    "ingest_upsert": "select 'C'||lpad(c_custkey::varchar,7,'0') poi_id, case when c_custkey>=400 then upper(c_name) else c_name end as name, least(c_custkey,500)::int row_order from customer where c_custkey<700",
+    "ingest_upsert": """with o as (select c_custkey k, c_name n from customer where c_mktsegment in ('BUILDING','AUTOMOBILE','MACHINERY')), b as (select c_custkey k, upper(c_name) n from customer where c_acctbal>0)
+        select 'C'||lpad(k::varchar,9,'0') poi_id, coalesce(b.n,o.n) as name, k::bigint row_order from o left join b using(k)
+        union all select 'C'||lpad(k::varchar,9,'0'), n, (select max(k) from o) + row_number() over (order by k) from b where k not in (select k from o)""",
+    "seed_order": "select c_custkey::varchar poi_id, row_number() over (order by round(c_acctbal*100)::bigint desc, c_custkey) - 1 row_order from customer",
+    "vector_store": "select distinct sha256(text) digest, length(text)::bigint chars, strlen(text)::bigint bytes from documents",
     "status_backfill": "select c_custkey poi_id, case when c_acctbal<0 then 'unverified' else 'active' end status from customer",
     "verify_decision": """with x as (select s_suppkey, case when s_suppkey%8=0 then 'no address' when s_suppkey%9=0 then 'no result' else array_to_string(list_filter([case when (s_suppkey%10)/10.0e0<0.7e0 then 'low score' end, case when s_suppkey*37%900>500 then 'too far' end, case when s_suppkey%4=0 then 'place type' end], lambda e: e is not null),';') end reasons from supplier) select s_suppkey, case when reasons='' then 'verified' else 'unverified' end status, reasons from x""",
     "geocode_classify": "select case when s_suppkey%9=0 then 'no_resolve' when (s_suppkey%10)/10.0e0<0.7e0 then 'score_low' when s_suppkey*37%900>500 then 'coords_off' else 'verified' end kind, count(*) n from supplier group by 1",

@@ -2,21 +2,23 @@
 
 from __future__ import annotations
 
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from ..functions import geo
-from ..operators import evaluate
+from ..operators import evaluate, lexical
 from ..plans import constraints, query_plan, rerank, signals
 from ..settings import WEIGHTS
 from ..sources import reports
 from .corpus import _STATS
-from .shared import POI, closes_sql, haversine_sql, opens_sql, places, table, words_sql
+from .shared import POI, closes_sql, fold_sql, haversine_sql, opens_sql, places, table, words_sql
+from .understanding import TEXT_QUERIES
 
 NOW = 1200
 #: Literal plans, so that both engines see the same ones.
 PLANS = {
-    "a": dict(query="thing of red widget the and", categories=["PROMO", "LARGE"], attr_concepts=["red", "widget"], neg_concepts=["old"], city="en", district="src3", want_pop=True, current_time_open=True, resolved_coord=(14.0, 106.0), price_limit=120000.0, price_op="le", rating_limit=3.0, rating_op="ge", time_limit_minutes=1380, time_op="ge", sort_by="price", sort_order="asc"),
-    "b": dict(query="la cióndo brand#3 small ring", city="es", category_weights={"SMALL": 0.8, "ECONOMY": 0.1}, attribute_weights={"small": 0.7, "ring": 0.4}, negated_attribute_weights={"hot": 1.0}, resolved_coord=(18.5, 103.25), sort_by="rating", sort_order="desc", price_limit=400000.0, price_op="eq", time_limit_minutes=480, time_op="le"),
+    "a": dict(query="thing of red widget the and", categories=["PROMO", "LARGE"], attr_concepts=["Réd", "WIDGET"], neg_concepts=["Old"], city="en", district="src3", want_pop=True, current_time_open=True, resolved_coord=(14.0, 106.0), price_limit=120000.0, price_op="le", rating_limit=3.0, rating_op="ge", time_limit_minutes=1380, time_op="ge", sort_by="price", sort_order="asc"),
+    "b": dict(query="la cióndo brand#3 small ring", city="es", category_weights={"SMALL": 0.8, "ECONOMY": 0.1}, attribute_weights={"SMALL": 0.7, "rïng": 0.4}, negated_attribute_weights={"HOT": 1.0}, resolved_coord=(18.5, 103.25), sort_by="rating", sort_order="desc", price_limit=400000.0, price_op="eq", time_limit_minutes=480, time_op="le"),
     "c": dict(query="der und schung"),
 }
 SIGNALS = tuple(signals.registry())
@@ -48,9 +50,9 @@ def _lists(v):
     return "[" + ",".join(f"'{x}'" for x in v) + "]::varchar[]"
 
 
-def _plan_sql() -> str:
+def _plan_sql(given: dict = PLANS, name: str = "q") -> str:
     rows = []
-    for i, (k, p) in enumerate(PLANS.items()):
+    for i, (k, p) in enumerate(given.items()):
         s = lambda n, p=p: f"'{p[n]}'" if p.get(n) is not None else "null"
         x = lambda n, p=p: f"{p[n]}" if p.get(n) is not None else "null"
         c = p.get("resolved_coord")
@@ -59,17 +61,18 @@ def _plan_sql() -> str:
         for n in ("category_weights", "attribute_weights", "negated_attribute_weights"):
             cells += w(n)
         rows.append("(" + ",".join(cells) + ")")
-    return "q(query_id,vec,query,cats,attrs,negs,qcity,qdistrict,wpop,wopen,qlat,qlon,price_limit,price_op,rating_limit,rating_op,time_limit,time_op,sort_by,sort_order,ck,cv,ak,av,nk,nv) as (values " + ",".join(rows) + ")"
+    return f"{name}(query_id,vec,query,cats,attrs,negs,qcity,qdistrict,wpop,wopen,qlat,qlon,price_limit,price_op,rating_limit,rating_op,time_limit,time_op,sort_by,sort_order,ck,cv,ak,av,nk,nv) as (values {','.join(rows)})"
 
 
 _CMP = "case when {o}='ge' then {v}>={l} when {o}='eq' then abs({v}-{l})<0.01 else {v}<={l} end"
 _YES = "case when {c} then 1.0e0 else 0.0e0 end"
 _LEVEL = "case when price_limit<=50000 then 1 when price_limit<=150000 then 2 when price_limit<=300000 then 3 else 4 end"
-_SUM = "coalesce(list_sum(list_transform({k}, lambda a, i: case when list_contains(attributes,a) then {v}[i] else 0 end)),0)"
+_OWN = f"list_transform(attributes, lambda x: {fold_sql('x')})"
+_SUM = "coalesce(list_sum(list_transform({k}, lambda a, i: case when list_contains(" + _OWN + "," + fold_sql("a") + ") then {v}[i] else 0 end)),0)"
 _LATE = "case when opening_hours='24/7' then 1440 when c<=o then c+1440 else c end"
 _OPEN = f"coalesce(case when c<=o then ({NOW}>=o or {NOW}<c) else ({NOW}>=o and {NOW}<c) end,false)"
 _KM = haversine_sql("qlat", "qlon", "lat", "lon")
-_HAS = "len(list_filter({k}, lambda a: list_contains(attributes,a)))::double"
+_HAS = "len(list_filter({k}, lambda a: list_contains(" + _OWN + "," + fold_sql("a") + ")))::double"
 _NAME = "(trim(lower({n}))<>'' and contains(' '||lower(query)||' ', ' '||trim(lower({n}))||' '))"
 SIGNAL_SQL = {
     "category": f"case when len(ck)>0 then coalesce(cv[list_position(ck,category)],0) when len(cats)=0 then 1.0e0 else {_YES.format(c='list_contains(cats,category)')} end",
@@ -175,17 +178,18 @@ def constraint_relaxed(spark, d):
 
 
 def _evaluation(spark, d):
+    """Queries: every vector whose id is divisible by 20, against all others; gold: all with the same label."""
     e = table(spark, d, "embeddings")
-    q = e.where("vec_id < 60").select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("qvec"), F.col("label").alias("ql"))
+    q = e.where("vec_id % 20 = 0").select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("qvec"), F.col("label").alias("ql"))
     from ..operators.vector import topk
 
     ranked = topk(e.withColumnRenamed("vec_id", "id"), q.select("query_id", "qvec"), 10, F.col("query_id") != F.col("id")).withColumn("is_synthetic", F.col("id") % 3 == 0)
-    gold = q.join(e.select(F.col("vec_id").alias("id"), "label"), (F.col("ql") == F.col("label")) & (F.col("query_id") != F.col("id"))).where("id < 100").select("query_id", "id")
+    gold = q.join(e.select(F.col("vec_id").alias("id"), "label"), (F.col("ql") == F.col("label")) & (F.col("query_id") != F.col("id"))).select("query_id", "id")
     return evaluate.per_query(ranked, gold)
 
 
 def _groups(rows):
-    return rows.withColumn("difficulty", F.element_at(F.array(F.lit("Easy"), F.lit("Medium"), F.lit("Hard")), (F.col("query_id") % 3 + 1).cast("int"))).withColumn("category", F.concat(F.lit("c"), (F.col("query_id") % 5).cast("string")))
+    return rows.withColumn("difficulty", F.element_at(F.array(F.lit("Easy"), F.lit("Medium"), F.lit("Hard")), (F.col("query_id") % 3 + 1).cast("int"))).withColumn("category", F.concat(F.lit("c"), (F.col("query_id") % 7).cast("string")))
 
 
 def ir_metrics(spark, d):
@@ -199,7 +203,59 @@ def ir_by_group(spark, d):
 
 def ir_vs_baseline(spark, d):
     r = _evaluation(spark, d)
-    return evaluate.against(r, r.withColumn("hit1", F.when(F.col("query_id") % 4 == 0, 1.0 - F.col("hit1")).otherwise(F.col("hit1"))))
+    return evaluate.against(r, r.withColumn("hit1", F.when(F.col("query_id") % 40 == 0, 1.0 - F.col("hit1")).otherwise(F.col("hit1"))))
+
+
+#: What the queries of ``understanding.TEXT_QUERIES`` mean.
+MEANT = {
+    "1": dict(query=TEXT_QUERIES["1"], categories=["PROMO"], attr_concepts=["red", "widget"], city="en", district="src3"),
+    "2": dict(query=TEXT_QUERIES["2"], categories=["SMALL"], attr_concepts=["bolt"], city="es"),
+    "3": dict(query=TEXT_QUERIES["3"], attr_concepts=["red", "gear"]),
+    "4": dict(query=TEXT_QUERIES["4"], categories=["ECONOMY"], attr_concepts=["old", "ring"], city="de", district="src1"),
+}
+
+
+def text_rank(spark, d):
+    """From text to ranked places without vectors: lexicon, centroids, plans, words and signals."""
+    p = places(spark, d)
+    engine = rerank.Engine(p)
+    queries = spark.createDataFrame(list(TEXT_QUERIES.items()), "query_id string, query string")
+    rows = rerank.lexical_only(engine.corpus, engine.plans(queries), now=NOW).where(F.col("rank") <= 10)
+    return rows.select("query_id", F.col("rank").cast("long").alias("rank"), "poi_id", "total")
+
+
+def report_order(spark, d):
+    """The groups of a report with their places in it."""
+    rows = evaluate.report_order(evaluate.grouped(_groups(_evaluation(spark, d))))
+    return rows.select("kind", "name", "n").withColumn("place", F.monotonically_increasing_id()).withColumn("place", F.row_number().over(Window.orderBy("place")).cast("long"))
+
+
+def hard_benchmark(spark, d):
+    """Splits of hits at rank 1 by difficulty, variant and hard negatives, with intervals."""
+    q = table(spark, d, "embeddings").where("vec_id % 20 = 0").select(F.col("vec_id").alias("query_id"))
+    q = _groups(q).select("query_id", "difficulty", F.when(F.col("query_id") % 40 == 0, "typo").otherwise("plain").alias("variant"), (F.col("query_id") % 60 == 0).alias("has_hard_negative"))
+    return evaluate.benchmark(_evaluation(spark, d), q)
+
+
+def stress_queries(spark, d):
+    """Every place name in capitals must find the places that bear it: names without a match anywhere else, by words."""
+    p = table(spark, d, "part")
+    names = p.groupBy("p_name").agg(F.min("p_partkey").alias("k"))
+    queries = names.select(F.concat(F.lit("s"), "k").alias("query_id"), F.upper("p_name").alias("query"), F.col("k").cast("string").alias("gold_from"))
+    gold = names.join(p.select("p_name", F.col("p_partkey").alias("id")), "p_name").select(F.col("k").cast("string").alias("query_id"), "id")
+    found = lambda q: lexical.bm25_topk(p, q, "p_partkey", "p_name", 5).withColumn("is_synthetic", F.lit(False))
+    r = evaluate.stress(found, queries, gold)
+    return r.select("query_id", "hit1", F.round("rr", 6).alias("rr"), F.round("r5", 6).alias("r5"))
+
+
+def hard_groups(spark, d):
+    """The same names, half of them with a letter dropped, in groups; a query without gold doesn't count."""
+    p = table(spark, d, "part")
+    rows = p.groupBy("p_name").agg(F.array_sort(F.collect_list("p_partkey")).alias("gold"), F.min("p_partkey").alias("k"))
+    cut = F.col("k") % 2 == 0
+    queries = rows.select(F.col("k").cast("string").alias("query_id"), F.when(cut, F.expr("left(p_name, char_length(p_name) - 1)")).otherwise(F.col("p_name")).alias("query"), F.when(cut, "typo").otherwise("plain").alias("group"), F.when(F.col("k") % 3 == 0, F.slice("gold", 1, 0)).otherwise(F.col("gold")).alias("gold"))
+    found = lambda q: lexical.bm25_topk(p, q, "p_partkey", "p_name", 5).withColumn("is_synthetic", F.lit(False))
+    return evaluate.by_group(found, queries).select("name", "n", "hit1", "rr", "r3", "r5")
 
 
 def wilson_ci(spark, d):
@@ -219,7 +275,7 @@ def status_counts(spark, d):
 
 
 QUERIES = {f"sig_{n}": _signal(n) for n in SIGNALS}
-QUERIES |= {n: globals()[n] for n in "pool_union pool_minmax hybrid_search hybrid_explained no_dense_rerank search_filters constraint_parse constraint_scores constraint_relaxed ir_metrics ir_by_group ir_vs_baseline wilson_ci satisfaction_accuracy status_counts ablation_ladder api_response radial_layout".split()}
+QUERIES |= {n: globals()[n] for n in "pool_union pool_minmax hybrid_search hybrid_explained no_dense_rerank search_filters constraint_parse constraint_scores constraint_relaxed ir_metrics ir_by_group ir_vs_baseline report_order hard_benchmark stress_queries hard_groups wilson_ci satisfaction_accuracy status_counts ablation_ladder api_response radial_layout text_rank".split()}
 QUERIES |= {f"sort_{by}_{o}": _sorted(by, o) for by in ("price", "rating") for o in ("asc", "desc")}
 
 _QT = f"{_STATS.replace('doc_id', 'poi_id').replace('from documents', 'from poi').replace('(text)', '(description)')}, qt as (select query_id, term, count(*) times from (select query_id, unnest({words_sql('query')}) term from q) group by 1,2), tf as (select poi_id, len(w) dl, term, count(*) tf from (select poi_id, w, unnest(w) term from t) group by 1,2,3), bs as (select qt.query_id, tf.poi_id, round(sum(times*idf*tf*2.5/(tf+1.5*(1-0.75+0.75*dl/(select avg(len(w)) from t)))),6) score from qt join st using(term) join tf using(term) group by 1,2), ba as (select q.query_id, t.poi_id, coalesce(bs.score,0) score from q cross join t left join bs on bs.query_id=q.query_id and bs.poi_id=t.poi_id), br as (select *, row_number() over (partition by query_id order by score desc, poi_id) r from ba)"
@@ -237,15 +293,15 @@ def _total(profile):
 
 _HYBRID = f"{_BASE}, {_QT}, {_DENSE}, {_POOL}, sg as (select pn.*, pq.* exclude (poi_id), q.* exclude (query_id), {_SIGS} from pn join pq using(poi_id) join q using(query_id)), tt as (select *, {_total('with_dense')} total from sg), rk as (select *, row_number() over (partition by query_id order by {_OVER}, total desc, poi_id) rank from tt)"
 _SUMW = sum(WEIGHTS["with_dense"].values())
-_EVAL = """e as (select vec_id, label, embedding::double[] v from embeddings), rk as (select *, row_number() over (partition by query_id order by score desc, id) rank from (select a.vec_id query_id, b.vec_id id, round(list_inner_product(a.v,b.v),6) score from e a cross join e b where a.vec_id<60 and a.vec_id<>b.vec_id)),
-g as (select a.vec_id query_id, b.vec_id id from e a join e b on a.label=b.label and a.vec_id<>b.vec_id where a.vec_id<60 and b.vec_id<100), ng as (select query_id, count(*) n from g group by 1),
+_EVAL = """e as (select vec_id, label, embedding::double[] v from embeddings), rk as (select *, row_number() over (partition by query_id order by score desc, id) rank from (select a.vec_id query_id, b.vec_id id, round(list_inner_product(a.v,b.v),6) score from e a cross join e b where a.vec_id%20=0 and a.vec_id<>b.vec_id)),
+g as (select a.vec_id query_id, b.vec_id id from e a join e b on a.label=b.label and a.vec_id<>b.vec_id where a.vec_id%20=0), ng as (select query_id, count(*) n from g group by 1),
 h as (select rk.query_id, rk.id, rk.rank, g.id is not null hit from rk left join g on g.query_id=rk.query_id and g.id=rk.id where rank<=10), f as (select query_id, min(rank) filter (hit) f from h group by 1),
 m as (select h.query_id, max(case when hit and rank=1 then 1.0e0 else 0.0e0 end) hit1, coalesce(1.0e0/min(f),0) rr, sum(case when hit and rank<=3 then 1 else 0 end)/min(n) r3, sum(case when hit and rank<=5 then 1 else 0 end)/min(n) r5, sum(case when h.id%3=0 and rank<=3 then 1 else 0 end)::bigint synth3, max(case when h.id%3=0 and rank<coalesce(f,2147483647) then 1 else 0 end) synth_above from h join f using(query_id) join ng using(query_id) group by 1)"""
 _METR = "count(*) n, round(avg(hit1),6) hit1, round(avg(rr),6) rr, round(avg(r3),6) r3, round(avg(r5),6) r5"
 
-_PARSE = [("a", 0, "category", "LARGE", 2), ("a", 1, "category", "PROMO", 2), ("a", 2, "attribute", "red", 1), ("a", 3, "attribute", "widget", 1), ("a", 4, "not_attribute", "old", 1), ("a", 5, "district", "src3", 2), ("a", 6, "price_limit", "120000.0", 1), ("a", 7, "rating_limit", "3.0", 1), ("a", 8, "time_limit", "1380", 1), ("a", 9, "open_now", "now", 1), ("b", 0, "category", "SMALL", 2), ("b", 1, "attribute", "ring", 1), ("b", 2, "attribute", "small", 1), ("b", 3, "not_attribute", "hot", 1), ("b", 4, "city", "es", 2), ("b", 5, "price_limit", "400000.0", 1), ("b", 6, "time_limit", "480", 1)]
+_PARSE = [("a", 0, "category", "LARGE", 2), ("a", 1, "category", "PROMO", 2), ("a", 2, "attribute", "Réd", 1), ("a", 3, "attribute", "WIDGET", 1), ("a", 4, "not_attribute", "Old", 1), ("a", 5, "district", "src3", 2), ("a", 6, "price_limit", "120000.0", 1), ("a", 7, "rating_limit", "3.0", 1), ("a", 8, "time_limit", "1380", 1), ("a", 9, "open_now", "now", 1), ("b", 0, "category", "SMALL", 2), ("b", 1, "attribute", "SMALL", 1), ("b", 2, "attribute", "rïng", 1), ("b", 3, "not_attribute", "HOT", 1), ("b", 4, "city", "es", 2), ("b", 5, "price_limit", "400000.0", 1), ("b", 6, "time_limit", "480", 1)]
 _PVALUES = "c(query_id,pos,kind,value,priority) as (values " + ",".join(str(x) for x in _PARSE) + ")"
-_CSCORE = f"""cs as (select c.*, poi_id, round(case kind when 'category' then {_YES.format(c='category=value')} when 'attribute' then {_YES.format(c='list_contains(attributes,value)')} when 'not_attribute' then 1.0e0-{_YES.format(c='list_contains(attributes,value)')}
+_CSCORE = f"""cs as (select c.*, poi_id, round(case kind when 'category' then {_YES.format(c='category=value')} when 'attribute' then {_YES.format(c='list_contains(' + _OWN + ',' + fold_sql('value') + ')')} when 'not_attribute' then 1.0e0-{_YES.format(c='list_contains(' + _OWN + ',' + fold_sql('value') + ')')}
  when 'district' then (case when district=qdistrict then 1.0e0 when city=qcity then 0.5e0 else 0.0e0 end) when 'city' then {_YES.format(c='city=value')}
  when 'price_limit' then (case when price_level=0 then 0.0e0 else {_YES.format(c=_CMP.format(o='price_op', v='price_level', l='price_limit'))} end)
  when 'rating_limit' then (case when rating=0 then 0.0e0 else {_YES.format(c=_CMP.format(o='rating_op', v='rating', l='rating_limit'))} end)
@@ -263,11 +319,35 @@ SQL |= {
     "constraint_scores": f"{_BASE}, {_PVALUES}, {_CSCORE} select query_id, poi_id, pos, score from cs",
     "constraint_relaxed": f"{_BASE}, {_PVALUES}, {_CSCORE}, gg as (select query_id, poi_id, count(*)::int n_constraints, (count(*) filter (score>=0.5))::int satisfied, coalesce(string_agg(kind||':'||value,'|' order by priority,pos) filter (score<0.5),'') relaxed from cs group by 1,2) select q.query_id, pq.poi_id, coalesce(n_constraints,0) n_constraints, coalesce(satisfied,0) satisfied, relaxed from pq cross join q left join gg on gg.query_id=q.query_id and gg.poi_id=pq.poi_id",
     "ir_metrics": f"with {_EVAL} select query_id, round(hit1,6) hit1, round(rr,6) rr, round(r3,6) r3, round(r5,6) r5, synth3, synth_above from m",
-    "ir_by_group": f"with {_EVAL}, k as (select *, case query_id%3 when 0 then 'Easy' when 1 then 'Medium' else 'Hard' end difficulty, 'c'||(query_id%5) category from m) select 'all' kind, 'all' as name, {_METR} from k union all select 'difficulty', difficulty, {_METR} from k group by difficulty union all select 'category', category, {_METR} from k group by category",
-    "ir_vs_baseline": f"with {_EVAL} select query_id, case when query_id%4<>0 then 'same' when hit1>0 then 'saved' else 'regressed' end verdict from m",
+    "ir_by_group": f"with {_EVAL}, k as (select *, case query_id%3 when 0 then 'Easy' when 1 then 'Medium' else 'Hard' end difficulty, 'c'||(query_id%7) category from m) select 'all' kind, 'all' as name, {_METR} from k union all select 'difficulty', difficulty, {_METR} from k group by difficulty union all select 'category', category, {_METR} from k group by category",
+    "ir_vs_baseline": f"with {_EVAL} select query_id, case when query_id%40<>0 then 'same' when hit1>0 then 'saved' else 'regressed' end verdict from m",
     "radial_layout": POI + f", r as (select poi_id, pow({haversine_sql('14.0e0', '106.0e0', 'lat', 'lon')}/1000.0e0,0.6e0) r, atan2(lat-14.0e0,(lon-106.0e0)*cos(radians(14.0e0))) a from poi where lat<>0) select poi_id, round(r*cos(a),6) x, round(r*sin(a),6) y from r",
     "wilson_ci": "with x as (select quality, sum(toxic)::double k, count(*)::double n from labels group by 1), y as (select *, k/n p from x) select quality, round((p+1.96e0*1.96e0/(2*n)-1.96e0*sqrt(p*(1-p)/n+1.96e0*1.96e0/(4*n*n)))/(1+1.96e0*1.96e0/n),9) lo, round((p+1.96e0*1.96e0/(2*n)+1.96e0*sqrt(p*(1-p)/n+1.96e0*1.96e0/(4*n*n)))/(1+1.96e0*1.96e0/n),9) hi from y",
     "satisfaction_accuracy": "select event_id%50 query_id, round(avg(case when ((value%1)>=0.5)=((event_id%2)>=0.5) then 1.0e0 else 0.0e0 end),9) accuracy, bool_and(((value%1)>=0.5)=((event_id%2)>=0.5)) exact from events group by 1",
     "status_counts": "select user_id, count(*) filter (event_type='error') errors, round((count(*) filter (event_type='error'))/count(*),3) ratio from events group by 1",
 }
+_GROUPS = f"with {_EVAL}, k as (select *, case query_id%3 when 0 then 'Easy' when 1 then 'Medium' else 'Hard' end difficulty, 'c'||(query_id%7) category from m)"
+_WILSON = "round(({p}+1.9208e0/n{s}1.96e0*sqrt({p}*(1-{p})/n+0.9604e0/(n*n)))/(1+3.8416e0/n),6)"
+_CENTRE = "cen as (select city, district, median(lat) lat, median(lon) lon from poi where lat<>0 or lon<>0 group by 1,2)"
+_MEANT = f"{POI}, pq as (select *, {opens_sql()} o, {closes_sql()} c from poi), {_plan_sql(MEANT, 'q0')}, {_CENTRE}, q as (select q0.* replace (cen.lat as qlat, cen.lon as qlon) from q0 left join cen on cen.city=qcity and cen.district=qdistrict)"
+SQL["text_plans"] = f"{_MEANT} select query_id, array_to_string(cats,'|') categories, qcity city, qdistrict district, round(qlat,6) lat, round(qlon,6) lon from q"
+SQL["text_rank"] = SQL["no_dense_rerank"].replace(_BASE, _MEANT)
+#: The best five parts by the words of a name, and how they meet the gold (all parts of that name).
+_NAMED = """with t as (select p_partkey id, string_split(lower(p_name),' ') w from part), n as (select count(*) n, avg(len(w)) a from t),
+df as (select x, count(*) df from (select unnest(list_distinct(w)) x from t) group by 1), r as (select x, ln(n-df+0.5)-ln(df+0.5) raw from df, n),
+st as (select x, case when raw<0 then 0.25*(select avg(raw) from r) else raw end idf from r),
+names as (select p_name, min(p_partkey) k, list(p_partkey) gold from part group by 1), {q},
+tf as (select id, len(w) dl, x, count(*) f from (select id, w, unnest(w) x from t) group by 1,2,3),
+qt as (select k, x, count(*) times from (select k, unnest(string_split(lower(query),' ')) x from q) group by 1,2),
+s as (select k, id, round(sum(times*idf*f*2.5/(f+1.5*(0.25+0.75*dl/(select a from n)))),6) score from qt join st using(x) join tf using(x) group by 1,2),
+al as (select q.k, t.id, coalesce(s.score,0) score from q cross join t left join s on s.k=q.k and s.id=t.id),
+rk as (select *, row_number() over (partition by k order by score desc, id) r from al qualify r<=5),
+h as (select rk.k, r, list_contains(q.gold, rk.id) hit, len(q.gold) ng from rk join q using(k)),
+m as (select k, max(case when hit and r=1 then 1.0e0 else 0.0e0 end) hit1, coalesce(1.0e0/min(r) filter (hit),0) rr, count(*) filter (hit and r<=3)/min(ng) r3, count(*) filter (hit)/min(ng) r5 from h group by 1)"""
+SQL |= {
+    "report_order": f"{_GROUPS}, gr as (select 'all' kind, 'all' as name, count(*) n from k union all select 'difficulty', difficulty, count(*) from k group by difficulty union all select 'category', category, count(*) from k group by category) select kind, name, n, row_number() over (order by case when kind='all' then 0 else 1 end, kind, n desc, name) place from gr",
+    "hard_benchmark": f"{_GROUPS}, x as (select 'all' split, 'all' as value, hit1 from k union all select 'difficulty', difficulty, hit1 from k union all select 'variant', case when query_id%40=0 then 'typo' else 'plain' end, hit1 from k union all select 'hard_negative', 'yes', hit1 from k where query_id%60=0), y as (select split, value, count(*) n, sum(hit1) hits from x group by 1,2) select split, value, n, hits, {_WILSON.format(p='(hits/n)', s='-')} lo, {_WILSON.format(p='(hits/n)', s='+')} hi from y",
+    "stress_queries": _NAMED.format(q="q as (select k, upper(p_name) query, gold from names)") + " select 's'||k query_id, hit1, round(rr,6) rr, round(r5,6) r5 from m",
+    "hard_groups": _NAMED.format(q="q as (select k, case when k%2=0 then left(p_name, length(p_name)-1) else p_name end query, gold from names where k%3<>0)") + " select case when k%2=0 then 'typo' else 'plain' end as name, count(*) n, round(avg(hit1),6) hit1, round(avg(rr),6) rr, round(avg(r3),6) r3, round(avg(r5),6) r5 from m group by 1",
+}
 SQL |= {f"sort_{by}_{o}": POI + f", q(sort_by,sort_order) as (values ('{by}','{o}')) select * from (select poi_id, row_number() over (order by {_OVER}, popularity desc, poi_id) rank from poi cross join q) where rank<=50" for by in ("price", "rating") for o in ("asc", "desc")}

@@ -13,7 +13,7 @@ def per_query(ranked: DataFrame, gold: DataFrame) -> DataFrame:
     rows = ranked.join(g, ["query_id", "id"], "left")
     hit = F.col("gold") == 1
     first = rows.where(hit).groupBy("query_id").agg(F.min("rank").alias("first"))
-    agg = rows.join(F.broadcast(first), "query_id", "left").groupBy("query_id").agg(
+    agg = rows.join(first, "query_id", "left").groupBy("query_id").agg(
         F.max(F.when(hit & (F.col("rank") == 1), 1.0).otherwise(0.0)).alias("hit1"),
         F.coalesce(1.0 / F.min("first"), F.lit(0.0)).alias("rr"),
         F.sum(F.when(hit & (F.col("rank") <= 3), 1).otherwise(0)).alias("h3"),
@@ -25,6 +25,37 @@ def per_query(ranked: DataFrame, gold: DataFrame) -> DataFrame:
     return out.select("query_id", "hit1", "rr", (F.col("h3") / F.col("n_gold")).alias("r3"), (F.col("h5") / F.col("n_gold")).alias("r5"), "synth3", "synth_above")
 
 
+def report_order(groups: DataFrame) -> DataFrame:
+    """Groups of a report (kind, name, n): all first, then by kind, the largest first, equals by name."""
+    return groups.orderBy(F.when(F.col("kind") == "all", 0).otherwise(1), "kind", F.desc("n"), "name")
+
+
+def stress(search, queries: DataFrame, gold: DataFrame) -> DataFrame:
+    """Metrics of other wordings: queries (query_id, query, gold_from) are searched, and their gold is that of query ``gold_from``."""
+    own = queries.select("query_id", "gold_from").join(gold.select(F.col("query_id").alias("gold_from"), "id"), "gold_from").select("query_id", "id")
+    return per_query(search(queries.select("query_id", "query")), own)
+
+
+def by_group(search, queries: DataFrame) -> DataFrame:
+    """Means per group of hard queries, in report order; queries: query_id, query, group, gold (array of ids; an empty one is left out)."""
+    rows = queries.where(F.size("gold") > 0)
+    found = per_query(search(rows.select("query_id", "query")), rows.select("query_id", F.explode("gold").alias("id")))
+    return means(found.join(rows.select("query_id", F.col("group").alias("name")), "query_id"), "name").orderBy(F.desc("n"), "name")
+
+
+def benchmark(found: DataFrame, queries: DataFrame) -> DataFrame:
+    """split, value, n, hits and the interval of hit1: overall, by difficulty, by variant and for queries with a hard negative.
+
+    found: query_id, hit1; queries: query_id, difficulty, variant, has_hard_negative.
+    """
+    rows = found.select("query_id", "hit1").join(queries, "query_id")
+    hard = F.when(F.col("has_hard_negative"), F.struct(F.lit("hard_negative").alias("split"), F.lit("yes").alias("value")))
+    splits = F.array(F.struct(F.lit("all").alias("split"), F.lit("all").alias("value")), F.struct(F.lit("difficulty").alias("split"), F.col("difficulty").alias("value")), F.struct(F.lit("variant").alias("split"), F.col("variant").alias("value")), hard)
+    each = rows.select("hit1", F.explode(F.filter(splits, lambda s: s.isNotNull())).alias("s")).groupBy("s.split", "s.value").agg(F.count("*").alias("n"), F.sum("hit1").alias("hits"))
+    lo, hi = wilson(F.col("hits"), F.col("n"))
+    return each.select("split", "value", "n", "hits", F.round(lo, 6).alias("lo"), F.round(hi, 6).alias("hi"))
+
+
 METRICS = ("hit1", "rr", "r3", "r5")
 
 

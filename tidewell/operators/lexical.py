@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.text import tokens
@@ -13,37 +13,68 @@ def tokenised(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     return docs.select(F.col(id_col).alias("id"), tokens(F.coalesce(F.col(text_col), F.lit(""))).alias("words"))
 
 
-def term_stats(docs: DataFrame, id_col: str, text_col: str, conf: Bm25 = Bm25()) -> DataFrame:
-    """term, df, idf: negative values become epsilon times the mean over all terms."""
+#: The pseudo-term under which every document counts once with its length; no word is empty.
+ALL = ""
+
+
+def frequencies(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    """term, df, length from one scan; the row of ALL has the number of documents and the sum of their lengths."""
     rows = tokenised(docs, id_col, text_col)
-    df = rows.select(F.explode(F.array_distinct("words")).alias("term")).groupBy("term").agg(F.count("*").alias("df"))
-    n = rows.agg(F.count("*").cast("double").alias("n"))
-    raw = df.join(F.broadcast(n)).select("term", "df", (F.log(F.col("n") - F.col("df") + 0.5) - F.log(F.col("df") + 0.5)).alias("raw"))
-    mean = raw.agg(F.avg("raw").alias("mean"))
-    return raw.join(F.broadcast(mean)).select("term", "df", F.when(F.col("raw") < 0, conf.epsilon * F.col("mean")).otherwise(F.col("raw")).alias("idf"))
+    each = rows.select(F.explode(F.concat(F.array(F.lit(ALL)), F.array_distinct("words"))).alias("term"), F.size("words").alias("dl"))
+    return each.groupBy("term").agg(F.count("*").alias("df"), F.sum(F.when(F.col("term") == ALL, F.col("dl"))).alias("length"))
+
+
+def raw_idf(df: Column, n: Column) -> Column:
+    return F.log(n - df + 0.5) - F.log(df + 0.5)
+
+
+def collection(stats: DataFrame, wanted: DataFrame, conf: Bm25) -> DataFrame:
+    """term, df, idf, avgdl of the terms ``wanted`` (term); a negative idf becomes epsilon times the mean over all terms.
+
+    Terms of one df share one row of a histogram, so what meets in one row are the different dfs and the wanted terms.
+    """
+    marked = stats.join(F.broadcast(wanted.select(F.col("term").alias("_t"))), F.col("term") == F.col("_t"), "left")
+    keep = F.when(F.col("_t").isNotNull() | (F.col("term") == ALL), F.col("term"))
+    rows = marked.groupBy("df", keep.alias("term")).agg(F.count("*").alias("m"), F.max("length").alias("length"))
+    one = rows.agg(F.collect_list(F.struct("df", "term", "m")).alias("h"), F.max("length").alias("length"), F.max(F.when(F.col("term") == ALL, F.col("df"))).cast("double").alias("n"))
+    real = F.filter("h", lambda x: x["term"].isNull() | (x["term"] != ALL))
+    terms = F.aggregate(real, F.lit(0.0), lambda a, x: a + x["m"])
+    mean = F.aggregate(real, F.lit(0.0), lambda a, x: a + x["m"] * raw_idf(x["df"], F.col("n"))) / terms
+    rows = one.select(F.explode(F.filter("h", lambda x: x["term"] != ALL)).alias("x"), "n", mean.alias("mean"), (F.col("length") / F.col("n")).alias("avgdl"))
+    idf = raw_idf(F.col("x.df"), F.col("n"))
+    return rows.select("x.term", "x.df", F.when(idf < 0, conf.epsilon * F.col("mean")).otherwise(idf).alias("idf"), "avgdl")
+
+
+def term_stats(docs: DataFrame, id_col: str, text_col: str, conf: Bm25 = Bm25()) -> DataFrame:
+    """term, df, idf of all terms."""
+    stats = frequencies(docs, id_col, text_col)
+    n = stats.where(F.col("term") == ALL).select(F.col("df").cast("double")).scalar()
+    raw = stats.where(F.col("term") != ALL).select("term", "df", raw_idf(F.col("df"), n).alias("raw"))
+    mean = raw.agg(F.avg("raw")).scalar()
+    return raw.select("term", "df", F.when(F.col("raw") < 0, conf.epsilon * mean).otherwise(F.col("raw")).alias("idf"))
 
 
 def bm25_scores(docs: DataFrame, queries: DataFrame, id_col: str, text_col: str, conf: Bm25 = Bm25()) -> DataFrame:
     """query_id, id, score for all documents that share a word with the query; repeated query words count each time.
 
-    Only words of some query leave the scan: the (small) query side is broadcast, the postings never exist as a table.
+    Documents are read twice, once for document frequencies and lengths and once for the words of some query, which alone
+    leave the second scan; the postings never exist as a table.  Queries come in batches that fit a broadcast.
     """
-    rows = tokenised(docs, id_col, text_col)
     wanted = queries.select("query_id", F.explode(tokens(F.col("query"))).alias("term")).groupBy("query_id", "term").agg(F.count("*").alias("times"))
-    stats = wanted.select("term").distinct().join(term_stats(docs, id_col, text_col, conf), "term")
-    weighted = wanted.join(stats, "term").select("query_id", "term", (F.col("times") * F.col("idf")).alias("w"))
-    average = rows.agg(F.avg(F.size("words")).alias("avgdl"))
+    stats = collection(frequencies(docs, id_col, text_col), wanted.select("term").distinct(), conf)
+    weighted = wanted.join(stats, "term").select("query_id", "term", "avgdl", (F.col("times") * F.col("idf")).alias("w"))
+    rows = tokenised(docs, id_col, text_col)
     found = rows.select("id", F.size("words").alias("dl"), F.explode("words").alias("term")).join(F.broadcast(weighted), "term")
-    tf = found.groupBy("query_id", "id", "dl", "term", "w").agg(F.count("*").alias("tf"))
+    tf = found.groupBy("query_id", "id", "dl", "avgdl", "term", "w").agg(F.count("*").alias("tf"))
     part = F.col("w") * F.col("tf") * (conf.k1 + 1) / (F.col("tf") + conf.k1 * (1 - conf.b + conf.b * F.col("dl") / F.col("avgdl")))
-    return tf.join(F.broadcast(average)).groupBy("query_id", "id").agg(F.round(F.sum(part), 6).alias("score"))
+    return tf.groupBy("query_id", "id").agg(F.round(F.sum(part), 6).alias("score"))
 
 
 def bm25_topk(docs: DataFrame, queries: DataFrame, id_col: str, text_col: str, k: int, conf: Bm25 = Bm25()) -> DataFrame:
     """query_id, id, score, rank: the best k by (-score, id); documents without a shared word score 0 and fill up."""
     scores = bm25_scores(docs, queries, id_col, text_col, conf)
     first = docs.select(F.col(id_col).alias("id")).orderBy("id").limit(k)
-    zeros = first.join(F.broadcast(queries.select("query_id"))).withColumn("score", F.lit(0.0)).select("query_id", "id", "score")
+    zeros = first.join(queries.select("query_id")).withColumn("score", F.lit(0.0)).select("query_id", "id", "score")
     # A document with a negative score ranks behind all that share no word, so the zeros compete like any other row.
     best = scores.unionByName(zeros).groupBy("query_id", "id").agg(F.sum("score").alias("score"))
     w = Window.partitionBy("query_id").orderBy(F.desc("score"), "id")

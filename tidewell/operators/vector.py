@@ -6,7 +6,7 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..settings import Vectors
@@ -70,14 +70,15 @@ def merge_weights(a: Column, b: Column) -> Column:
 
 def hashed_ngrams(dim: int = 256, n: int = 3) -> Callable[[str], np.ndarray]:
     """The offline encoder: character n-grams hashed into ``dim`` places, unit length."""
-    from zlib import crc32
 
     def encode(text: str) -> np.ndarray:
-        out, s = np.zeros(dim, np.float32), f" {text} "
-        for i in range(max(1, len(s) - n + 1)):
-            out[crc32(s[i : i + n].encode()) % dim] += 1
-        norm = np.linalg.norm(out)
-        return out / norm if norm else out
+        codes = np.frombuffer(f" {text} ".encode("utf-32-le", "surrogatepass"), np.uint32).astype(np.uint64)
+        size = max(1, len(codes) - n + 1)
+        h = np.zeros(size, np.uint64)
+        for k in range(min(n, len(codes))):
+            h = (h + codes[k : k + size]) * np.uint64(0x9E3779B97F4A7C15)
+        out = np.bincount((h >> np.uint64(40)) % np.uint64(dim), minlength=dim).astype(np.float32)
+        return out / np.linalg.norm(out)
 
     return encode
 
@@ -94,6 +95,35 @@ def encoder(make: Callable[[], Callable[[str], np.ndarray]] = hashed_ngrams, pre
     return encode
 
 
+class VectorStore:
+    """Vectors of texts by the texts' hash, as Parquet in a shared folder; batches of new ones are appended."""
+
+    def __init__(self, spark: SparkSession, path: str):
+        self.spark, self.path = spark, path
+
+    def read(self) -> DataFrame:
+        """digest, embedding."""
+        return self.spark.read.schema("digest string, embedding array<float>").parquet(self.path)
+
+    def recreate(self, corpus: DataFrame, encode: Callable[[Column], Column], text_col: str = "text") -> None:
+        """All texts anew; each different text is encoded once."""
+        self._encoded(corpus, encode, text_col).write.mode("overwrite").parquet(self.path)
+
+    def append(self, corpus: DataFrame, encode: Callable[[Column], Column], text_col: str = "text") -> None:
+        """Vectors of the texts that have none yet."""
+        self._encoded(missing_vectors(corpus, self.read(), text_col), encode, text_col).write.mode("append").parquet(self.path)
+
+    @staticmethod
+    def _encoded(corpus: DataFrame, encode: Callable[[Column], Column], text_col: str) -> DataFrame:
+        text = F.coalesce(F.col(text_col), F.lit(""))
+        each = corpus.groupBy(F.sha2(text, 256).alias("digest")).agg(F.min(text).alias("t"))
+        return each.select("digest", encode(F.col("t")).alias("embedding"))
+
+    def attach(self, corpus: DataFrame, text_col: str = "text") -> DataFrame:
+        """``corpus`` with its vectors."""
+        return corpus.withColumn("_d", F.sha2(F.coalesce(F.col(text_col), F.lit("")), 256)).join(self.read(), F.col("_d") == F.col("digest"), "left").drop("_d", "digest")
+
+
 def missing_vectors(corpus: DataFrame, known: DataFrame, text_col: str = "text") -> DataFrame:
     """Rows whose text has no vector yet, by the text's hash; ``known``: digest."""
     return corpus.withColumn("digest", F.sha2(F.coalesce(F.col(text_col), F.lit("")), 256)).join(known.select("digest").distinct(), "digest", "left_anti")

@@ -51,7 +51,7 @@ def parse(plan: Column, least_weight: float = 0.15, conf: Constraints = Constrai
 
 def score(kind: Column, value: Column, plan: Column, place: Column, now: int, parity: bool = True, conf: Constraints = Constraints()) -> Column:
     """How far a place meets one constraint. ``parity``: a price limit is compared with the level as it stands; otherwise as a level."""
-    has = F.array_contains(place["attributes"], value)
+    has = F.exists(place["attributes"], lambda a: fold(a) == fold(value))
     as_number = F.when(has, 1.0).otherwise(0.0)
     yes = lambda c: F.when(F.coalesce(c, F.lit(False)), 1.0).otherwise(0.0)
     opens, closes, late = hours.opening(place["opening_hours"]), hours.closing(place["opening_hours"]), hours.late_closing(place["opening_hours"])

@@ -11,7 +11,9 @@ from ..functions import geo
 from ..functions.text import fold
 from ..operators import lexical, pool, vector
 from ..settings import WEIGHTS, Settings
-from . import signals
+from ..sources import shared
+from . import constraints, rewrite, signals, understand
+from .lexicon import Lexicon, from_corpus
 
 
 def override(plan: Column) -> Column:
@@ -91,6 +93,40 @@ def search(corpus: DataFrame, vectors: DataFrame, plans: DataFrame, limit: int |
     return rows.withColumn("place", F.row_number().over(w)).where(F.col("place") <= most).withColumn("score", displayed(profile))
 
 
+class Engine:
+    """Search from text: lexicon and vocabulary from the corpus, plans from the queries, results from :func:`search`.
+
+    ``places``: as :func:`tidewell.sources.corpus.places` gives them (without a ``document`` column, ``description`` is searched).
+    ``encode`` makes vectors of texts; ``store``: where those of places are kept, else they are made now, once.
+    """
+
+    def __init__(self, places: DataFrame, base: Lexicon | None = None, encode=None, store: vector.VectorStore | None = None, conf: Settings = Settings()):
+        self.conf, self.encode = conf, encode or vector.encoder()
+        self.lexicon = from_corpus(places, base)
+        self.vocabulary = rewrite.of_corpus(places, self.lexicon, conf.rewrite).kept()
+        text = "document" if "document" in places.columns else "description"
+        corpus = places.drop("vec_id").withColumn("description", F.col(text)).withColumn("vec_id", F.sha2(F.coalesce(F.col(text), F.lit("")), 256))
+        if store is None:
+            store = vector.VectorStore(places.sparkSession, f"{shared.folder(places.sparkSession)}/vectors")
+            store.recreate(corpus, lambda t: self.encode(F.concat(F.lit("passage: "), t)), "description")
+        vectors = store.read().withColumnRenamed("digest", "vec_id")
+        self.corpus, self.vectors = corpus, vectors
+
+    def plans(self, queries: DataFrame, user: tuple[float, float] | None = None, **options) -> DataFrame:
+        """query_id, query, plan, qvec of (query_id, query)."""
+        found = understand.plans(queries, self.lexicon, self.conf, self.vocabulary, **options)
+        found = with_user(found, *user) if user else found
+        found = found.withColumn("query", F.col("plan.query"))
+        accented = rewrite.restored(found.select("query_id", F.col("query").alias("text")), self.vocabulary.forms, self.conf.rewrite)
+        found = found.join(accented, "query_id").withColumn("qvec", self.encode(F.concat(F.lit("query: "), "text"))).drop("text")
+        return shared.kept(found, f"{shared.folder(queries.sparkSession)}/plans")
+
+    def search(self, queries: DataFrame, limit: int | None = None, user: tuple[float, float] | None = None, now: int = 720, profile: str = "with_dense", filters: dict | None = None, **options) -> DataFrame:
+        """The best places of each query with place, score, signals and constraints met and relaxed."""
+        rows = search(self.corpus, self.vectors, self.plans(queries, user, **options), limit, profile=profile, conf=self.conf, now=now, **(filters or {}))
+        return constraints.annotate(rows, now, conf=self.conf.constraints)
+
+
 def ladder(corpus: DataFrame, vectors: DataFrame, plans: DataFrame, k: int = 10, conf: Settings = Settings(), now: int = 720) -> dict[str, DataFrame]:
     """Rankings (query_id, id, rank) of the steps of an ablation: words only, with rules, with distance, with vectors."""
     words = lexical.bm25_topk(corpus, plans.select("query_id", "query"), "poi_id", "description", k, conf.bm25).select("query_id", "id", "rank")

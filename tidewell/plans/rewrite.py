@@ -1,120 +1,154 @@
-"""Query text rewriting: abbreviations, diacritics, typos. Queries are few and short; corpora never pass here."""
+"""Query rewriting in DataFrame steps: abbreviations, accents, typos.
+
+Each step takes and gives (query_id, text).  What is looked up are tables made from the phrases of a lexicon or of a whole
+corpus (:class:`Vocabulary`); a query only meets the entries that its own words or their deletion variants select, by joins, so
+no dictionary is held in memory.
+"""
 
 from __future__ import annotations
 
 import re
-from functools import lru_cache
+from dataclasses import dataclass, fields
 
-import pandas as pd
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from ..functions.text import fold_text
+from ..functions.text import fold, fold_text, has_marks, letter_words, ngrams
+from ..operators.joins import edit1_pairs
 from ..settings import Rewrite
-from .lexicon import GRAMMAR, STOP_WORDS, Lexicon
-
-WORD = re.compile(r"[^\W\d_]+")
-EDGE = ".,;:!?()\"'"
-
-
-class Rewriter:
-    def __init__(self, lexicon: Lexicon = Lexicon(), conf: Rewrite = Rewrite()):
-        self.lexicon, self.conf = lexicon, conf
-        phrases = lexicon.phrases()
-        self.grams: dict[int, dict[str, str]] = {n: {} for n in range(1, conf.max_gram + 1)}
-        self.accented: set[str] = set()
-        self.pairs: set[tuple[str, str]] = set()
-        votes: dict[tuple[int, str], dict[str, int]] = {}
-        for p in phrases:
-            words = WORD.findall(p)
-            keys = [fold_text(w) for w in words]
-            self.accented.update(words)
-            self.pairs.update(zip(keys, keys[1:], strict=False))
-            for n in self.grams:
-                for i in range(len(words) - n + 1):
-                    value = " ".join(words[i : i + n])
-                    own = votes.setdefault((n, fold_text(value)), {})
-                    own[value] = own.get(value, 0) + 1
-        for (n, key), own in votes.items():
-            self.grams[n][key] = max(own, key=own.get)  # the first seen of equally frequent ones
-        self.targets = self.grams[1]
-        self.known = set(self.targets) | {fold_text(w) for w in GRAMMAR} | set(STOP_WORDS)
-
-    def abbreviations(self, text: str) -> str:
-        out = re.sub(r"(?<![^\W_])[qQ]\.?(\d{1,2})(?![^\W_])", r"quận \1", text)
-        for short in sorted(self.lexicon.abbreviations, key=lambda s: (-len(s), s)):
-            out = re.sub(rf"(?<![^\W_]){re.escape(short)}(?![^\W_])", self.lexicon.abbreviations[short], out, flags=re.IGNORECASE)
-        return out
-
-    def diacritics(self, text: str) -> str:
-        """Accents for an unaccented text: longest phrases first, words last; too few known words leave it alone."""
-        if fold_text(text) != text.lower():
-            return text
-        tokens, out, found, i = text.split(), [], 0, 0
-        letters = sum(t.isalpha() for t in tokens)
-        while i < len(tokens):
-            for n in range(min(self.conf.max_gram, len(tokens) - i), 0, -1):
-                value = self.grams[n].get(" ".join(t.lower() for t in tokens[i : i + n]))
-                if value is not None:
-                    out.append(value)
-                    found, i = found + n, i + n
-                    break
-            else:
-                out.append(tokens[i])
-                i += 1
-        return " ".join(out) if letters and found / letters >= self.conf.min_coverage else text
-
-    def resolve(self, core: str, before: str | None, after: str | None) -> str | None:
-        """The only word one edit away; of several, the only one that forms a known pair with a neighbour."""
-        if fold_text(core) != core.lower():
-            found = {t for t in self.accented if distance_is_one(core.lower(), t)}
-        else:
-            found = {v for k, v in self.targets.items() if distance_is_one(fold_text(core), k)}
-        if len(found) > 1:
-            found = {c for c in found if (before, fold_text(c)) in self.pairs or (fold_text(c), after) in self.pairs}
-        return found.pop() if len(found) == 1 else None
-
-    def without_junk(self, core: str, before: str | None, after: str | None) -> str | None:
-        if len(core) < self.conf.junk_min_token or core[-1].lower() not in self.conf.junk:
-            return None
-        rest = core[:-1]
-        key = fold_text(rest)
-        return self.targets.get(key, rest) if key in self.known else self.resolve(rest, before, after)
-
-    def typos(self, text: str) -> str:
-        if not self.conf.typo_fix:
-            return text
-        tokens = text.split()
-        keys = [fold_text(t.strip(EDGE)) for t in tokens]
-        for i, token in enumerate(list(tokens)):
-            core = token.strip(EDGE)
-            if len(core) < self.conf.min_token or not core.isalpha() or keys[i] in self.known:
-                continue
-            around = (keys[i - 1] if i else None, keys[i + 1] if i + 1 < len(keys) else None)
-            fixed = self.resolve(core, *around) or self.without_junk(core, *around)
-            if fixed:
-                tokens[i] = token.replace(core, fixed)
-        return " ".join(tokens)
-
-    def preprocess(self, text: str) -> str:
-        return self.typos(self.diacritics(self.abbreviations(text)))
-
-
-@lru_cache(maxsize=65536)
-def distance_is_one(a: str, b: str) -> bool:
-    """One insertion, deletion or substitution apart?"""
-    if abs(len(a) - len(b)) > 1 or a == b:
-        return False
-    short, long = sorted((a, b), key=len)
-    k = next((i for i, (x, y) in enumerate(zip(short, long, strict=False)) if x != y), len(short))
-    return short[k + (len(a) == len(b)) :] == long[k + 1 :]
-
-
-def column(step: str = "preprocess", lexicon: Lexicon = Lexicon(), conf: Rewrite = Rewrite()):
-    """A column function that applies one step of the rewriter."""
-
-    @F.pandas_udf("string")
-    def run(texts: pd.Series) -> pd.Series:
-        f = getattr(Rewriter(lexicon, conf), step)
-        return texts.map(lambda t: None if t is None else f(t))
-
-    return run
+from ..sources import shared
+from .lexicon import GRAMMAR, STOP_WORDS, Lexicon, accent_votes, first_wins
+
+#: Marks that may stand at the edges of a word.
+EDGE = re.escape(".,;:!?()\"'")
+NO_WORD_AROUND = (r"(?<![\p{L}\p{N}_])", r"(?![\p{L}\p{N}_])")
+
+
+@dataclass(frozen=True)
+class Vocabulary:
+    """forms: key, value (folded words and phrases with their usual accented form); targets: key, value (first form of each folded
+    word); accented: value; known: key (words that are no typos); pairs: left, right (folded neighbours within phrases)."""
+
+    forms: DataFrame
+    targets: DataFrame
+    accented: DataFrame
+    known: DataFrame
+    pairs: DataFrame
+
+    def kept(self) -> Vocabulary:
+        """The same tables, written: many joins read them, and none should make them again."""
+        root = shared.folder(self.forms.sparkSession)
+        return Vocabulary(**{f.name: shared.kept(getattr(self, f.name), f"{root}/{f.name}") for f in fields(self)})
+
+
+def vocabulary(phrases: DataFrame, also_known: DataFrame | None = None, conf: Rewrite = Rewrite()) -> Vocabulary:
+    """Tables from phrases (o: their order, phrase); ``also_known``: word, in any form."""
+    rows = phrases.select("o", F.lower("phrase").alias("phrase"), letter_words(F.lower(F.col("phrase"))).alias("w"))
+    words = rows.select("o", F.posexplode("w").alias("i", "value")).withColumn("key", fold(F.col("value"))).withColumn("at", F.struct("o", "i"))
+    whole = rows.where(F.size("w").between(2, conf.max_gram)).select("o", F.array_join("w", " ").alias("value"))
+    whole = whole.groupBy("value").agg(F.count("*").alias("n"), F.min("o").alias("o")).withColumn("key", fold(F.col("value")))
+    best = whole.groupBy("key").agg(F.min_by("value", F.struct(-F.col("n"), "o")).alias("value"))
+    forms = accent_votes(phrases, "phrase", "o").select("key", "value").unionByName(best)
+    targets = first_wins(words, "key", "value", "at")
+    extra = phrases.sparkSession.createDataFrame([(w,) for w in sorted({fold_text(w) for w in [*GRAMMAR, *STOP_WORDS]})], "key string")
+    known = targets.select("key").unionByName(extra)
+    if also_known is not None:
+        known = known.unionByName(also_known.select(fold(F.col("word")).alias("key")))
+    pairs = rows.select(F.explode(ngrams(F.transform("w", fold), 2)).alias("g")).distinct().select(F.split("g", " ")[0].alias("left"), F.split("g", " ")[1].alias("right"))
+    return Vocabulary(forms, targets, words.select("value").distinct(), known.distinct(), pairs)
+
+
+def of_lexicon(spark: SparkSession, lexicon: Lexicon | None = None, conf: Rewrite = Rewrite()) -> Vocabulary:
+    rows = list(enumerate((lexicon or Lexicon()).phrases()))
+    return vocabulary(spark.createDataFrame(rows, "o long, phrase string"), conf=conf)
+
+
+def of_corpus(places: DataFrame, lexicon: Lexicon, conf: Rewrite = Rewrite()) -> Vocabulary:
+    """The phrases of a lexicon first, then names, categories, districts, cities and attributes of the corpus; words of descriptions are known."""
+    own = places.sparkSession.createDataFrame([("", k, p) for k, p in enumerate(lexicon.phrases())], "id string, k int, phrase string")
+    parts = F.concat(F.array(*[F.coalesce(c, F.lit("")) for c in ("name", "category", "district", "city")]), "attributes")
+    theirs = places.select(F.col("poi_id").alias("id"), F.posexplode(parts).alias("k", "phrase"))
+    both = own.unionByName(theirs).where("phrase <> ''")
+    phrases = both.select(F.concat_ws(":", "id", F.lpad(F.col("k").cast("string"), 9, "0")).alias("o"), "phrase")  # the lexicon's sort first
+    return vocabulary(phrases, places.select(F.explode(letter_words(F.col("description"))).alias("word")).distinct(), conf)
+
+
+def expanded(text: Column, abbreviations: dict[str, str]) -> Column:
+    """q1 to q99 as districts, then every abbreviation that stands alone, in any case."""
+    before, after = NO_WORD_AROUND
+    out = F.regexp_replace(text, before + r"[qQ](\d{1,2})" + after, "quận $1")
+    for short, full in abbreviations.items():
+        out = F.regexp_replace(out, f"(?iu){before}\\Q{short}\\E{after}", full)
+    return out
+
+
+def restored(queries: DataFrame, forms: DataFrame, conf: Rewrite = Rewrite()) -> DataFrame:
+    """Accents for texts without any: from left to right the longest known phrase, else the word's usual form.
+
+    A text stays as it is if fewer than ``min_coverage`` of its words would change.
+    """
+    words = F.split(F.trim(fold(F.col("text"))), r"\s+")
+    rows = queries.select("query_id", "text", words.alias("w")).withColumn("bare", (F.trim("text") != "") & ~has_marks(F.col("text")))
+    grams = rows.where("bare").select("query_id", F.explode(F.array_distinct(F.concat(*[ngrams(F.col("w"), n) for n in range(1, conf.max_gram + 1)]))).alias("key"))
+    found = grams.join(forms, "key").groupBy("query_id").agg(F.map_from_entries(F.collect_list(F.struct("key", "value"))).alias("forms"))
+    rows = rows.join(found, "query_id", "left")
+
+    def at(i: Column, n: int) -> Column:
+        run = F.slice("w", i + 1, n)
+        value = F.try_element_at("forms", F.array_join(run, " "))
+        changed = F.size(F.filter(F.zip_with(F.split(value, " "), run, lambda a, b: a != b), lambda x: x))
+        return F.when((i + n <= F.size("w")) & value.isNotNull(), F.struct(F.lit(n).alias("n"), value.alias("value"), changed.alias("changed")))
+
+    def step(acc: Column, i: Column) -> Column:
+        as_is = F.struct(F.lit(1).alias("n"), F.get("w", i).alias("value"), F.lit(0).alias("changed"))
+        hit = F.coalesce(*[at(i, n) for n in range(conf.max_gram, 0, -1)], as_is)
+        taken = F.struct((hit["n"] - 1).alias("skip"), F.concat(acc["out"], F.array(hit["value"])).alias("out"), (acc["changed"] + hit["changed"]).alias("changed"))
+        passed = F.struct((acc["skip"] - 1).alias("skip"), acc["out"].alias("out"), acc["changed"].alias("changed"))
+        return F.when(acc["skip"] > 0, passed).otherwise(taken)
+
+    start = F.struct(F.lit(0).alias("skip"), F.array().cast("array<string>").alias("out"), F.lit(0).alias("changed"))
+    walked = F.aggregate(F.sequence(F.lit(0), F.size("w") - 1), start, step)
+    letters = F.greatest(F.size(F.filter("w", lambda x: x.rlike(r"^\p{L}+$"))), F.lit(1))
+    rows = rows.withColumn("new", F.when(F.col("bare") & F.col("forms").isNotNull(), walked))
+    return rows.select("query_id", F.when(F.col("new.changed") / letters >= conf.min_coverage, F.array_join("new.out", " ")).otherwise(F.col("text")).alias("text"))
+
+
+def resolved(rows: DataFrame, v: Vocabulary) -> DataFrame:
+    """query_id, pos, fixed: the one word an edit away from ``core`` (accented words among accented ones, others among folded ones).
+
+    Of several, the one that forms a known pair with a neighbour; without a single one left, no row.
+    """
+    rows = rows.withColumn("marked", has_marks(F.col("core"))).withColumn("token", F.when(F.col("marked"), F.lower("core")).otherwise(fold(F.col("core"))))
+    exact = edit1_pairs(rows.where("marked").select("token"), v.accented.select(F.col("value").alias("candidate"))).select("token", F.col("candidate").alias("value"), F.lit(True).alias("marked"))
+    loose = edit1_pairs(rows.where("not marked").select("token"), v.targets.select(F.col("key").alias("candidate"))).join(v.targets, F.col("candidate") == F.col("key")).select("token", "value", F.lit(False).alias("marked"))
+    found = rows.join(exact.unionByName(loose), ["token", "marked"]).select("query_id", "pos", "before", "after", "value").distinct().withColumn("key", fold(F.col("value")))
+    left, right = v.pairs.select(F.col("left").alias("before"), F.col("right").alias("key"), F.lit(True).alias("follows")), v.pairs.select(F.col("left").alias("key"), F.col("right").alias("after"), F.lit(True).alias("leads"))
+    found = found.join(left, ["before", "key"], "left").join(right, ["key", "after"], "left").withColumn("fits", F.coalesce("follows", "leads", F.lit(False)))
+    one = found.groupBy("query_id", "pos").agg(F.count("*").alias("n"), F.min("value").alias("any"), F.count_if("fits").alias("n_fit"), F.min(F.when(F.col("fits"), F.col("value"))).alias("fit"))
+    return one.select("query_id", "pos", F.when(F.col("n") == 1, F.col("any")).when(F.col("n_fit") == 1, F.col("fit")).alias("fixed")).where("fixed is not null")
+
+
+def corrected(queries: DataFrame, v: Vocabulary, conf: Rewrite = Rewrite()) -> DataFrame:
+    """Single typos mended; a trailing letter that no syllable ends in may be dropped first. Known, short and other than letter words stay."""
+    if not conf.typo_fix:
+        return queries.select("query_id", "text")
+    words = queries.select("query_id", F.posexplode(F.split(F.trim("text"), r"\s+")).alias("pos", "token"))
+    words = words.withColumn("core", F.regexp_replace("token", f"^[{EDGE}]+|[{EDGE}]+$", "")).withColumn("key", fold(F.col("core")))
+    order = Window.partitionBy("query_id").orderBy("pos")
+    words = words.withColumn("before", F.lag("key").over(order)).withColumn("after", F.lead("key").over(order))
+    odd = words.where((F.char_length("core") >= conf.min_token) & F.col("core").rlike(r"^\p{L}+$")).join(v.known, "key", "left_anti")
+    one = resolved(odd, v)
+    last = F.lower(F.expr("right(core, 1)"))
+    longer = odd.join(one, ["query_id", "pos"], "left_anti").where((F.char_length("core") >= conf.junk_min_token) & last.isin(*conf.junk))
+    cut = longer.withColumn("core", F.expr("left(core, char_length(core) - 1)")).withColumn("key", fold(F.col("core")))
+    plain = cut.join(v.known, "key").join(v.targets, "key", "left").select("query_id", "pos", F.coalesce("value", "core").alias("fixed"))
+    fixes = one.unionByName(plain).unionByName(resolved(cut.join(v.known, "key", "left_anti"), v))
+    out = words.join(fixes, ["query_id", "pos"], "left").withColumn("token", F.when(F.col("fixed").isNotNull(), F.replace("token", "core", "fixed")).otherwise(F.col("token")))
+    return out.groupBy("query_id").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("pos", "token"))), lambda x: x["token"]), " ").alias("text"))
+
+
+def preprocess(queries: DataFrame, v: Vocabulary, abbreviations: dict[str, str], conf: Rewrite = Rewrite()) -> DataFrame:
+    """All three steps; null texts stay null. The accented batch is written once, as the typo step reads it several times."""
+    full = queries.where("text is not null").select("query_id", expanded(F.col("text"), abbreviations).alias("text"))
+    accented = shared.kept(restored(full, v.forms, conf), f"{shared.folder(queries.sparkSession)}/accented")
+    return queries.select("query_id").join(corrected(accented, v, conf), "query_id", "left")

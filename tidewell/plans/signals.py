@@ -11,7 +11,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from ..functions import geo, hours
-from ..functions.text import contains_word
+from ..functions.text import contains_word, fold
 
 NEUTRAL = 0.5
 Signal = Callable[[Column, Column], Column]
@@ -35,8 +35,19 @@ def weight_of(weights: Column, key: Column) -> Column:
     return F.coalesce(F.try_element_at(weights, key), F.lit(0.0))
 
 
-def weight_sum(weights: Column, keys: Column) -> Column:
-    return F.aggregate(keys, F.lit(0.0), lambda a, k: a + weight_of(weights, k))
+def once(value: Column, body) -> Column:
+    """``body(value)`` with ``value`` computed once."""
+    return F.element_at(F.transform(F.array(value), body), 1)
+
+
+def has_name(own: Column, name: Column) -> Column:
+    """Is the folded name among folded ones?"""
+    return F.array_contains(own, fold(name))
+
+
+def weight_sum(weights: Column, own: Column) -> Column:
+    """Weights of the keys that are, folded, among the folded names ``own``."""
+    return F.aggregate(F.map_entries(weights), F.lit(0.0), lambda a, e: a + F.when(has_name(own, e["key"]), e["value"]).otherwise(0.0))
 
 
 def total(weights: Column) -> Column:
@@ -49,9 +60,12 @@ def category(plan: Column, place: Column) -> Column:
 
 
 def attr(plan: Column, place: Column) -> Column:
-    own, w, nw = place["attributes"], plan["attribute_weights"], plan["negated_attribute_weights"]
-    wanted, banned = plan["attr_concepts"], plan["neg_concepts"]
-    count = lambda names: F.size(F.filter(names, lambda x: F.array_contains(own, x))).cast("double")
+    w, nw = plan["attribute_weights"], plan["negated_attribute_weights"]
+    return once(F.transform(place["attributes"], fold), lambda own: _attr(own, w, nw, plan["attr_concepts"], plan["neg_concepts"]))
+
+
+def _attr(own: Column, w: Column, nw: Column, wanted: Column, banned: Column) -> Column:
+    count = lambda names: F.size(F.filter(names, lambda x: has_name(own, x))).cast("double")
     weighted = F.when(total(w) > 0, weight_sum(w, own) / F.nullif(total(w), F.lit(0.0))).otherwise(NEUTRAL) - weight_sum(nw, own) / F.greatest(total(nw), F.lit(1.0))
     plain = F.when(F.size(wanted) > 0, count(wanted) / F.greatest(F.size(wanted), F.lit(1))).otherwise(NEUTRAL) - count(banned) / F.greatest(F.size(wanted), F.lit(1))
     return F.least(F.lit(1.0), F.greatest(F.lit(0.0), F.when((F.size(w) > 0) | (F.size(nw) > 0), weighted).otherwise(plain)))

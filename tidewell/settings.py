@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import os
-from dataclasses import dataclass, field, replace
+from dataclasses import dataclass, field, fields, is_dataclass, replace
 
 #: Weight profiles, in the order in which weighted parts are added (fixed values).
 WEIGHTS: dict[str, dict[str, float]] = {
@@ -82,12 +82,47 @@ class Settings:
     poll_seconds: int = 10
 
     @staticmethod
-    def load(env: dict[str, str] | None = None, dotenv: str | None = None) -> Settings:
-        """Defaults, with the typo flag from TIDEWELL_TYPO_FIX; a real variable wins over the same one in ``dotenv``."""
+    def load(env: dict[str, str] | None = None, dotenv: str | None = None, path: str | None = None) -> Settings:
+        """Defaults, changed by a YAML or JSON file of sections, then by variables such as TIDEWELL_SEARCH_POOL=30.
+
+        A real variable wins over the same one in ``dotenv``; unknown sections, names or values of the wrong type are errors.
+        """
         found: dict[str, str] = {}
         if dotenv and os.path.exists(dotenv):
             with open(dotenv, encoding="utf-8") as f:
                 found = dict(x.strip().split("=", 1) for x in f if "=" in x and not x.lstrip().startswith("#"))
         found |= dict(os.environ if env is None else env)
-        flag = found.get("TIDEWELL_TYPO_FIX", "1") not in ("0", "false", "")
-        return Settings(rewrite=replace(Rewrite(), typo_fix=flag))
+        wanted: dict[str, dict] = {}
+        if path:
+            from .sources.corpus import read_mapping
+
+            wanted = {str(k): v for k, v in (read_mapping(path) or {}).items()}
+        out = Settings()
+        flat = {"TYPO_FIX": ("rewrite", "typo_fix")}
+        sections = {f.name: getattr(out, f.name) for f in fields(out) if is_dataclass(getattr(out, f.name))}
+        for section, value in sections.items():
+            flat |= {f"{section}_{f.name}".upper(): (section, f.name) for f in fields(value)}
+        for name, text in found.items():
+            if name.startswith("TIDEWELL_") and name[9:] in flat:
+                section, key = flat[name[9:]]
+                wanted.setdefault(section, {})[key] = text
+        for section, values in wanted.items():
+            if section in sections:
+                out = replace(out, **{section: _changed(sections[section], values)})
+            else:
+                out = _changed(out, {section: values})
+        return out
+
+
+def _changed(old, values: dict):
+    """A copy of a dataclass with these values, of the type that each has now."""
+
+    def typed(now, value):
+        if isinstance(now, bool):
+            return value if isinstance(value, bool) else str(value).strip().lower() not in ("0", "false", "no", "off", "")
+        return tuple(tuple(v) if isinstance(v, list) else v for v in value) if isinstance(now, tuple) else type(now)(value)
+
+    unknown = set(values) - {f.name for f in fields(old)}
+    if unknown:
+        raise ValueError(f"unknown settings: {sorted(unknown)}")
+    return replace(old, **{k: typed(getattr(old, k), v) for k, v in values.items()})

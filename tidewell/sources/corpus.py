@@ -3,11 +3,14 @@
 from __future__ import annotations
 
 import json
+import os
+from dataclasses import replace
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.text import clean_cell, document, fold, is_synthetic, split_list
+from ..plans.lexicon import Lexicon
 
 STRINGS = ("poi_id", "name", "brand", "category", "sub_category", "city", "district", "address", "opening_hours", "description", "status")
 DOUBLES, INTS = ("lat", "lon", "rating", "popularity"), ("review_count", "price_level")
@@ -16,7 +19,8 @@ DOUBLES, INTS = ("lat", "lon", "rating", "popularity"), ("review_count", "price_
 def read_places(spark: SparkSession, kind: str, where: str, **options) -> DataFrame:
     """Raw places from ``parquet``, ``json``, ``csv`` (with a header) or ``jdbc`` (where: the table)."""
     if kind == "jdbc":
-        return spark.read.format("jdbc").option("dbtable", where).options(**options).load()
+        rows = spark.read.format("jdbc").option("dbtable", where).options(**options).load()
+        return rows.orderBy("row_order") if "row_order" in rows.columns else rows
     if kind not in ("parquet", "json", "csv"):
         raise ValueError(f"unknown source: {kind}")
     reader = spark.read.options(**options)
@@ -52,22 +56,43 @@ def read_json(spark: SparkSession, path: str, schema: str | None = None) -> Data
 
 def read_lexicon(spark: SparkSession, path: str) -> DataFrame:
     """key, surface rows of a YAML or JSON mapping of lists; small by contract, so it is read on the driver."""
+    data = read_mapping(path)
+    return spark.createDataFrame([(str(k), str(s)) for k, v in data.items() for s in (v if isinstance(v, list) else [v])], "key string, surface string")
+
+
+def lexicon_of(spark: SparkSession, folder: str, base: Lexicon | None = None) -> Lexicon:
+    """``base`` with what the files of a folder say: categories, city_aliases, abbreviations, antonyms, attributes, landmarks (.yaml or .json).
+
+    A category or city maps to surfaces, an abbreviation or antonym to one text, a landmark to [latitude, longitude, city].
+    """
+    out = base or Lexicon()
+    for name, target in (("categories", "categories"), ("city_aliases", "cities"), ("abbreviations", "abbreviations"), ("antonyms", "antonyms"), ("attributes", "attributes"), ("landmarks", "landmarks")):
+        for kind in ("yaml", "json"):
+            path = f"{folder.rstrip('/')}/{name}.{kind}"
+            if os.path.exists(path):
+                data = read_mapping(path)
+                value = list(data) if target == "attributes" else {str(k): tuple(v) if target == "landmarks" else [str(x) for x in v] if target in ("categories", "cities") else str(v) for k, v in data.items()}
+                out = replace(out, **{target: value})
+    return out
+
+
+def read_mapping(path: str):
+    """A JSON or YAML file; small by contract, read on the driver."""
     with open(path, encoding="utf-8") as f:
         text = f.read()
     try:
-        data = json.loads(text)
+        return json.loads(text)
     except ValueError:
         import yaml
 
-        data = yaml.safe_load(text)
-    return spark.createDataFrame([(str(k), str(s)) for k, v in data.items() for s in (v if isinstance(v, list) else [v])], "key string, surface string")
+        return yaml.safe_load(text)
 
 
 def poi_view(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Places built from documents, parts and embeddings by key arithmetic (see FIXTURES.md §3)."""
     t = lambda n: spark.read.parquet(f"{sf_dir}/{n}.parquet")
     d, p, e = t("documents"), t("part"), t("embeddings")
-    n_p, n_e = p.count(), e.count()
+    n_p, n_e = (x.agg(F.count("*")).scalar() for x in (p, e))  # subqueries: nothing runs while the view is built
     rows = d.join(p, p.p_partkey == d.doc_id % n_p, "left").join(e.select("vec_id"), F.col("vec_id") == d.doc_id % n_e, "left")
     i = F.col("doc_id")
     known = i % 97 != 0

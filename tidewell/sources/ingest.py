@@ -20,7 +20,10 @@ REQUIRED = ("poi_id", "name", "category", "city")
 
 
 def validate(batch: DataFrame, json_col: str = "record") -> tuple[DataFrame, DataFrame]:
-    """(valid records, rejects with errors) of JSON texts. Numeric strings count as numbers; unknown fields are errors."""
+    """(valid records, rejects with errors) of JSON texts. Numeric strings count as numbers; unknown fields are errors.
+
+    A column ``position`` of the batch, if there is one, goes along with the valid records.
+    """
     number = {f.split()[0]: f.split()[1] for f in RECORD.split(", ") if f.split()[1] in ("double", "int")}
     raw_schema = ", ".join(f"{n} string" if n in number else f for f, n in zip(RECORD.split(", "), FIELDS, strict=True))
     keys = F.json_object_keys(json_col)
@@ -30,7 +33,7 @@ def validate(batch: DataFrame, json_col: str = "record") -> tuple[DataFrame, Dat
     wrong = F.array(*[F.when(F.col(f"_r.{f}").isNotNull() & F.col(f"_r.{f}").try_cast(t).isNull(), F.lit(f"not a number: {f}")) for f, t in number.items()])
     errors = F.when(F.col("_k").isNull(), F.array(F.lit("not a JSON object"))).otherwise(F.filter(F.concat(unknown, missing, wrong), lambda e: e.isNotNull()))
     rows = rows.withColumn("errors", errors)
-    valid = rows.where(F.size("errors") == 0).select(*[F.col(f"_r.{f}").try_cast(number[f]).alias(f) if f in number else F.col(f"_r.{f}").alias(f) for f in FIELDS])
+    valid = rows.where(F.size("errors") == 0).select(*[F.col(f"_r.{f}").try_cast(number[f]).alias(f) if f in number else F.col(f"_r.{f}").alias(f) for f in FIELDS], *[c for c in ("position",) if c in batch.columns])
     return valid, rows.where(F.size("errors") > 0).select(json_col, "errors")
 
 
@@ -52,7 +55,7 @@ class Throttled(Exception):
 
 def verify(rows: DataFrame, client: Callable[[], Callable[[str], tuple[float, float, float, str] | None]], conf: Verify = Verify(), sleep: Callable[[float], None] = time.sleep) -> DataFrame:
     """``rows`` plus status and reasons. ``client()`` makes, once per task, a function address -> (score, lat, lon, type) or None."""
-    shape = rows.select("poi_id", "address", "lat", "lon")
+    rows = rows.drop("status", "reasons")
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         ask = client()
@@ -74,33 +77,43 @@ def verify(rows: DataFrame, client: Callable[[], Callable[[str], tuple[float, fl
                         break
                 out.append((*(found or (None, None, None, None)), note))
             extra = pd.DataFrame(out, columns=["g_score", "g_lat", "g_lon", "g_type", "note"], index=b.index)
-            yield pd.concat([b[["poi_id", "lat", "lon", "address"]], extra], axis=1)
+            yield pd.concat([b["_row"], extra], axis=1)
 
-    asked = shape.mapInPandas(run, "poi_id string, lat double, lon double, address string, g_score double, g_lat double, g_lon double, g_type string, note string")
+    # Every row gets its own answer: rows of one id may have different addresses.
+    numbered = rows.withColumn("_row", F.to_json(F.struct(*rows.columns)))
+    asked = numbered.select("_row", "address").mapInPandas(run, "_row string, g_score double, g_lat double, g_lon double, g_type string, note string")
+    asked = asked.withColumn("_r", F.from_json("_row", rows.schema)).select("_r.*", "g_score", "g_lat", "g_lon", "g_type", "note")
     metres = haversine_km(F.col("lat"), F.col("lon"), F.col("g_lat"), F.col("g_lon")) * 1000
     status, reasons = decide(F.col("g_score"), metres, F.col("g_type"), F.col("address"), conf)
-    verdict = asked.select("poi_id", status.alias("status"), F.coalesce(F.concat(F.lit("error: "), F.col("note")), reasons).alias("reasons"))
-    return rows.drop("status", "reasons").join(verdict.dropDuplicates(["poi_id"]), "poi_id", "left")
+    return asked.select(*rows.columns, status.alias("status"), F.coalesce(F.concat(F.lit("error: "), F.col("note")), reasons).alias("reasons"))
+
+
+#: New rows that one task numbers.
+NUMBERED_TOGETHER = 65_536
 
 
 def upsert(old: DataFrame, batch: DataFrame, key: str = "poi_id", order: str = "row_order", position: str | None = None) -> DataFrame:
-    """Old rows with the batch's values where keys agree; new keys get the next orders. Of a key repeated in the batch the last row (by ``position``) counts.
+    """Old rows with the batch's values where keys agree; new keys get the next orders, in the order of the batch.
 
-    New keys are numbered within key ranges: a count per range, then a rank in each, so no task sees all of them.
+    ``position``: the column that says that order (without one, the order in which the batch is read).  Of a key repeated in the
+    batch the last row counts; a new one is numbered by its first row.  Positions are cut into stretches of NUMBERED_TOGETHER: a
+    count per stretch, then a rank in each, so no task sees all new rows.
     """
-    if position:
-        batch = batch.groupBy(key).agg(*[F.max_by(c, position).alias(c) for c in batch.columns if c not in (key, position)])
-    top = old.agg(F.coalesce(F.max(order), F.lit(-1)).alias("_top"))
-    values = [c for c in batch.columns if c != key]
-    merged = old.withColumn("_old", F.lit(True)).join(batch.select(key, *[F.col(c).alias(f"_n_{c}") for c in values], F.lit(True).alias("_new")), key, "full_outer")
+    if not position:
+        position, batch = "_position", batch.withColumn("_position", F.monotonically_increasing_id())
+    values = [c for c in batch.columns if c not in (key, position)]
+    batch = batch.groupBy(key).agg(*[F.max_by(F.struct(c), position).alias(f"_n_{c}") for c in values], F.min(position).alias("_first"))
+    batch = batch.select(key, *[F.col(f"_n_{c}")[c].alias(f"_n_{c}") for c in values], "_first", F.lit(True).alias("_new"))
+    top = old.agg(F.coalesce(F.max(order), F.lit(-1))).scalar()
+    merged = old.withColumn("_old", F.lit(True)).join(batch, key, "full_outer")
     pick = lambda c: F.when(F.col("_new"), F.col(f"_n_{c}")).otherwise(F.col(c)) if c in values else F.col(c)
     kept = merged.where("_old").select(*[pick(c).alias(c) if c not in (key, order) else F.col(c) for c in old.columns])
-    fresh = merged.where("_old is null").select(key, *[F.col(f"_n_{c}").alias(c) for c in values]).withColumn("_part", F.substring(F.sha2(F.col(key), 256), 1, 2))
-    counts = fresh.groupBy("_part").agg(F.count("*").alias("n"))  # at most 256 rows
+    fresh = merged.where("_old is null").select(key, *[F.col(f"_n_{c}").alias(c) for c in values], "_first").withColumn("_part", F.floor(F.col("_first") / NUMBERED_TOGETHER))
+    counts = fresh.groupBy("_part").agg(F.count("*").alias("n"))  # a row per stretch
     before = counts.select("_part", (F.sum("n").over(Window.orderBy("_part")) - F.col("n")).alias("_before"))
-    rank = F.row_number().over(Window.partitionBy("_part").orderBy(key))
-    fresh = fresh.withColumn("_rank", rank).join(F.broadcast(before), "_part").join(F.broadcast(top))
-    fresh = fresh.withColumn(order, (F.col("_top") + F.col("_before") + F.col("_rank")).cast(old.schema[order].dataType))
+    rank = F.row_number().over(Window.partitionBy("_part").orderBy("_first", key))
+    fresh = fresh.withColumn("_rank", rank).join(before, "_part")
+    fresh = fresh.withColumn(order, (top + F.col("_before") + F.col("_rank")).cast(old.schema[order].dataType))
     return kept.unionByName(fresh.select(*[F.col(c) for c in old.columns if c in fresh.columns]), allowMissingColumns=True)
 
 
@@ -158,20 +171,36 @@ def ingest(snapshots: Snapshots, batch: DataFrame, json_col: str = "record", con
     """
     n = batch.count()
     guard(n, conf)
-    valid, rejected = validate(batch, json_col)
+    valid, rejected = validate(batch.withColumn("position", F.monotonically_increasing_id()), json_col)
     valid = verify(valid, client, conf.verify) if client else valid.withColumn("status", F.lit("unverified"))
-    version = snapshots.version()
-    ok = valid.count()
+    # Written once: a geocoder is asked once a record, and every count below is of the same answers.
+    staged = f"{snapshots.root}/batches/{uuid.uuid4().hex}"
+    valid.write.parquet(staged)
+    valid = snapshots.spark.read.schema(valid.schema).parquet(staged)
+    ok, unverified = valid.agg(F.count("*"), F.count_if(F.col("status") == "unverified")).first()
+    version, warning = snapshots.version(), {}
     if ok:
-        old = snapshots.read(version) if version else valid.limit(0).withColumn("row_order", F.lit(0))
-        version = snapshots.publish(upsert(old, valid.dropDuplicates(["poi_id"])), version)
-    unverified, warning = valid.where("status = 'unverified'").count(), {}
+        old = snapshots.read(version) if version else valid.drop("position").limit(0).withColumn("row_order", F.lit(0))
+        version = snapshots.publish(upsert(old, valid, position="position"), version)
+    snapshots.fs.delete(snapshots._path(staged.removeprefix(f"{snapshots.root}/")), True)
     if ok and after:
         try:
             after(version)
         except Exception as e:
             warning = {"warning": f"not reloaded: {type(e).__name__}"}
-    return warning | {"received": n, "accepted": ok, "rejected": rejected.count(), "version": version, "unverified_ratio": round(unverified / max(ok, 1), 3)}
+    return warning | {"received": n, "accepted": ok, "rejected": n - ok, "version": version, "unverified_ratio": round(unverified / max(ok, 1), 3)}
+
+
+def seed(snapshots: Snapshots, rows: DataFrame, position: str | None = None) -> int:
+    """A first version from a whole corpus, its row_order from 0 on in the order of ``position`` (without one, as it is read)."""
+    empty = rows.drop(*[c for c in (position,) if c]).limit(0).withColumn("row_order", F.lit(0))
+    return snapshots.publish(upsert(empty, rows, position=position), snapshots.version())
+
+
+def backfill_version(snapshots: Snapshots, statuses: DataFrame) -> int:
+    """A new version with the statuses filled in."""
+    version = snapshots.version()
+    return snapshots.publish(backfill(snapshots.read(version), statuses), version)
 
 
 def backfill(rows: DataFrame, statuses: DataFrame) -> DataFrame:
