@@ -435,13 +435,14 @@ def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 80, id_col:
     members = scratch.keep(sized, "members")
     sizes = scratch.keep(members.groupBy("cluster").agg(F.ceil(F.greatest(F.sum("n") / BLOCK_SHINGLES, F.count("*") / BLOCK_DOCS)).alias("blocks")), "sizes")
     sized = members.join(sizes, "cluster")
-    own = sized.where("blocks = 1").select("cluster", "rep")
+    own = scratch.keep(sized.where("blocks = 1").select("cluster", "rep"), "own")  # its size is known, so texts are only shuffled if it is large
     exact = verify_clusters(docs.join(own, F.col("doc_id") == F.col("rep")).select("cluster", "rep", F.xxhash64("text").alias("tag"), "text"), words, percent)
     exact = scratch.keep(exact.select(F.col("a").alias("id"), F.col("b").alias("root")), "exact")
-    hot = sized.where("blocks > 1")
     if not sizes.where("blocks > 1").isEmpty():
+        hot = scratch.keep(sized.where("blocks > 1"), "hot")
         # The different texts of each member, once each.
-        texts = docs.join(hot.select(F.col("rep").alias("doc_id")), "doc_id", "left_semi").groupBy(F.col("doc_id").alias("rep")).agg(F.collect_set("text").alias("texts")).select("rep", F.explode("texts").alias("text"))
+        texts = docs.join(hot.select(F.col("rep").alias("doc_id")), "doc_id", "left_semi").groupBy(F.col("doc_id").alias("rep")).agg(F.collect_set("text").alias("texts"))
+        texts = scratch.keep(texts.select("rep", F.explode("texts").alias("text")), "hot_texts")  # several joins read them
         exact = exact.unionByName(scratch.keep(connected(verify_hot(hot, texts, scratch, words, percent), scratch, "hot"), "hot_roots"))
     shared_ids = scratch.keep(other_classes(sigs, classes), "shared_ids")
     if not shared_ids.isEmpty():
