@@ -26,6 +26,7 @@ def keep_one_of_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: st
 
     Texts without words, and rows with null ids, are in no group and stay."""
     gone = near_dup.near_duplicates(docs, words=5, percent=80).where("not kept").select("doc_id").distinct()
+    gone = shared.Scratch(spark).keep(gone, "gone")  # written, its size is known: texts are only shuffled if the ids don't fit a broadcast
     return docs.join(gone, "doc_id", "left_anti").select(*COLUMNS)
 
 
@@ -45,6 +46,7 @@ def cut_repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) ->
 def drop_leaks(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents without a verified test item; all rows of an id that has one go, null ids as one id."""
     leaked = decontamination.leaks(docs, shared.tables(spark, sf_dir, "benchmark")).select("doc_id").distinct()
+    leaked = shared.Scratch(spark).keep(leaked, "leaked")
     return docs.join(leaked, docs.doc_id.eqNullSafe(leaked.doc_id), "left_anti").select(*COLUMNS)
 
 
