@@ -166,9 +166,10 @@ def brute_removed(rows, window):
     return sorted(out, key=str)
 
 
-@pytest.mark.parametrize("window", [13, 5, 50])
-def test_substring_dedup(docs, rows, window, monkeypatch):
+@pytest.mark.parametrize(("window", "partition"), [(13, 1 << 30), (5, 1 << 30), (50, 1 << 30), (13, 4000)])
+def test_substring_dedup(docs, rows, window, partition, monkeypatch):
     monkeypatch.setattr(substring_dedup, "BLOCK_BYTES", 20000)
+    monkeypatch.setattr(shared, "PARTITION_BYTES", partition)
     got = [tuple(r) for r in substring_dedup.deduplicate(docs, window=window).select("doc_id", "n_words", "n_removed", "kept_sha256").collect()]
     assert sorted(got, key=str) == brute_removed(rows, window)
 
@@ -181,6 +182,14 @@ def test_substring_dedup_at_the_ends_of_ids(spark):
     assert sorted(got, key=str) == sorted([(2**63 - 1, 16, 15), (None, 16, 15), (-(2**63), 16, 0), (2**63 - 1, 16, 15), (7, 2, 0)], key=str)
 
 
+def test_partitions_follow_the_size(spark, monkeypatch):
+    given = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    monkeypatch.setattr(shared, "PARTITION_BYTES", 100)
+    assert shared.parts_for(spark, 100 * given) is None and shared.parts_for(spark, 100 * given + 1) == given + 1
+    rows = shared.spread(spark.range(50), 100 * (given + 9), "id")
+    assert rows.rdd.getNumPartitions() == given + 9 and rows.count() == 50
+
+
 @settings(max_examples=60, deadline=None)
 @given(st.lists(st.integers(0, 2**63 - 1), max_size=60), st.sampled_from([1, 2, 16, 1 << 20]))
 def test_slices_cover_values_in_order(values, buckets):

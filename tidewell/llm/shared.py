@@ -49,6 +49,22 @@ def reachable(spark: SparkSession) -> None:
         environment["PYTHONPATH"] = os.pathsep.join(filter(None, [here, environment.get("PYTHONPATH", "")]))
 
 
+#: Text behind one shuffle partition, at most, where a shuffle carries about as much as the text.
+PARTITION_BYTES = 1 << 30
+
+
+def parts_for(spark: SparkSession, size: int) -> int | None:
+    """Partitions that ``size`` bytes need; None if the session's shuffle partitions do."""
+    needed = -(-size // PARTITION_BYTES)
+    return needed if needed > int(spark.conf.get("spark.sql.shuffle.partitions")) else None
+
+
+def spread(df: DataFrame, size: int, *columns: str) -> DataFrame:
+    """``df`` dealt by ``columns`` into as many partitions as ``size`` bytes need, the session's number at least."""
+    parts = parts_for(df.sparkSession, size)
+    return df.repartition(parts, *columns) if parts else df.repartition(*columns)  # without a number, small partitions may be joined
+
+
 class Scratch:
     """Parquet tables in the shared checkpoint folder; ``drop`` removes those no longer needed."""
 

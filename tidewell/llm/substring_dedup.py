@@ -18,7 +18,8 @@ all their words (themselves told apart by 64 bits), so that 10^14 different wind
 10^-9.
 
 A very common passage counts once per block, however often it occurs, and a block gets bits, not lists of partners.
-Buckets follow the amount of text, so each stays at about ``BUCKET_BYTES`` of text; a block is cut by the buckets that it
+Buckets and the partitions of all shuffles follow the amount of text, so each bucket stays at about ``BUCKET_BYTES`` of text and
+each task at ``shared.PARTITION_BYTES``; a block is cut by the buckets that it
 has hashes for, so the rows sent never outnumber the hashes.
 
 Null texts have no words.  A null id counts as the largest id there can be.  Rows that share an id are one document as far
@@ -41,6 +42,8 @@ from pyspark.sql import functions as F
 from . import shared
 
 WINDOW, BLOCK_BYTES, BUCKET_BYTES = 13, 4 << 20, 16 << 20
+#: Answers are a bit a hash, so they take less than this part of the text.
+ANSWER_SHARE = 16
 #: Perfect difference covers: period, residues (fixed values of combinatorics).
 COVERS = ((3, (0, 1)), (7, (0, 1, 3)), (13, (0, 1, 3, 9)), (21, (0, 1, 4, 14, 16)), (31, (0, 1, 3, 8, 12, 18)))
 LAST_ID = np.iinfo(np.int64).max
@@ -211,8 +214,8 @@ def ask(rows: DataFrame, buckets: int, window: int, extend: bool) -> DataFrame:
     return rows.mapInArrow(run, ASKED)
 
 
-def answer(asked: DataFrame, extend: bool) -> DataFrame:
-    """One bit per hash asked for: is it shared (``extend``: has it a smaller id elsewhere)?"""
+def answer(asked: DataFrame, total: int, extend: bool) -> DataFrame:
+    """One bit per hash asked for: is it shared (``extend``: has it a smaller id elsewhere)? ``total``: bytes of all texts."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in shared.whole_groups(batches, "bucket"):
@@ -237,7 +240,7 @@ def answer(asked: DataFrame, extend: bool) -> DataFrame:
                 ends = np.cumsum(sizes)
                 yield pa.RecordBatch.from_arrays([g.column("block"), g.column("bucket"), pa.array(sizes, pa.int32()), pa.array([np.packbits(bit[e - n : e]).tobytes() for n, e in zip(sizes, ends, strict=True)], pa.binary())], names=["block", "bucket", "n", "bits"])
 
-    return asked.repartition("bucket").sortWithinPartitions("bucket").mapInArrow(run, ANSWER)
+    return shared.spread(asked, total, "bucket").sortWithinPartitions("bucket").mapInArrow(run, ANSWER)
 
 
 def covered(n: int, starts: np.ndarray, window: int) -> np.ndarray:
@@ -284,11 +287,13 @@ def deduplicate(docs: DataFrame, window: int = WINDOW, id_col: str = "doc_id", t
     buckets = 1 << max(4, (total // BUCKET_BYTES).bit_length())
 
     def told(asked: DataFrame, extend: bool, name: str) -> DataFrame:
-        answers = answer(asked, extend).groupBy("block").agg(F.collect_list(F.struct("bucket", "n", "bits")).alias(name))
+        answers = shared.spread(answer(asked, total, extend), total // ANSWER_SHARE, "block").groupBy("block").agg(F.collect_list(F.struct("bucket", "n", "bits")).alias(name))
         return scratch.keep(answers.withColumnRenamed("block", "_block"), name)
 
     def beside(rows: DataFrame, answers: DataFrame) -> DataFrame:
-        return rows.join(answers, rows.block == answers["_block"], "left").drop("_block")
+        if shared.parts_for(rows.sparkSession, total):
+            rows, answers = shared.spread(rows, total, "block"), shared.spread(answers, total, "_block")
+        return rows.join(answers, F.col("block") == F.col("_block"), "left").drop("_block")
 
     with_shared = beside(blocks, told(ask(blocks, buckets, window, False), False, "shared"))
     earlier = told(ask(with_shared, buckets, window, True), True, "earlier")
