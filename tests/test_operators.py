@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import json
+import zipfile
 
 import pytest
 from pyspark.sql import functions as F
@@ -171,6 +172,75 @@ def test_places_coerce(spark):
     assert (r["name"], r["city"], r["rating"], r["lat"], r["attributes"], r["is_synthetic"], r["document"]) == ("A", "", 1.5, 0.0, ["a", "b"], True, "A a b")
 
 
+def workbook(path, sheets):
+    """A workbook from (name, XML of rows); strings a and b are shared."""
+    main = "http://schemas.openxmlformats.org/spreadsheetml/2006/main"
+    rel = "http://schemas.openxmlformats.org/officeDocument/2006/relationships"
+    with zipfile.ZipFile(path, "w") as z:
+        names = "".join(f'<sheet name="{n}" sheetId="{i}" r:id="rId{i}"/>' for i, (n, _) in enumerate(sheets, 1))
+        z.writestr("xl/workbook.xml", f'<workbook xmlns="{main}" xmlns:r="{rel}"><sheets>{names}</sheets></workbook>')
+        links = "".join(f'<Relationship Id="rId{i}" Type="{rel}/worksheet" Target="worksheets/s{i}.xml"/>' for i in range(1, len(sheets) + 1))
+        z.writestr("xl/_rels/workbook.xml.rels", f'<Relationships xmlns="http://schemas.openxmlformats.org/package/2006/relationships">{links}</Relationships>')
+        z.writestr("xl/sharedStrings.xml", f'<sst xmlns="{main}"><si><t>poi_id</t></si><si><r><t>Phở </t></r><r><t>Hà Nội</t></r><rPh><t>no</t></rPh></si></sst>')
+        for i, (_, rows) in enumerate(sheets, 1):
+            z.writestr(f"xl/worksheets/s{i}.xml", f'<worksheet xmlns="{main}"><sheetData>{rows}</sheetData></worksheet>')
+
+
+TEXT = '<c r="{}" t="inlineStr"><is><t>{}</t></is></c>'
+HEADER = '<row r="1"><c r="A1" t="s"><v>0</v></c>' + TEXT.format("B1", " name ") + TEXT.format("C1", "rating") + TEXT.format("AA1", "attributes") + TEXT.format("AB1", "unknown") + "</row>"
+
+
+def test_workbooks(spark, tmp_path):
+    """Shared, inline, formula and number cells, gaps, rows without cells or known columns, a second sheet and a second file."""
+    rows = HEADER + '<row r="2">' + TEXT.format("A2", "G1") + '<c r="B2" t="s"><v>1</v></c><c r="C2"><v>4.5</v></c>' + TEXT.format("AA2", "a; b") + '</row><row r="3"/>'
+    rows += '<row r="4"><c r="A4"/>' + TEXT.format("AB4", "x") + '</row><row r="5"><c r="A5" t="str"><f>X</f><v>C2</v></c><c r="C5" t="e"><v>#N/A</v></c></row>'
+    (tmp_path / "books").mkdir()
+    workbook(tmp_path / "books" / "one.xlsx", [("POI", rows), ("Other", HEADER + '<row r="2">' + TEXT.format("A2", "O1") + "</row>")])
+    workbook(tmp_path / "books" / "two.xlsx", [("POI", HEADER)])
+    raw = corpus.read_places(spark, "xlsx", str(tmp_path / "books"), sheet="POI")
+    got = {r["poi_id"]: r for r in corpus.places(raw).collect()}
+    assert set(got) == {"G1", "C2"}
+    assert (got["G1"]["name"], got["G1"]["rating"], got["G1"]["attributes"], got["G1"]["is_synthetic"]) == ("Phở Hà Nội", 4.5, ["a", "b"], True)
+    assert (got["C2"]["name"], got["C2"]["rating"], got["C2"]["attributes"]) == ("", 0.0, [])
+    other = corpus.read_places(spark, "xlsx", str(tmp_path / "books" / "one.xlsx"), sheet="Other")
+    assert [r["poi_id"] for r in other.collect()] == ["O1"]
+    with pytest.raises(Exception, match="no sheet"):
+        corpus.read_places(spark, "xlsx", str(tmp_path / "books" / "one.xlsx"), sheet="None").collect()
+
+
+def test_evaluation_workbook(spark, tmp_path):
+    cells = [("query_id", "q1"), ("input_query", "x y"), ("expected_top_poi_ids", "C1; C2;"), ("ranking_signals_to_use", "bm25, city")]
+    rows = "".join(f'<row r="{r + 1}">' + "".join(TEXT.format(f"{'ABCD'[k]}{r + 1}", c[r]) for k, c in enumerate(cells)) + "</row>" for r in (0, 1))
+    workbook(tmp_path / "eval.xlsx", [("Eval", rows)])
+    r = corpus.read_evaluation(spark, str(tmp_path / "eval.xlsx")).first()
+    assert (r["query_id"], r["expected_top_poi_ids"], r["ranking_signals_to_use"], r["difficulty"]) == ("q1", ["C1", "C2"], ["bm25", "city"], None)
+
+
+def test_bodies(spark):
+    """Elements keep their order; a body that is no array is one rejected record."""
+    bodies = spark.createDataFrame([(json.dumps([GOOD, {**GOOD, "poi_id": "C2", "name": "é"}]),), ("[]",), ("nonsense",)], "body string").coalesce(1)
+    rows = ingest.records(bodies)
+    assert [r["position"] for r in rows.orderBy("position").collect()] == [0, 1, 2]
+    valid, bad = ingest.validate(rows)
+    assert [(r["poi_id"], r["name"]) for r in valid.orderBy("position").collect()] == [("C1", "A"), ("C2", "é")]
+    assert [r["errors"] for r in bad.collect()] == [["not a JSON object"]]
+
+
+def test_channels_can_be_replaced(spark):
+    """A channel of ranks only, weighed by its name in a profile of one's own."""
+    place = "poi_id string, name string, brand string, category string, city string, district string, attributes array<string>, lat double, lon double, rating double, popularity double, price_level int, opening_hours string, description string"
+    places = spark.createDataFrame([(f"C{k}", "n", "", "x", "y", "", [], 0.0, 0.0, 0.0, 0.0, 1, "", "t") for k in range(4)], place)
+    plans = spark.range(1).select(F.lit("q").alias("query_id"), F.lit("t").alias("query"), query_plan.literal(query="t").alias("plan"))
+
+    def newest(corpus_, plans_, k):
+        best = corpus_.select(F.col("poi_id").alias("id"), (4 - F.substring("poi_id", 2, 1).cast("int")).alias("rank"))
+        return best.join(plans_.select("query_id")).where(F.col("rank") <= k)
+
+    rows = rerank.hybrid(places, None, plans, {"newest": 0.5, "rating": 0.5}, channels={"newest": newest}).orderBy("rank").collect()
+    assert [r["poi_id"] for r in rows] == ["C3", "C2", "C1", "C0"]
+    assert [round(r["total"], 3) for r in rows] == [0.5, 0.333, 0.167, 0.0]
+
+
 def test_plans_are_rows(spark):
     q = spark.createDataFrame([("1", "quán cà phê gần hồ gươm"), ("2", None)], "query_id string, query string")
     got = {r["query_id"]: r["plan"] for r in understand.plans(q).collect()}

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window
@@ -24,16 +25,21 @@ def override(plan: Column) -> Column:
     return F.when(by == "price", F.when(up, unknown(level)).otherwise(-level)).when(by == "rating", F.when(up, unknown(rating)).otherwise(-rating)).otherwise(0.0)
 
 
-def weighted(rows: DataFrame, profile: str, now: int = 720, extra: dict | None = None) -> DataFrame:
-    """``rows`` (plan, place columns, channel scores normalised) plus a column per signal and ``total``, added in the profile's order."""
+#: From places, plans and a number of candidates to query_id, id, rank and, if the channel has one, score.
+Retriever = Callable[[DataFrame, DataFrame, int], DataFrame]
+
+
+def weights_of(profile: str | dict[str, float]) -> dict[str, float]:
+    return WEIGHTS[profile] if isinstance(profile, str) else profile
+
+
+def weighted(rows: DataFrame, profile: str | dict[str, float], now: int = 720, extra: dict | None = None) -> DataFrame:
+    """``rows`` (plan, place columns, normalised scores n_… of channels) plus a column per signal and ``total``, added in the profile's order."""
     place = F.struct(*[F.col(c) for c in ("category", "attributes", "city", "district", "rating", "popularity", "name", "brand", "lat", "lon", "price_level", "opening_hours")])
     known = signals.registry(now) | (extra or {})
-    parts = WEIGHTS[profile]
+    parts = weights_of(profile)
     for n in parts:
-        if n not in ("bm25", "dense"):
-            rows = rows.withColumn(f"s_{n}", known[n](F.col("plan"), place))
-        else:
-            rows = rows.withColumn(f"s_{n}", F.col(f"n_{n}"))
+        rows = rows.withColumn(f"s_{n}", F.col(f"n_{n}") if f"n_{n}" in rows.columns else known[n](F.col("plan"), place))
     total = reduce(lambda a, b: a + b, [F.lit(w) * F.col(f"s_{n}") for n, w in parts.items()])
     return rows.withColumn("total", F.round(total, 6))
 
@@ -48,13 +54,29 @@ def with_user(plans: DataFrame, lat: float, lon: float) -> DataFrame:
     return plans.withColumn("plan", F.col("plan").withField("resolved_coord", F.coalesce(F.col("plan.resolved_coord"), here)))
 
 
-def hybrid(corpus: DataFrame, vectors: DataFrame, plans: DataFrame, profile: str = "with_dense", conf: Settings = Settings(), now: int = 720) -> DataFrame:
-    """All candidates with signals, total and rank; corpus: places, vectors: vec_id, embedding, plans: query_id, query, plan, qvec."""
-    lex = lexical.bm25_topk(corpus, plans.select("query_id", "query"), "poi_id", "description", conf.search.pool, conf.bm25)
-    embedded = corpus.join(vectors.select("vec_id", "embedding"), "vec_id").select("poi_id", "city", "district", "category", "embedding")
-    dense = vector.topk(embedded, plans.select("query_id", "plan", "qvec"), conf.search.pool, vector.prefilter(conf=conf.vectors), place="poi_id")
-    found = pool.union({"bm25": lex, "dense": dense}, conf.search.pool)
-    found = found.withColumn("n_bm25", pool.normalised(F.col("bm25"))).withColumn("n_dense", pool.normalised(F.col("dense")))
+def retrievers(vectors: DataFrame, conf: Settings = Settings()) -> dict[str, Retriever]:
+    """The two channels of hybrid search; vectors: vec_id, embedding."""
+
+    def words(corpus: DataFrame, plans: DataFrame, k: int) -> DataFrame:
+        return lexical.bm25_topk(corpus, plans.select("query_id", "query"), "poi_id", "description", k, conf.bm25)
+
+    def dense(corpus: DataFrame, plans: DataFrame, k: int) -> DataFrame:
+        embedded = corpus.join(vectors.select("vec_id", "embedding"), "vec_id").select("poi_id", "city", "district", "category", "embedding")
+        return vector.topk(embedded, plans.select("query_id", "plan", "qvec"), k, vector.prefilter(conf=conf.vectors), place="poi_id")
+
+    return {"bm25": words, "dense": dense}
+
+
+def hybrid(corpus: DataFrame, vectors: DataFrame, plans: DataFrame, profile: str | dict[str, float] = "with_dense", conf: Settings = Settings(), now: int = 720, channels: dict[str, Retriever] | None = None) -> DataFrame:
+    """All candidates with signals, total and rank; corpus: places, vectors: vec_id, embedding, plans: query_id, query, plan, qvec.
+
+    ``channels`` stand in for the usual two; a profile weighs them by name. One that gives ranks only scores by rank.
+    """
+    given = {n: find(corpus, plans, conf.search.pool) for n, find in (channels or retrievers(vectors, conf)).items()}
+    given = {n: rows if "score" in rows.columns else rows.withColumn("score", pool.rank_score(F.col("rank"))) for n, rows in given.items()}
+    found = pool.union(given, conf.search.pool)
+    for n in given:
+        found = found.withColumn(f"n_{n}", pool.normalised(F.col(n)))
     rows = found.join(corpus.drop("description"), F.col("id") == F.col("poi_id")).join(F.broadcast(plans.select("query_id", "plan")), "query_id")
     return ordered(weighted(rows, profile, now))
 
@@ -68,12 +90,12 @@ def lexical_only(corpus: DataFrame, plans: DataFrame, profile: str = "with_dista
     return ordered(weighted(rows, profile, now))
 
 
-def displayed(profile: str) -> Column:
+def displayed(profile: str | dict[str, float]) -> Column:
     """Score between 0 and 1: the total over the sum of weights."""
-    return F.round(F.col("total") / F.lit(sum(WEIGHTS[profile].values())), 4)
+    return F.round(F.col("total") / F.lit(sum(weights_of(profile).values())), 4)
 
 
-def search(corpus: DataFrame, vectors: DataFrame, plans: DataFrame, limit: int | None = None, category: str | None = None, box: tuple[float, float, float, float] | None = None, near: tuple[float, float, float] | None = None, profile: str = "with_dense", conf: Settings = Settings(), now: int = 720) -> DataFrame:
+def search(corpus: DataFrame, vectors: DataFrame, plans: DataFrame, limit: int | None = None, category: str | None = None, box: tuple[float, float, float, float] | None = None, near: tuple[float, float, float] | None = None, profile: str | dict[str, float] = "with_dense", conf: Settings = Settings(), now: int = 720, channels: dict[str, Retriever] | None = None) -> DataFrame:
     """The API's results: filters work on the ranked list (they don't change ranks of what stays), then the limit.
 
     ``near``: latitude, longitude, metres.
@@ -82,7 +104,7 @@ def search(corpus: DataFrame, vectors: DataFrame, plans: DataFrame, limit: int |
     most = min(limit or s.default_limit, s.most)
     if most < 1:
         raise ValueError("a limit is at least 1")
-    rows = hybrid(corpus, vectors, plans, profile, conf, now).where(F.col("rank") <= max(most, s.internal))
+    rows = hybrid(corpus, vectors, plans, profile, conf, now, channels).where(F.col("rank") <= max(most, s.internal))
     if category:
         rows = rows.where(fold(F.col("category")) == fold(F.lit(category)))
     if box:
@@ -121,9 +143,9 @@ class Engine:
         found = found.join(accented, "query_id").withColumn("qvec", self.encode(F.concat(F.lit("query: "), "text"))).drop("text")
         return shared.kept(found, f"{shared.folder(queries.sparkSession)}/plans")
 
-    def search(self, queries: DataFrame, limit: int | None = None, user: tuple[float, float] | None = None, now: int = 720, profile: str = "with_dense", filters: dict | None = None, **options) -> DataFrame:
+    def search(self, queries: DataFrame, limit: int | None = None, user: tuple[float, float] | None = None, now: int = 720, profile: str | dict[str, float] = "with_dense", filters: dict | None = None, channels: dict[str, Retriever] | None = None, **options) -> DataFrame:
         """The best places of each query with place, score, signals and constraints met and relaxed."""
-        rows = search(self.corpus, self.vectors, self.plans(queries, user, **options), limit, profile=profile, conf=self.conf, now=now, **(filters or {}))
+        rows = search(self.corpus, self.vectors, self.plans(queries, user, **options), limit, profile=profile, conf=self.conf, now=now, channels=channels, **(filters or {}))
         return constraints.annotate(rows, now, conf=self.conf.constraints)
 
 

@@ -11,13 +11,18 @@ from pyspark.sql import functions as F
 
 from ..functions.text import clean_cell, document, fold, is_synthetic, split_list
 from ..plans.lexicon import Lexicon
+from .xlsx import read_xlsx
 
 STRINGS = ("poi_id", "name", "brand", "category", "sub_category", "city", "district", "address", "opening_hours", "description", "status")
 DOUBLES, INTS = ("lat", "lon", "rating", "popularity"), ("review_count", "price_level")
+LISTS = ("attributes", "tags")
+EVALUATION = ("query_id", "input_query", "query_category", "difficulty", "expected_top_poi_ids", "expected_semantic_requirements", "ranking_signals_to_use")
 
 
 def read_places(spark: SparkSession, kind: str, where: str, **options) -> DataFrame:
-    """Raw places from ``parquet``, ``json``, ``csv`` (with a header) or ``jdbc`` (where: the table)."""
+    """Raw places from ``parquet``, ``json``, ``csv`` (with a header), ``xlsx`` (option ``sheet``, else the first) or ``jdbc`` (where: the table)."""
+    if kind == "xlsx":
+        return read_xlsx(spark, where, [*STRINGS, *DOUBLES, *INTS, *LISTS], **options)
     if kind == "jdbc":
         rows = spark.read.format("jdbc").option("dbtable", where).options(**options).load()
         return rows.orderBy("row_order") if "row_order" in rows.columns else rows
@@ -42,9 +47,9 @@ def with_document(rows: DataFrame) -> DataFrame:
     return rows.withColumn("document", document(*parts)).withColumn("norm_document", fold(F.col("document")))
 
 
-def read_evaluation(spark: SparkSession, path: str) -> DataFrame:
-    """Evaluation queries; expected ids are split at ';', signals at ','."""
-    raw = spark.read.option("header", True).csv(path)
+def read_evaluation(spark: SparkSession, path: str, sheet: str | None = None) -> DataFrame:
+    """Evaluation queries of a CSV file or workbook; expected ids are split at ';', signals at ','."""
+    raw = read_xlsx(spark, path, list(EVALUATION), sheet) if path.endswith(".xlsx") else spark.read.option("header", True).csv(path)
     return raw.withColumn("expected_top_poi_ids", split_list(F.col("expected_top_poi_ids"), ";")).withColumn("ranking_signals_to_use", split_list(F.col("ranking_signals_to_use"), ","))
 
 

@@ -37,6 +37,16 @@ def validate(batch: DataFrame, json_col: str = "record") -> tuple[DataFrame, Dat
     return valid, rows.where(F.size("errors") > 0).select(json_col, "errors")
 
 
+def records(bodies: DataFrame, body_col: str = "body") -> DataFrame:
+    """position, record of every element of request bodies, each the text of a JSON array; another text is taken as one record.
+
+    Positions rise in the order of bodies and elements.
+    """
+    parsed = F.from_json(body_col, "array<string>")
+    rows = bodies.select(F.explode(F.coalesce(parsed, F.array(body_col))).alias("record"))
+    return rows.select(F.monotonically_increasing_id().alias("position"), "record")
+
+
 def guard(n: int, conf: Settings = Settings()) -> None:
     if n > conf.batch_limit:
         raise ValueError(f"a batch holds at most {conf.batch_limit} records")
