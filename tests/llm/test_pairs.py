@@ -100,6 +100,22 @@ def test_repeated_rows_are_one_text(spark, monkeypatch):
     assert seen[0] <= 4 * 4  # once a task, not 10,000 times
 
 
+@pytest.mark.parametrize("rounds", [0, 3])
+def test_a_long_chain_is_not_compared_with_itself(spark, rounds, monkeypatch):
+    """Of a hot cluster that no pivot holds together, texts meet where sketches are near, not in every block; no link is lost."""
+    rows = [(k, " ".join(f"w{j}" for j in range(4 * k, 4 * k + 61))) for k in range(300)]
+    rows += [(1000 + k, " ".join(f"v{j}" for j in range(4 * k, 4 * k + 61))) for k in range(20)] + [(1005, rows[250][1])]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    frame, met = type(docs), []
+    repartition = frame.repartition
+    monkeypatch.setattr(near_dup, "BLOCK_DOCS", 10)
+    monkeypatch.setattr(near_dup, "ROUNDS", rounds, raising=False)
+    monkeypatch.setattr(frame, "repartition", lambda self, *to: met.append(self.count() if {"text", "side"} <= set(self.columns) else 0) or repartition(self, *to))
+    got = near_dup.near_duplicates(docs, words=2).collect()
+    assert {r["component_id"] for r in got} == {0}
+    assert sum(met) < (2000 if rounds else 9000)  # 300 documents in 30 blocks gave 18,000 rows
+
+
 @settings(max_examples=60, deadline=None)
 @given(st.lists(st.integers(0, 6), min_size=1, max_size=200), st.integers(1, 17), st.booleans(), st.sampled_from([None, 0, 3]))
 def test_grouped_streams_like_groups(nodes, size, last, heavy):

@@ -17,8 +17,10 @@ gives each document its connected component.
    nodes are large for sure, so nothing is decided there.
 3. Candidates form clusters; each cluster's texts meet in one task, where all its links are decided on full sets.
    A cluster over ``BLOCK_SHINGLES`` is dealt into blocks instead: all blocks are compared with a pivot (the member
-   nearest to the majority sketch); who is linked with it needs no comparison with others that are, the rest is
-   compared with every block.  So a huge group of near copies costs a pass, and nothing is left out.
+   nearest to the majority sketch); who is linked with it needs no comparison with others that are.  The rest looks for
+   its ``NEAREST`` members of other parts by one-bit tokens and is compared with these, a few times over, which joins most of what belongs
+   together.  Then every pair of different parts that sizes and one-bit tokens (at six sigmas) allow is compared, so
+   nothing is left out, but texts only go to blocks where they have such a pair.
 
 Equal rows, however many, are one text from step 1 on: classes, members and texts are each aggregated by key in the
 tasks that read them, before any shuffle.
@@ -48,6 +50,8 @@ RECALL, EXPECTED_DEPTH = 1 - 1e-6, 5
 #: Share of unrelated documents that agree in one token, at most; sets the number of levels that part them.
 AGREE = 0.02
 BLOCK_SHINGLES, BLOCK_DOCS = 1_500_000, 1000
+#: Sketches of a hot cluster that meet in one group, on either side; members that a document is compared with in a round; rounds at most.
+SKETCH_DOCS, NEAREST, ROUNDS = 10_000, 2, 3
 #: Share of a level's rows from which a node is heavy, and rows looked at to find such nodes (so at most 1 / HEAVY of them).
 HEAVY, PROBED_ROWS = 1e-4, 500_000
 _ODD = np.uint64(0x9E3779B97F4A7C15)
@@ -372,16 +376,70 @@ def pivots_of(members: DataFrame) -> DataFrame:
     return members.join(centre, "cluster").groupBy("cluster").agg(F.min(F.struct(far.alias("far"), "rep")).alias("p")).select("cluster", F.col("p.rep").alias("pivot"))
 
 
+def sketched(loose: DataFrame, members: DataFrame, percent: int, find, schema: str) -> DataFrame:
+    """What ``find`` makes of the pairs of a ``loose`` row and a member with another label of its cluster that may be linked.
+
+    Both: cluster, rep, n, b0, b1, several (texts, so that n and the sketch say nothing), label, loose, at.  ``find`` gets columns of both sides, the
+    matrix of pairs and that of differing one-bit tokens.
+    """
+    most = COORDINATES - least_bits(percent / 100, 6.0)
+    wide = lambda rows, name: rows.groupBy("cluster").agg(F.ceil(F.count("*") / SKETCH_DOCS).alias(name))
+    width = wide(loose, "p").join(wide(members, "q"), "cluster")
+    columns = ["cluster", "rep", "n", "b0", "b1", "several", "label", "loose", "at"]
+
+    def deal(rows: DataFrame, own: str, other: str, side: int) -> DataFrame:
+        mine, all_others = F.pmod(F.xxhash64("rep", F.lit(5)), F.col(own)), F.explode(F.sequence(F.lit(0).cast("long"), F.col(other) - 1))
+        rows = rows.join(width, "cluster").select(*columns, mine.alias(f"my_{own}"), all_others.alias(f"my_{other}"), F.lit(side).alias("side"))
+        return rows.select(F.xxhash64("cluster", "my_p", "my_q").alias("group"), *columns, "side")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for whole in shared.whole_groups(batches, "group"):
+            for g in groups(whole, "group"):
+                side = g.column("side").to_numpy()
+                every = {c: g.column(c).to_numpy(zero_copy_only=False) for c in columns}
+                own, y = np.flatnonzero(side == 0), {c: v[side == 1] for c, v in every.items()}
+                for start in range(0, len(own) if len(y["rep"]) else 0, 100):
+                    x = {c: v[own[start : start + 100]] for c, v in every.items()}
+                    differ = sum(np.bitwise_count(x[b].view(np.uint64)[:, None] ^ y[b].view(np.uint64)) for b in ("b0", "b1"))
+                    n, m = x["n"][:, None], y["n"]
+                    near = (differ <= most) & (100 * n >= percent * m) & (100 * m >= percent * n)
+                    near |= x["several"][:, None] | y["several"]
+                    near &= x["label"][:, None] != y["label"]
+                    if near.any():
+                        yield find(x, y, near, differ)
+
+    both = deal(loose, "p", "q", 0).unionByName(deal(members, "q", "p", 1))
+    return both.repartition("group").sortWithinPartitions("group").mapInArrow(run, schema)
+
+
+def nearest(x: dict, y: dict, near: np.ndarray, differ: np.ndarray) -> pa.RecordBatch:
+    """Of each x its NEAREST y."""
+    far = np.where(near, differ.astype(np.int64), 1000)
+    at = np.argsort(far, axis=1, kind="stable")[:, :NEAREST]
+    row, far = np.repeat(np.arange(len(far)), at.shape[1]), np.take_along_axis(far, at, 1).ravel()
+    ok = far < 1000
+    row, at, far = row[ok], at.ravel()[ok], far[ok]
+    return pa.RecordBatch.from_arrays([pa.array(v, pa.int64()) for v in (x["cluster"][row], x["rep"][row], far, y["rep"][at])], names=["cluster", "x", "far", "y"])
+
+
+def places(x: dict, y: dict, near: np.ndarray, _: np.ndarray) -> pa.RecordBatch:
+    """The (part, block) in which each x and each y has a pair; two loose rows meet once."""
+    i, j = np.nonzero(near & (~y["loose"] | (x["rep"][:, None] < y["rep"])))
+    left = np.unique(np.stack([x["at"][i], y["at"][j], x["rep"][i], x["cluster"][i], np.zeros_like(i)]), axis=1)
+    right = np.unique(np.stack([x["at"][i], y["at"][j], y["rep"][j], y["cluster"][j], np.ones_like(i)]), axis=1)
+    return pa.RecordBatch.from_arrays([pa.array(v, pa.int64()) for v in np.concatenate([left, right], axis=1)], names=["part", "block", "rep", "cluster", "side"])
+
+
 def verify_hot(members: DataFrame, texts: DataFrame, scratch: shared.Scratch, words: int, percent: int) -> DataFrame:
-    """Links in clusters of more than a block: with the pivot, then of those not linked with it; members: cluster, rep, blocks, n, b0, b1."""
+    """Links in clusters of more than a block: with the pivot, with the nearest, then of all still apart; members: cluster, rep, blocks, n, b0, b1, several."""
     members = scratch.keep(members.select("*", F.pmod(F.xxhash64("rep"), F.col("blocks")).alias("block")), "hot_members")
     pivots = scratch.keep(pivots_of(members), "hot_pivots")
     sides = members.join(texts, "rep").select("cluster", "block", "rep", "text", F.lit(1).alias("side"))
     size = members.groupBy("cluster").agg(F.max("blocks").alias("blocks"))
     centre = pivots.join(size, "cluster").join(texts, F.col("pivot") == F.col("rep")).select("cluster", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)).alias("block"), F.col("pivot").alias("rep"), "text", F.lit(0).alias("side"))
 
-    def meet(rows: DataFrame, columns: list[str], all_links: bool) -> DataFrame:
-        """Links between the rows of side 0 and those of side 1 in each group; with ``all_links`` also among side 0."""
+    def meet(rows: DataFrame, columns: list[str]) -> DataFrame:
+        """Links between the rows of side 0 and those of side 1 in each group."""
 
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             hashes = shared.WordHashes()
@@ -406,13 +464,29 @@ def verify_hot(members: DataFrame, texts: DataFrame, scratch: shared.Scratch, wo
         keyed = rows.withColumn("group", F.xxhash64(*columns))
         return keyed.repartition("group").sortWithinPartitions("group").mapInArrow(run, "a long, b long")
 
-    star = scratch.keep(meet(sides.unionByName(centre), ["cluster", "block"], False), "hot_star")
-    rest = members.join(pivots, "cluster").where("rep <> pivot").join(star.select(F.col("a").alias("x"), F.col("b").alias("y")), (F.col("pivot") == F.col("x")) & (F.col("rep") == F.col("y")), "left_anti").select("cluster", "rep", "n")
-    rest = scratch.keep(rest, "hot_rest")
-    parts = rest.groupBy("cluster").agg(F.ceil(F.greatest(F.sum("n") / BLOCK_SHINGLES, F.count("*") / BLOCK_DOCS)).alias("parts"))
-    mine = rest.join(parts.join(size, "cluster"), "cluster").join(texts, "rep").select("cluster", F.pmod(F.xxhash64("rep"), F.col("parts")).alias("part"), F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)).alias("block"), "rep", "text", F.lit(0).alias("side"))
-    theirs = members.join(parts, "cluster").join(texts, "rep").select("cluster", F.explode(F.sequence(F.lit(0).cast("long"), F.col("parts") - 1)).alias("part"), "block", "rep", "text", F.lit(1).alias("side"))
-    return star.unionByName(scratch.keep(meet(mine.unionByName(theirs), ["cluster", "part", "block"], True), "hot_links"))
+    links = scratch.keep(meet(sides.unionByName(centre), ["cluster", "block"]), "hot_star")
+    left = None
+    for k in range(ROUNDS + 1):
+        root = scratch.keep(connected(links, scratch, f"hot_parts_{k}"), f"hot_labels_{k}")
+        named = members.join(root, F.col("rep") == F.col("id"), "left").select(*members.columns, F.coalesce("root", "rep").alias("label"))
+        main = named.groupBy("cluster", "label").agg(F.count("*").alias("m")).groupBy("cluster").agg(F.max_by("label", F.struct("m", "label")).alias("main"))
+        named = scratch.keep(named.join(main, "cluster").select(*named.columns, (F.col("label") != F.col("main")).alias("loose")), f"hot_named_{k}")
+        loose = named.where("loose")
+        before, left = left, loose.count()
+        if not left:
+            return links
+        if k == ROUNDS or left <= BLOCK_DOCS or before is not None and 2 * left > before:
+            break
+        near = sketched(loose.withColumn("at", F.lit(0).cast("long")), named.withColumn("at", F.lit(0).cast("long")), percent, nearest, "cluster long, x long, far long, y long")
+        near = near.groupBy("cluster", "x").agg(F.slice(F.array_sort(F.collect_list(F.struct("far", "y"))), 1, NEAREST).alias("best"))
+        near = scratch.keep(near.select("cluster", "x", F.explode("best.y").alias("rep")), f"hot_near_{k}")
+        met = near.select("cluster", "x", F.lit(1).alias("side"), "rep").unionByName(near.select("cluster", "x", F.lit(0).alias("side"), F.col("x").alias("rep")).distinct())
+        links = links.unionByName(scratch.keep(meet(met.join(texts, "rep"), ["cluster", "x"]), f"hot_found_{k}"))
+    parts = loose.groupBy("cluster").agg(F.ceil(F.greatest(F.sum("n") / BLOCK_SHINGLES, F.count("*") / BLOCK_DOCS)).alias("parts"))
+    loose = loose.join(parts, "cluster").withColumn("at", F.pmod(F.xxhash64("rep"), F.col("parts")))
+    spots = scratch.keep(sketched(loose, named.withColumn("at", F.col("block")), percent, places, "part long, block long, rep long, cluster long, side long"), "hot_spots")
+    rows = spots.distinct().join(texts, "rep")
+    return links.unionByName(scratch.keep(meet(rows, ["cluster", "part", "block"]), "hot_links"))
 
 
 def other_classes(sigs: DataFrame, classes: DataFrame) -> DataFrame:
@@ -431,7 +505,7 @@ def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 80, id_col:
     classes = scratch.keep(sigs.where("n > 0 and doc_id is not null").groupBy("key").agg(F.min("doc_id").alias("rep"), *[F.first(c).alias(c) for c in ("n", "sig", "b0", "b1")]), "classes")
     clusters = scratch.keep(connected(candidates(classes, scratch, percent / 100), scratch, "cluster"), "clusters")
     # An id with several different texts represents several classes, but is one member.
-    sized = classes.select("rep", "n", "b0", "b1").join(clusters, F.col("id") == F.col("rep")).groupBy("rep").agg(F.first("root").alias("cluster"), F.sum("n").alias("n"), F.min("b0").alias("b0"), F.min("b1").alias("b1"))
+    sized = classes.select("rep", "n", "b0", "b1").join(clusters, F.col("id") == F.col("rep")).groupBy("rep").agg(F.first("root").alias("cluster"), F.sum("n").alias("n"), F.min("b0").alias("b0"), F.min("b1").alias("b1"), (F.count("*") > 1).alias("several"))
     members = scratch.keep(sized, "members")
     sizes = scratch.keep(members.groupBy("cluster").agg(F.ceil(F.greatest(F.sum("n") / BLOCK_SHINGLES, F.count("*") / BLOCK_DOCS)).alias("blocks")), "sizes")
     sized = members.join(sizes, "cluster")
