@@ -275,3 +275,25 @@ def test_failed_reload_is_a_warning(spark, tmp_path):
 
     said = ingest.ingest(ingest.Snapshots(spark, str(tmp_path / "s")), records(spark, GOOD), after=fail)
     assert said["accepted"] == 1 and said["version"] == 1 and "OSError" in said["warning"]
+
+
+def test_nearest_equals_topk(spark):
+    """Tiles of a few rows, ties, gaps, other lengths and missing vectors, against the plain search."""
+    vectors = [[float((k * 7 + j * 3) % 5) / 7 - 0.3 for j in range(4)] for k in range(60)]
+    vectors += [[0.0] * 4] * 5 + [[0.5e-3, 0.0, 0.0, 1e-3]] * 3 + [None, [1.0, 2.0], [1.0, None, 0.0, 1.0], [], [float("nan"), 0.0, 0.0, 0.0], [1.0, 3.0]]
+    rows = spark.createDataFrame(list(enumerate(vectors)), "id long, embedding array<float>")
+    queries = rows.where("id % 3 = 0 or id > 60").select(F.col("id").alias("query_id"), F.col("embedding").alias("qvec"))
+    want = vector.topk(rows, queries, 7, F.col("query_id") != F.col("id"))
+    for tile in ((5, 9), (16_384, 16_384)):
+        got = vector.nearest(rows, queries, 7, tile=tile)
+        assert sorted(map(str, got.select(*want.columns).collect())) == sorted(map(str, want.collect()))
+
+
+def test_evaluation_keeps_no_pairs(spark, sf):
+    """Neither the search nor the gold of the evaluation sends more than k rows of a query through a join or a shuffle of pairs."""
+    from tidewell.catalogue import ranking
+
+    plan = ranking._evaluation(spark, sf)._jdf.queryExecution().optimizedPlan().toString()
+    joins = [x for x in plan.split("\n") if "Join" in x]
+    assert joins and all("=" in x for x in joins)  # no pairs of all with all
+    assert "zip_with" not in plan and "cogroup" in plan.lower()

@@ -8,21 +8,26 @@ from pyspark.sql import functions as F
 
 def per_query(ranked: DataFrame, gold: DataFrame) -> DataFrame:
     """query_id, hit1, rr, r3, r5, synth3, synth_above; ranked: query_id, id, rank, is_synthetic; gold: query_id, id."""
-    g = gold.select("query_id", "id").distinct().withColumn("gold", F.lit(1))
-    n = gold.select("query_id", "id").distinct().groupBy("query_id").agg(F.count("*").alias("n_gold"))
-    rows = ranked.join(g, ["query_id", "id"], "left")
-    hit = F.col("gold") == 1
-    first = rows.where(hit).groupBy("query_id").agg(F.min("rank").alias("first"))
-    agg = rows.join(first, "query_id", "left").groupBy("query_id").agg(
+    g = gold.select("query_id", "id").distinct()
+    n = g.groupBy("query_id").agg(F.count("*").alias("n_gold"))
+    return measured(ranked.join(g.withColumn("hit", F.lit(True)), ["query_id", "id"], "left"), n)
+
+
+def measured(rows: DataFrame, sizes: DataFrame) -> DataFrame:
+    """The same from rows that say who is gold; rows: query_id, rank, is_synthetic, hit; sizes: query_id, n_gold."""
+    hit, synthetic = F.col("hit"), F.col("is_synthetic")
+    count = lambda c: F.sum(F.when(c, 1).otherwise(0))
+    agg = rows.groupBy("query_id").agg(
         F.max(F.when(hit & (F.col("rank") == 1), 1.0).otherwise(0.0)).alias("hit1"),
-        F.coalesce(1.0 / F.min("first"), F.lit(0.0)).alias("rr"),
-        F.sum(F.when(hit & (F.col("rank") <= 3), 1).otherwise(0)).alias("h3"),
-        F.sum(F.when(hit & (F.col("rank") <= 5), 1).otherwise(0)).alias("h5"),
-        F.sum(F.when(F.col("is_synthetic") & (F.col("rank") <= 3), 1).otherwise(0)).alias("synth3"),
-        F.max(F.when(F.col("is_synthetic") & (F.col("rank") < F.coalesce(F.col("first"), F.lit(2147483647))), 1).otherwise(0)).alias("synth_above"),
+        F.min(F.when(hit, F.col("rank"))).alias("first"),
+        count(hit & (F.col("rank") <= 3)).alias("h3"),
+        count(hit & (F.col("rank") <= 5)).alias("h5"),
+        count(synthetic & (F.col("rank") <= 3)).alias("synth3"),
+        F.min(F.when(synthetic, F.col("rank"))).alias("first_synthetic"),
     )
-    out = agg.join(n, "query_id")
-    return out.select("query_id", "hit1", "rr", (F.col("h3") / F.col("n_gold")).alias("r3"), (F.col("h5") / F.col("n_gold")).alias("r5"), "synth3", "synth_above")
+    above = F.when(F.col("first_synthetic") < F.coalesce("first", F.lit(2147483647)), 1).otherwise(0)
+    out = agg.join(sizes, "query_id")
+    return out.select("query_id", "hit1", F.coalesce(1.0 / F.col("first"), F.lit(0.0)).alias("rr"), (F.col("h3") / F.col("n_gold")).alias("r3"), (F.col("h5") / F.col("n_gold")).alias("r5"), "synth3", above.alias("synth_above"))
 
 
 def report_order(groups: DataFrame) -> DataFrame:

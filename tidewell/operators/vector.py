@@ -3,9 +3,11 @@
 from __future__ import annotations
 
 from collections.abc import Callable, Iterator
+from decimal import ROUND_HALF_UP, Decimal
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -24,6 +26,100 @@ def topk(rows: DataFrame, queries: DataFrame, k: int, keep: Column | None = None
     return scored.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k)
 
 
+#: Queries and rows of a tile at most, on average; scores of a tile that are held at once.
+TILE_QUERIES, TILE_ROWS, TILE_SCORES = 16_384, 16_384, 1 << 22
+
+
+def nearest(rows: DataFrame, queries: DataFrame, k: int, place: str = "id", vector: str = "embedding", tile: tuple[int, int] = (TILE_QUERIES, TILE_ROWS)) -> DataFrame:
+    """What :func:`topk` gives for every query against all rows but itself, for many queries; ids are longs, without copies.
+
+    Queries and rows are dealt into tiles by hash. A task holds one tile and sends on the best k of each query in it, so neither
+    a broadcast nor the shuffle of scores grows with the number of pairs.
+    """
+
+    def dealt(df: DataFrame, key: str, size: int) -> tuple[Column, Column]:
+        n = df.agg(F.greatest(F.ceil(F.count("*") / size), F.lit(1))).scalar()  # a subquery: nothing runs yet
+        return F.pmod(F.xxhash64(key), n), F.explode(F.sequence(F.lit(0).cast("long"), n - 1))
+
+    queries = queries.where("query_id is not null").select(F.col("query_id").cast("long").alias("query_id"), "qvec")
+    rows = rows.where(F.col(place).isNotNull()).select(F.col(place).cast("long").alias("id"), F.col(vector).alias("vec"))
+    (shard, shards), (block, blocks) = dealt(queries, "query_id", tile[0]), dealt(rows, "id", tile[1])
+    left = rows.select("id", "vec", block.alias("block"), shards.alias("shard")).groupBy("block", "shard")
+    right = queries.select("query_id", "qvec", blocks.alias("block"), shard.alias("shard")).groupBy("block", "shard")
+    best = left.cogroup(right).applyInArrow(lambda r, q: best_of_tile(r, q, k), "query_id long, id long, score double")
+    w = Window.partitionBy("query_id").orderBy(F.desc("score"), "id")
+    return best.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k)
+
+
+def by_length(vectors: pa.ChunkedArray) -> dict[int, tuple[np.ndarray, np.ndarray]]:
+    """Length -> (places, matrix) of the vectors without gaps; all others score null with anything."""
+    lists = vectors.combine_chunks()
+    lists = lists.chunk(0) if isinstance(lists, pa.ChunkedArray) else lists
+    n, flat, ends = len(lists), lists.values, lists.offsets.to_numpy()
+    starts, sizes = ends[:-1], np.diff(ends)
+    gap = np.concatenate([[0], np.cumsum(flat.is_null().to_numpy(zero_copy_only=False))])
+    whole = lists.is_valid().to_numpy(zero_copy_only=False) & (gap[starts + sizes] == gap[starts])
+    values = flat.cast(pa.float64()).to_numpy(zero_copy_only=False)
+    return {int(size): (at, values[starts[at][:, None] + np.arange(size)]) for size in np.unique(sizes[whole]) for at in [np.flatnonzero(whole & (sizes == size))]} if n else {}
+
+
+def rounded(x: np.ndarray, digits: int = 6) -> np.ndarray:
+    """Rounded as Spark does it: half up, by the shortest decimal form."""
+    scale = 10.0**digits
+    with np.errstate(invalid="ignore", over="ignore"):
+        y = np.abs(x) * scale
+        out = np.where(y < 2**52, np.copysign(np.floor(y + 0.5), x) / scale + 0.0, x)
+        close = np.flatnonzero((y < 2**52) & (np.abs(y - np.floor(y) - 0.5) <= 1e-9 * np.maximum(y, 1.0)))
+    for i in close:
+        out[i] = float(Decimal(repr(float(x[i]))).quantize(Decimal(1).scaleb(-digits), ROUND_HALF_UP)) + 0.0
+    return out
+
+
+def best_of_tile(rows: pa.Table, queries: pa.Table, k: int) -> pa.Table:
+    """query_id, id, score: the best k of each query in a tile by (-score, id), itself left out.
+
+    A matrix product finds who can be among them; their scores are added up again in the order of the vectors, as :func:`dot` does.
+    """
+    rows = rows.sort_by("id")
+    ids, asked = rows["id"].to_numpy(), queries["query_id"].to_numpy()
+    out = [(np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0), np.zeros(0, bool))]  # the last: score is null
+    mine, theirs = by_length(queries["qvec"]), by_length(rows["vec"])
+    none, short = (np.zeros(0, np.int64), None), np.full(len(asked), True)
+    for size, (at, q) in mine.items():
+        where, r = theirs.get(size, none)
+        if not len(where):
+            continue
+        own, qt, rt = ids[where], np.ascontiguousarray(q.T), np.ascontiguousarray(r.T)
+        short[at] = len(own) - np.isin(asked[at], own) < k
+        step = max(1, TILE_SCORES // len(own))
+        for a in range(0, len(at), step):
+            given = asked[at[a : a + step]]
+            s = np.nan_to_num(q[a : a + step] @ rt, copy=False, nan=np.inf, posinf=np.inf, neginf=-np.inf)
+            self = np.minimum(np.searchsorted(own, given), len(own) - 1)
+            same = np.flatnonzero(own[self] == given)
+            s[same, self[same]] = -np.inf
+            least = np.partition(s, len(own) - k, axis=1)[:, len(own) - k] if len(own) > k else np.full(len(given), -np.inf)
+            slack = np.where(np.isfinite(least), 2e-6 + 1e-9 * np.abs(least), 0.0)
+            i, j = np.nonzero(s >= (least - slack)[:, None])
+            other = own[j] != given[i]
+            i, j = i[other], j[other]
+            exact = np.zeros(len(i))
+            for d in range(size):
+                exact += qt[d, a + i] * rt[d, j]
+            exact = rounded(exact)
+            order = np.lexsort((j, -np.nan_to_num(exact, nan=np.inf), i))
+            i, j, exact = i[order], j[order], exact[order]
+            first = np.arange(len(i)) - np.searchsorted(i, i) < k
+            out.append((given[i[first]], own[j[first]], exact[first], np.zeros(int(first.sum()), bool)))
+    for at in np.flatnonzero(short):  # fewer than k with a score: the others follow by id
+        size = next((n for n, (places, _) in mine.items() if at in places), None)
+        rest = np.delete(ids, theirs.get(size, none)[0])
+        rest = rest[rest != asked[at]][:k]
+        out.append((np.full(len(rest), asked[at]), rest, np.zeros(len(rest)), np.ones(len(rest), bool)))
+    given, found, score, unknown = (np.concatenate(x) for x in zip(*out, strict=True))
+    return pa.table({"query_id": pa.array(given, pa.int64()), "id": pa.array(found, pa.int64()), "score": pa.array(score, pa.float64(), mask=unknown)})
+
+
 def prefilter(place: str = "p", conf: Vectors = Vectors()) -> Column:
     """City and district, where given, must be equal; the category one of the plan's, or else of those with enough weight."""
     heavy = F.map_keys(F.map_filter("plan.category_weights", lambda _, w: w >= conf.least_weight))
