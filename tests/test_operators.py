@@ -297,3 +297,12 @@ def test_evaluation_keeps_no_pairs(spark, sf):
     joins = [x for x in plan.split("\n") if "Join" in x]
     assert joins and all("=" in x for x in joins)  # no pairs of all with all
     assert "zip_with" not in plan and "cogroup" in plan.lower()
+
+
+def test_ngrams_split_a_text_once(spark):
+    """The words of a text aren't computed anew for every run of them."""
+    text = spark.createDataFrame([("a b c d e f",), ("a",), (None,)], "t string")
+    got = [r["g"] for r in text.select(T.ngrams(T.tokens(F.col("t")), 2).alias("g")).collect()]
+    assert got == [["a b", "b c", "c d", "d e", "e f"], [], []]
+    plan = text.select(F.explode(T.ngrams(T.tokens(F.col("t")), 2)).alias("g"))._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("split(") == 1

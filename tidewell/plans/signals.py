@@ -11,7 +11,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from ..functions import geo, hours
-from ..functions.text import contains_word, fold
+from ..functions.text import contains_word, fold, once
 
 NEUTRAL = 0.5
 Signal = Callable[[Column, Column], Column]
@@ -35,11 +35,6 @@ def weight_of(weights: Column, key: Column) -> Column:
     return F.coalesce(F.try_element_at(weights, key), F.lit(0.0))
 
 
-def once(value: Column, body) -> Column:
-    """``body(value)`` with ``value`` computed once."""
-    return F.element_at(F.transform(F.array(value), body), 1)
-
-
 def has_name(own: Column, name: Column) -> Column:
     """Is the folded name among folded ones?"""
     return F.array_contains(own, fold(name))
