@@ -206,3 +206,23 @@ def test_categories():
 def test_centroid_fallback():
     u = Understanding(Lexicon(centroids={("TP.HCM", "Quận 3"): (10.78, 106.68)}))
     assert u.plan("nhà hàng quận 3")["resolved_coord"] == {"lat": 10.78, "lon": 106.68}
+
+
+def test_texts_are_rewritten_once_each(spark, vocabulary):
+    """Many queries with few texts: what is joined back are the texts that change, without maps of forms; null and copied ids stay."""
+    texts = ["benh vien da nang", "quán cà phê", None, "", "zzz"]
+    rows = spark.range(400).select((F.col("id") % 200).alias("query_id"), F.get(F.array(*[F.lit(t) for t in texts]), (F.col("id") % 5).cast("int")).alias("text"))
+    out = rewrite.restored(rows, vocabulary.forms)
+    got = {(r["query_id"], r["text"]) for r in out.collect()}
+    assert out.count() == 400 and got == {(k, ["bệnh viện đà nẵng", *texts[1:]][k % 5]) for k in range(200)}
+    assert out._jdf.queryExecution().optimizedPlan().toString().count("query_id") <= 3  # ids go through the last join only
+
+
+def test_plans_of_copied_texts(spark):
+    """Rules run once for a text; a query without text has the plan of an empty one."""
+    from tidewell.plans import understand
+
+    rows = spark.createDataFrame([("1", "nhà hàg q1"), ("2", "nhà hàg q1"), ("3", None), ("4", "")], "query_id string, query string")
+    got = {r["query_id"]: r["plan"] for r in understand.plans(rows).collect()}
+    assert got["1"] == got["2"] and got["1"]["district"] == "Quận 1" and got["1"]["categories"] == ["Nhà hàng"]
+    assert got["3"] == got["4"] and got["3"]["query"] == "" and len(got) == 4

@@ -13,7 +13,7 @@ from dataclasses import dataclass, fields
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from ..functions.text import fold, fold_text, has_marks, letter_words, ngrams
+from ..functions.text import fold, fold_text, has_marks, letter_words, ngrams, once
 from ..operators.joins import edit1_pairs
 from ..settings import Rewrite
 from ..sources import shared
@@ -85,32 +85,41 @@ def expanded(text: Column, abbreviations: dict[str, str]) -> Column:
 def restored(queries: DataFrame, forms: DataFrame, conf: Rewrite = Rewrite()) -> DataFrame:
     """Accents for texts without any: from left to right the longest known phrase, else the word's usual form.
 
-    A text stays as it is if fewer than ``min_coverage`` of its words would change.
+    A text stays as it is if fewer than ``min_coverage`` of its words would change.  Each different text is walked once; only texts
+    that change are joined with the queries.
     """
-    words = F.split(F.trim(fold(F.col("text"))), r"\s+")
-    rows = queries.select("query_id", "text", words.alias("w")).withColumn("bare", (F.trim("text") != "") & ~has_marks(F.col("text")))
-    grams = rows.where("bare").select("query_id", F.explode(F.array_distinct(F.concat(*[ngrams(F.col("w"), n) for n in range(1, conf.max_gram + 1)]))).alias("key"))
-    found = grams.join(forms, "key").groupBy("query_id").agg(F.map_from_entries(F.collect_list(F.struct("key", "value"))).alias("forms"))
-    rows = rows.join(found, "query_id", "left")
+    bare = (F.trim("text") != "") & ~has_marks(F.col("text"))
+    rows = queries.select("text").distinct().select("text", F.when(bare, folded_words(F.col("text"))).alias("w"))  # a filter would go below the distinct
+    grams = rows.select("text", F.explode(F.array_distinct(F.concat(*[ngrams(F.col("w"), n) for n in range(1, conf.max_gram + 1)]))).alias("key"))
+    found = grams.join(forms, "key").groupBy("text").agg(F.map_from_entries(F.collect_list(F.struct("key", "value"))).alias("forms"))
+    new = once(folded_words(F.col("text")), lambda w: walked(w, F.col("forms"), conf))
+    changed = found.select("text", new.alias("new")).where("new is not null")
+    return queries.join(changed, "text", "left").select("query_id", F.coalesce("new", "text").alias("text"))
+
+
+def folded_words(text: Column) -> Column:
+    return F.split(F.trim(fold(text)), r"\s+")
+
+
+def walked(w: Column, forms: Column, conf: Rewrite) -> Column:
+    """The words with accents, from left to right, or null if too few of them change; forms: a map."""
 
     def at(i: Column, n: int) -> Column:
-        run = F.slice("w", i + 1, n)
-        value = F.try_element_at("forms", F.array_join(run, " "))
-        changed = F.size(F.filter(F.zip_with(F.split(value, " "), run, lambda a, b: a != b), lambda x: x))
-        return F.when((i + n <= F.size("w")) & value.isNotNull(), F.struct(F.lit(n).alias("n"), value.alias("value"), changed.alias("changed")))
+        run = F.slice(w, i + 1, n)
+        changed = lambda value: F.size(F.filter(F.zip_with(F.split(value, " "), run, lambda a, b: a != b), lambda x: x))
+        hit = lambda value: F.when(value.isNotNull(), F.struct(F.lit(n).alias("n"), value.alias("value"), changed(value).alias("changed")))
+        return F.when(i + n <= F.size(w), once(F.try_element_at(forms, F.array_join(run, " ")), hit))
 
     def step(acc: Column, i: Column) -> Column:
-        as_is = F.struct(F.lit(1).alias("n"), F.get("w", i).alias("value"), F.lit(0).alias("changed"))
-        hit = F.coalesce(*[at(i, n) for n in range(conf.max_gram, 0, -1)], as_is)
-        taken = F.struct((hit["n"] - 1).alias("skip"), F.concat(acc["out"], F.array(hit["value"])).alias("out"), (acc["changed"] + hit["changed"]).alias("changed"))
+        as_is = F.struct(F.lit(1).alias("n"), F.get(w, i).alias("value"), F.lit(0).alias("changed"))
+        taken = lambda hit: F.struct((hit["n"] - 1).alias("skip"), F.concat(acc["out"], F.array(hit["value"])).alias("out"), (acc["changed"] + hit["changed"]).alias("changed"))
         passed = F.struct((acc["skip"] - 1).alias("skip"), acc["out"].alias("out"), acc["changed"].alias("changed"))
-        return F.when(acc["skip"] > 0, passed).otherwise(taken)
+        return F.when(acc["skip"] > 0, passed).otherwise(once(F.coalesce(*[at(i, n) for n in range(conf.max_gram, 0, -1)], as_is), taken))
 
     start = F.struct(F.lit(0).alias("skip"), F.array().cast("array<string>").alias("out"), F.lit(0).alias("changed"))
-    walked = F.aggregate(F.sequence(F.lit(0), F.size("w") - 1), start, step)
-    letters = F.greatest(F.size(F.filter("w", lambda x: x.rlike(r"^\p{L}+$"))), F.lit(1))
-    rows = rows.withColumn("new", F.when(F.col("bare") & F.col("forms").isNotNull(), walked))
-    return rows.select("query_id", F.when(F.col("new.changed") / letters >= conf.min_coverage, F.array_join("new.out", " ")).otherwise(F.col("text")).alias("text"))
+    letters = F.greatest(F.size(F.filter(w, lambda x: x.rlike(r"^\p{L}+$"))), F.lit(1))
+    enough = lambda end: F.when(end["changed"] / letters >= conf.min_coverage, F.array_join(end["out"], " "))
+    return F.aggregate(F.sequence(F.lit(0), F.size(w) - 1), start, step, enough)
 
 
 def resolved(rows: DataFrame, v: Vocabulary) -> DataFrame:
@@ -148,7 +157,11 @@ def corrected(queries: DataFrame, v: Vocabulary, conf: Rewrite = Rewrite()) -> D
 
 
 def preprocess(queries: DataFrame, v: Vocabulary, abbreviations: dict[str, str], conf: Rewrite = Rewrite()) -> DataFrame:
-    """All three steps; null texts stay null. The accented batch is written once, as the typo step reads it several times."""
-    full = queries.where("text is not null").select("query_id", expanded(F.col("text"), abbreviations).alias("text"))
-    accented = shared.kept(restored(full, v.forms, conf), f"{shared.folder(queries.sparkSession)}/accented")
-    return queries.select("query_id").join(corrected(accented, v, conf), "query_id", "left")
+    """All three steps, once for each different text; null texts stay null. Accented texts are written, as the typo step reads them several times."""
+    root = shared.folder(queries.sparkSession)
+    # Written, as filters of the steps would otherwise rewrite every row before copies are left out.
+    texts = shared.kept(queries.where("text is not null").select(F.col("text").alias("query_id")).distinct(), f"{root}/texts")
+    full = texts.select("query_id", expanded(F.col("query_id"), abbreviations).alias("text"))
+    accented = shared.kept(restored(full, v.forms, conf), f"{root}/accented")
+    new = corrected(accented, v, conf).select(F.col("query_id").alias("_given"), F.col("text").alias("_new"))
+    return queries.join(new, F.col("text") == F.col("_given"), "left").select("query_id", F.col("_new").alias("text"))
