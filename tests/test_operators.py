@@ -306,3 +306,13 @@ def test_ngrams_split_a_text_once(spark):
     assert got == [["a b", "b c", "c d", "d e", "e f"], [], []]
     plan = text.select(F.explode(T.ngrams(T.tokens(F.col("t")), 2)).alias("g"))._jdf.queryExecution().optimizedPlan().toString()
     assert plan.count("split(") == 1
+
+
+def test_copies_of_short_texts_are_scored_once(spark):
+    """The same ranks, from the first k of each group of texts with the same words."""
+    names = ["red ring", "Ring  red", "red bolt", "old bolt", "", None, "ring ring red"]
+    docs = spark.range(140).select("id", F.get(F.array(*[F.lit(n) for n in names]), (F.col("id") % 7).cast("int")).alias("text"))
+    q = spark.createDataFrame([("a", "red ring"), ("b", "bolt"), ("c", "nothing"), ("d", "old old ring")], "query_id string, query string")
+    cells = lambda df: sorted((r["query_id"], r["rank"], r["id"], r["score"]) for r in df.collect())
+    assert cells(lexical.bm25_topk(docs, q, "id", "text", 5, copies=True)) == cells(lexical.bm25_topk(docs, q, "id", "text", 5))
+    assert lexical.bm25_scores(docs, q, "id", "text", copies=5).count() < lexical.bm25_scores(docs, q, "id", "text").count() / 3
