@@ -164,16 +164,22 @@ def merge_weights(a: Column, b: Column) -> Column:
     return F.map_zip_with(a, b, lambda _, x, y: F.greatest(x, y))
 
 
+#: Characters that are hashed at once.
+RUN = 1 << 16
+
+
 def hashed_ngrams(dim: int = 256, n: int = 3) -> Callable[[str], np.ndarray]:
     """The offline encoder: character n-grams hashed into ``dim`` places, unit length."""
 
     def encode(text: str) -> np.ndarray:
-        codes = np.frombuffer(f" {text} ".encode("utf-32-le", "surrogatepass"), np.uint32).astype(np.uint64)
-        size = max(1, len(codes) - n + 1)
-        h = np.zeros(size, np.uint64)
-        for k in range(min(n, len(codes))):
-            h = (h + codes[k : k + size]) * np.uint64(0x9E3779B97F4A7C15)
-        out = np.bincount((h >> np.uint64(40)) % np.uint64(dim), minlength=dim).astype(np.float32)
+        codes = np.frombuffer(f" {text} ".encode("utf-32-le", "surrogatepass"), np.uint32)
+        size, out = max(1, len(codes) - n + 1), np.zeros(dim, np.int64)
+        for a in range(0, size, RUN):  # in runs, so that memory doesn't follow the text
+            h = np.zeros(min(RUN, size - a), np.uint64)
+            for k in range(min(n, len(codes))):
+                h = (h + codes[a + k : a + k + len(h)].astype(np.uint64)) * np.uint64(0x9E3779B97F4A7C15)
+            out += np.bincount((h >> np.uint64(40)) % np.uint64(dim), minlength=dim)
+        out = out.astype(np.float32)
         return out / np.linalg.norm(out)
 
     return encode
@@ -182,11 +188,13 @@ def hashed_ngrams(dim: int = 256, n: int = 3) -> Callable[[str], np.ndarray]:
 def encoder(make: Callable[[], Callable[[str], np.ndarray]] = hashed_ngrams, prefix: str = ""):
     """A column function text -> vector; ``make`` runs once per Python worker, so a model is loaded there once."""
 
-    @F.pandas_udf("array<float>")
-    def encode(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+    @F.arrow_udf("array<float>")
+    def encode(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
         run = make()
         for texts in batches:
-            yield pd.Series([np.nan_to_num(run(prefix + (t or ""))).tolist() for t in texts])
+            vectors = [np.nan_to_num(np.asarray(run(prefix + (t.as_py() or "")), np.float32)) for t in texts]  # one text at a time is held as a string
+            ends = np.concatenate([[0], np.cumsum([len(v) for v in vectors])]).astype(np.int32)
+            yield pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate([*vectors, np.zeros(0, np.float32)])))
 
     return encode
 
