@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Callable
-from functools import reduce
+from functools import cached_property, reduce
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -119,7 +119,7 @@ class Engine:
     """Search from text: lexicon and vocabulary from the corpus, plans from the queries, results from :func:`search`.
 
     ``places``: as :func:`tidewell.sources.corpus.places` gives them (without a ``document`` column, ``description`` is searched).
-    ``encode`` makes vectors of texts; ``store``: where those of places are kept, else they are made now, once.
+    ``encode`` makes vectors of texts; ``store``: where those of places are kept, else they are made once, when first asked for.
     """
 
     def __init__(self, places: DataFrame, base: Lexicon | None = None, encode=None, store: vector.VectorStore | None = None, conf: Settings = Settings()):
@@ -128,11 +128,16 @@ class Engine:
         self.vocabulary = rewrite.of_corpus(places, self.lexicon, conf.rewrite).kept()
         text = "document" if "document" in places.columns else "description"
         corpus = places.drop("vec_id").withColumn("description", F.col(text)).withColumn("vec_id", F.sha2(F.coalesce(F.col(text), F.lit("")), 256))
-        if store is None:
-            store = vector.VectorStore(places.sparkSession, f"{shared.folder(places.sparkSession)}/vectors")
-            store.recreate(corpus, lambda t: self.encode(F.concat(F.lit("passage: "), t)), "description")
-        vectors = store.read().withColumnRenamed("digest", "vec_id")
-        self.corpus, self.vectors = corpus, vectors
+        self.corpus, self.store = corpus, store
+
+    @cached_property
+    def vectors(self) -> DataFrame:
+        """vec_id, embedding of the places; plans and searches by words don't need them."""
+        spark = self.corpus.sparkSession
+        if self.store is None:
+            self.store = vector.VectorStore(spark, f"{shared.folder(spark)}/vectors")
+            self.store.recreate(self.corpus, lambda t: self.encode(F.concat(F.lit("passage: "), t)), "description")
+        return self.store.read().withColumnRenamed("digest", "vec_id")
 
     def plans(self, queries: DataFrame, user: tuple[float, float] | None = None, **options) -> DataFrame:
         """query_id, query, plan, qvec of (query_id, query)."""
