@@ -316,3 +316,38 @@ def test_copies_of_short_texts_are_scored_once(spark):
     cells = lambda df: sorted((r["query_id"], r["rank"], r["id"], r["score"]) for r in df.collect())
     assert cells(lexical.bm25_topk(docs, q, "id", "text", 5, copies=True)) == cells(lexical.bm25_topk(docs, q, "id", "text", 5))
     assert lexical.bm25_scores(docs, q, "id", "text", copies=5).count() < lexical.bm25_scores(docs, q, "id", "text").count() / 3
+
+
+def test_plans_and_words_need_no_vectors_of_places(spark):
+    """Only a search by vectors encodes the places, once."""
+    from tidewell.plans.lexicon import Lexicon
+
+    place = "poi_id string, name string, brand string, category string, city string, district string, attributes array<string>, lat double, lon double, rating double, popularity double, price_level int, opening_hours string, description string, vec_id long"
+    places = spark.createDataFrame([(f"C{k}", "n", "", "x", "y", "", ["red"], 0.0, 0.0, 0.0, 0.0, 1, "", "red ring", k) for k in range(3)], place)
+    queries = spark.createDataFrame([("1", "red ring")], "query_id string, query string")
+    encode = vector.encoder()
+
+    def careful(text):
+        return F.when(text.startswith("passage: "), F.raise_error(F.lit("a place was encoded"))).otherwise(encode(text))
+
+    engine = rerank.Engine(places, Lexicon(), careful)
+    plans = engine.plans(queries)
+    assert plans.first()["plan"]["attr_concepts"] == ["red"] and rerank.lexical_only(engine.corpus, plans).count() == 3
+    with pytest.raises(Exception, match="a place was encoded"):
+        engine.vectors.count()
+
+
+def test_long_texts_are_hashed_in_runs(monkeypatch):
+    text, short = "aé" * 500 + "xyz", ["", "a", "ab"]
+    whole = [vector.hashed_ngrams()(t).tolist() for t in (text, *short)]
+    monkeypatch.setattr(vector, "RUN", 7)
+    assert [vector.hashed_ngrams()(t).tolist() for t in (text, *short)] == whole
+
+
+def test_ladder_ranks_words_once(spark, sf, monkeypatch):
+    """All steps of the ablation read one ranking by words."""
+    from tidewell.catalogue import ranking
+
+    asked, plain = [], lexical.bm25_topk
+    monkeypatch.setattr(lexical, "bm25_topk", lambda *a, **k: asked.append(a[4]) or plain(*a, **k))
+    assert ranking.ablation_ladder(spark, sf).count() == 12 and asked == [30]

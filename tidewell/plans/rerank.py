@@ -81,9 +81,9 @@ def hybrid(corpus: DataFrame, vectors: DataFrame, plans: DataFrame, profile: str
     return ordered(weighted(rows, profile, now))
 
 
-def lexical_only(corpus: DataFrame, plans: DataFrame, profile: str = "with_distance", conf: Settings = Settings(), now: int = 720) -> DataFrame:
-    """Without vectors: the first candidates by BM25, their score divided by the best one's."""
-    lex = lexical.bm25_topk(corpus, plans.select("query_id", "query"), "poi_id", "description", conf.search.candidates, conf.bm25)
+def lexical_only(corpus: DataFrame, plans: DataFrame, profile: str = "with_distance", conf: Settings = Settings(), now: int = 720, found: DataFrame | None = None) -> DataFrame:
+    """Without vectors: the first candidates by BM25, their score divided by the best one's; ``found``: those, or more, if they are there already."""
+    lex = found.where(F.col("rank") <= conf.search.candidates) if found is not None else lexical.bm25_topk(corpus, plans.select("query_id", "query"), "poi_id", "description", conf.search.candidates, conf.bm25)
     best = F.max("score").over(Window.partitionBy("query_id"))
     lex = lex.withColumn("n_bm25", F.col("score") / F.coalesce(F.nullif(best, F.lit(0.0)), F.lit(1.0))).select("query_id", "id", "n_bm25")
     rows = lex.join(corpus.drop("description"), F.col("id") == F.col("poi_id")).join(F.broadcast(plans.select("query_id", "plan")), "query_id")
@@ -156,6 +156,10 @@ class Engine:
 
 def ladder(corpus: DataFrame, vectors: DataFrame, plans: DataFrame, k: int = 10, conf: Settings = Settings(), now: int = 720) -> dict[str, DataFrame]:
     """Rankings (query_id, id, rank) of the steps of an ablation: words only, with rules, with distance, with vectors."""
-    words = lexical.bm25_topk(corpus, plans.select("query_id", "query"), "poi_id", "description", k, conf.bm25).select("query_id", "id", "rank")
+    most = max(k, conf.search.candidates, conf.search.pool)
+    found = lexical.bm25_topk(corpus, plans.select("query_id", "query"), "poi_id", "description", most, conf.bm25)
+    found = shared.kept(found, f"{shared.folder(corpus.sparkSession)}/words")  # the best few hold for every smaller number
+    words = found.where(F.col("rank") <= k).select("query_id", "id", "rank")
     top = lambda rows: rows.where(F.col("rank") <= k).select("query_id", F.col("poi_id").alias("id"), "rank")
-    return {"bm25": words, "rules": top(lexical_only(corpus, plans, "default", conf, now)), "distance": top(lexical_only(corpus, plans, "with_distance", conf, now)), "dense": top(hybrid(corpus, vectors, plans, "with_dense", conf, now))}
+    channels = retrievers(vectors, conf) | {"bm25": lambda _corpus, _plans, n: found.where(F.col("rank") <= n)}
+    return {"bm25": words, "rules": top(lexical_only(corpus, plans, "default", conf, now, found)), "distance": top(lexical_only(corpus, plans, "with_distance", conf, now, found)), "dense": top(hybrid(corpus, vectors, plans, "with_dense", conf, now, channels))}
